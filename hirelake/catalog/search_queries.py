@@ -173,7 +173,7 @@ MISSING = "SELECT board || ':' || split_part(id, ':', 3) || '9' AS id FROM {post
           FROM m JOIN postings p ON split_part(m.asked, ':', 1) || ':' || split_part(m.asked, ':', 2) = p.board AND p.id <> m.asked)
     SELECT asked, id, title, ratio FROM c WHERE ratio >= 0.6 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY ratio DESC, id) = 1""")
 def _closest_ids(b):
-    return rank.closest_ids(b.postings, b.sql(MISSING))
+    return rank.closest_ids(b.postings, b.sql(MISSING), cutoff=0.6)
 
 
 SLICE = """

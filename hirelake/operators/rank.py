@@ -200,7 +200,7 @@ def closest_in_family(df: DataFrame, assignments: DataFrame, family: str, query,
     return top.join(members, "id", "left_semi").orderBy(F.desc("similarity"), F.asc("id")).limit(n)
 
 
-def closest_ids(df: DataFrame, missing: DataFrame, cutoff: float = 0.6) -> DataFrame:
+def closest_ids(df: DataFrame, missing: DataFrame, cutoff: float = 0.9) -> DataFrame:
     """For each absent id, the served id on the board it names whose last part is most alike.
 
     The ratio is `1 - edits / longer length`. Only boards a missing id names are read, and the
