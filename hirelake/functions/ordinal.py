@@ -37,8 +37,10 @@ def _all(columns: Sequence[Column]) -> Column:
     return out
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), splits: int = 64) -> DataFrame:
-    """Exact inclusive percentiles (linear between neighbours) per group, one row a group and share.
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), splits: int = 64,
+                      nearest: bool = False) -> DataFrame:
+    """Exact percentiles per group, one row a group and share: inclusive and linear between
+    neighbours, or with `nearest` the value at zero-based place `share * n`.
 
     Values are first counted, so equal ones cost one row. Each group's distinct values are cut into
     buckets at approximate quantiles; a running count over at most `splits` buckets finds the one
@@ -57,10 +59,10 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], keys:
     buckets = tagged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"), F.max("_total").alias("_total"))
     up_to = Window.partitionBy(*keys).orderBy("_bucket") if keys else Window.orderBy("_bucket")
     buckets = buckets.withColumn("_end", F.sum("_bn").over(up_to)).withColumn("_start", F.col("_end") - F.col("_bn"))
-    # Rank positions are zero-based: share * (n - 1), between its floor and its ceiling.
+    # Rank positions are zero-based: share * (n - 1) lies between its floor and its ceiling.
     asked = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
     ranks = buckets.select(*keys, "_bucket", "_start", "_end", "_total", asked)
-    at = F.col("share") * (F.col("_total") - 1)
+    at = F.least(F.floor(F.col("share") * F.col("_total")), F.col("_total") - 1) if nearest else F.col("share") * (F.col("_total") - 1)
     ranks = ranks.withColumn("_lo", F.floor(at)).withColumn("_hi", F.ceil(at)).withColumn("_part", at - F.floor(at))
     needed = ranks.filter(
         ((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_end"))) | ((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_end")))

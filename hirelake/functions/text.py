@@ -75,3 +75,8 @@ def key_prefixes(key: Column) -> Column:
 def drop_last_part(key: Column) -> Column:
     """The key without what follows its last colon."""
     return F.regexp_replace(key, r":[^:]*$", "")
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import rx_escape, squash
+from ..functions.text import let, rx_escape, squash
 from ..rules import derivations as R
 from ..rules.places import COUNTRIES, INDIA_PLACES, INDIA_STATES
 from .filters import employment_flags, employment_rule
@@ -177,8 +177,9 @@ def stated_spans(description: Column) -> Column:
     ))
 
 
-def experience_columns(field: Column, description: Column, title: Column, company: Column | None = None) -> dict[str, Column]:
-    """min_years, max_years, experience_source and every stated floor, by the cascade."""
+def experience_columns(field: Column, description: Column, title: Column,
+                       company: Column | None = None) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Two steps of columns: the spans the text states, then the cascade's answer and every floor."""
     part = lambda n: F.regexp_extract(field, R.EXPERIENCE_FIELD, n)
     lo, hi = part(1).try_cast("int"), part(3).try_cast("int")
     months = (part(2) != "") | (part(4) != "") | (part(5) != "")
@@ -188,14 +189,14 @@ def experience_columns(field: Column, description: Column, title: Column, compan
     from_field = F.when(f_lo <= R.MAX_FIELD_YEARS, F.struct(
         f_lo.alias("lo"), F.when((f_hi >= f_lo) & (f_hi <= R.MAX_FIELD_YEARS), f_hi).alias("hi"), F.lit("field").alias("source")
     ))
-    spans = stated_spans(description)
-    least = F.array_min(spans)
+    spans = F.coalesce(stated_spans(description), F.array().cast("array<struct<lo:int,at:int,hi:int>>"))
     ceilings = F.filter(
         F.transform(F.regexp_extract_all(_experience_text(description), F.lit(R.EXPERIENCE_CEILING), F.lit(1)), _years),
         lambda y: y <= R.MAX_TEXT_YEARS,
     )
     from_text = F.when(F.size(ceilings) > 0, F.struct(F.lit(0).alias("lo"), F.array_max(ceilings).alias("hi"), F.lit("regex").alias("source")))
-    from_text = F.when(least.isNotNull(), F.struct(least["lo"].alias("lo"), least["hi"].alias("hi"), F.lit("regex").alias("source"))).otherwise(from_text)
+    stated = lambda s: F.when(s["lo"].isNotNull(), F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.lit("regex").alias("source")))
+    from_text = F.coalesce(let(F.array_min("_spans"), stated), from_text)
     label = F.concat_ws(" ", field, title)
     word = F.lit(None).cast("int")
     for pattern, years in reversed(R.SENIORITY):
@@ -211,20 +212,18 @@ def experience_columns(field: Column, description: Column, title: Column, compan
     estimate = F.coalesce(ladder, word, level)
     from_word = F.when(estimate.isNotNull(), F.struct(estimate.alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit("seniority").alias("source")))
     answer = F.coalesce(from_field, from_text, from_word)
-    return {
-        "_experience": answer,
-        "stated_floors": F.coalesce(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["lo"]))), F.array().cast("array<int>")),
-    }
+    floors = F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["lo"])))
+    return {"_spans": spans}, {"_experience": answer, "stated_floors": floors}
 
 
 def annotate_experience(df: DataFrame, field: str = "experience") -> DataFrame:
     """min_years, max_years, experience_source and stated_floors."""
     company = F.col("company") if "company" in df.columns else None
     field_col = F.col(field) if field in df.columns else F.lit(None).cast("string")
-    columns = experience_columns(field_col, F.col("description"), F.col("title"), company)
-    return df.withColumns(columns).withColumns({
+    spans, answer = experience_columns(field_col, F.col("description"), F.col("title"), company)
+    return df.withColumns(spans).withColumns(answer).withColumns({
         "min_years": F.col("_experience.lo"), "max_years": F.col("_experience.hi"), "experience_source": F.col("_experience.source"),
-    }).drop("_experience")
+    }).drop("_experience", "_spans")
 
 
 # --- pay -------------------------------------------------------------------------------------
@@ -232,17 +231,18 @@ def annotate_experience(df: DataFrame, field: str = "experience") -> DataFrame:
 
 def amount(text: Column) -> Column:
     """A written number in US or European grouping: two or fewer trailing digits are cents."""
-    eu = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    us = F.replace(text, F.lit(","), F.lit(""))
-    comma, dot = F.locate(",", text) > 0, F.locate(".", text) > 0
-    comma_last = F.locate(",", F.reverse(text)) < F.locate(".", F.reverse(text))
-    cents_after_comma = text.rlike(r",\d{1,2}$")
-    thousands_after_dot = text.rlike(r"^\d{1,3}(\.\d{3})+$")
-    chosen = (
-        F.when(comma & dot & comma_last, eu).when(comma & dot, us).when(comma & cents_after_comma, eu).when(comma, us)
-        .when(thousands_after_dot, F.replace(text, F.lit("."), F.lit(""))).otherwise(text)
-    )
-    return chosen.try_cast("double")
+
+    def read(t: Column) -> Column:
+        eu = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        us = F.replace(t, F.lit(","), F.lit(""))
+        comma, dot = t.contains(","), t.contains(".")
+        comma_last = F.locate(",", F.reverse(t)) < F.locate(".", F.reverse(t))
+        return (
+            F.when(comma & dot & comma_last, eu).when(comma & dot, us).when(comma & t.rlike(r",\d{1,2}$"), eu).when(comma, us)
+            .when(t.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
+        ).try_cast("double")
+
+    return let(text, read)
 
 
 def _scale(unit: Column) -> Column:
@@ -266,34 +266,45 @@ def _currency(*marks: Column) -> Column:
     return F.coalesce(*read)
 
 
+def _bound(table: Mapping[str, int], currency: Column) -> Column:
+    rows = F.create_map(*[x for c, v in table.items() for x in (F.lit(c), F.lit(v))])
+    return F.coalesce(F.try_element_at(rows, F.coalesce(currency, F.lit("USD"))), F.lit(table["USD"]))
+
+
 def _span(low: Column, low_unit: Column, high: Column, high_unit: Column, currency: Column, factor: Column) -> Column:
-    """`(lo, hi, currency)` a year, null outside the currency's plausible bounds."""
+    """`(lo, hi, currency)` a year, null outside the currency's plausible bounds. Each step names
+    what the last one computed, so nothing is parsed twice."""
     stated_high = F.coalesce(high, F.lit("")) != ""
-    unit_high = _scale(high_unit)
-    unit_low = F.when(F.coalesce(low_unit, F.lit("")) != "", _scale(low_unit)).when(stated_high & (unit_high > 1), unit_high).otherwise(1)
-    a = F.round(amount(low) * unit_low) * factor
-    b = F.when(stated_high, F.round(amount(high) * unit_high) * factor)
-    lo, hi = F.least(a, b), F.when(b.isNotNull(), F.greatest(a, b))
-    bounds = lambda table, default: F.coalesce(
-        F.try_element_at(F.create_map(*[x for c, v in table.items() for x in (F.lit(c), F.lit(v))]), F.coalesce(currency, F.lit("USD"))),
-        F.lit(default),
+    parsed = F.struct(
+        amount(low).alias("a"), F.when(stated_high, amount(high)).alias("b"), F.nullif(F.coalesce(low_unit, F.lit("")), F.lit("")).alias("au"),
+        _scale(high_unit).alias("bu"), currency.alias("currency"), factor.cast("double").alias("factor"),
     )
-    floor, ceiling = bounds(R.MIN_ANNUAL, R.MIN_ANNUAL["USD"]), bounds(R.MAX_ANNUAL, R.MAX_ANNUAL["USD"])
-    fits = (lo >= floor) & (lo <= ceiling) & (hi.isNull() | ((hi >= floor) & (hi <= ceiling)))
-    return F.when(fits, F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), currency.alias("currency")))
+
+    def yearly(p: Column) -> Column:
+        shared_unit = F.when(p["b"].isNotNull() & (p["bu"] > 1), p["bu"]).otherwise(1)
+        scale = F.when(p["au"].isNotNull(), _scale(p["au"])).otherwise(shared_unit)
+        a, b = F.round(p["a"] * scale) * p["factor"], F.round(p["b"] * p["bu"]) * p["factor"]
+        return F.struct(F.least(a, b).alias("lo"), F.when(b.isNotNull(), F.greatest(a, b)).alias("hi"), p["currency"].alias("currency"))
+
+    def bounded(s: Column) -> Column:
+        floor, ceiling = _bound(R.MIN_ANNUAL, s["currency"]), _bound(R.MAX_ANNUAL, s["currency"])
+        fits = s["lo"].between(floor, ceiling) & (s["hi"].isNull() | s["hi"].between(floor, ceiling))
+        return F.when(fits, F.struct(s["lo"].cast("long").alias("lo"), s["hi"].cast("long").alias("hi"), s["currency"].alias("currency")))
+
+    return let(let(parsed, yearly), bounded)
 
 
 def salary_from_field(value: Column) -> Column:
     part = lambda n: F.regexp_extract(value, R.SALARY_FIELD, n)
     code = F.regexp_extract(value, r"(?i)\b(" + "|".join(R.CURRENCY_CODES) + r")\b", 1)
     symbol = F.regexp_extract(value, r"((?:CA|C|HK|SG|S|AU|A|NZ|US)\$|[£€₹])", 1)
-    return F.when(part(1) != "", _span(part(1), part(2), part(4), part(5), _currency(code, symbol), _period(value)))
+    return F.when(value.rlike(r"\d"), _span(part(1), part(2), part(4), part(5), _currency(code, symbol), _period(value)))
 
 
 def salary_from_text(description: Column) -> Column:
     """The first pattern, in confidence order, whose plausible figures agree; if they disagree the
-    text gives none."""
-    text = F.regexp_replace(description, R.NOT_PAY, " ")
+    text gives none. A text without a figure of two digits or more is not scanned."""
+    text = F.when(description.rlike(r"\d\d|\d\s*[kK]\b|(?i)lpa|lakh"), F.regexp_replace(description, R.NOT_PAY, " "))
 
     def lakhs(m: Column) -> Column:
         return _span(m["g2"], F.lit("lakh"), m["g5"], F.lit("lakh"), F.lit("INR"), F.lit(1))
@@ -301,10 +312,7 @@ def salary_from_text(description: Column) -> Column:
     def money_span(m: Column) -> Column:
         return _span(m["g2"], m["g3"], m["g5"], m["g6"], _currency(m["g1"], m["g4"], m["g7"]), _period(m["g8"]))
 
-    out = F.lit(None).cast("struct<lo:bigint,hi:bigint,currency:string,ok:boolean>")
-    for name, pattern in reversed(R.SALARY_TEXT):
-        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(n)).alias(f"g{n}") for n in range(1, 9)]
-        spans = F.array_compact(F.transform(F.arrays_zip(*groups), lakhs if name == "lpa" else money_span))
+    def resolve(spans: Column) -> Column:
         lows = F.transform(spans, lambda s: s["lo"])
         money = F.array_distinct(F.array_compact(F.transform(spans, lambda s: s["currency"])))
         agree = (F.size(money) <= 1) & (F.array_max(lows) - F.array_min(lows) <= F.greatest(F.lit(1000.0), F.array_min(lows) * 0.05))
@@ -312,9 +320,19 @@ def salary_from_text(description: Column) -> Column:
         best = F.array_max(F.transform(spans, lambda s, i: F.struct(
             s["currency"].isNotNull().alias("a"), s["hi"].isNotNull().alias("b"), (-i).alias("c"), s.alias("span")
         )))["span"]
-        result = F.struct(best["lo"].alias("lo"), best["hi"].alias("hi"), best["currency"].alias("currency"), agree.alias("ok"))
-        out = F.when(F.size(spans) > 0, result).otherwise(out)
-    return F.when(out["ok"], F.struct(out["lo"].alias("lo"), out["hi"].alias("hi"), out["currency"].alias("currency")))
+        return F.when(F.size(spans) > 0, F.struct(best.alias("span"), agree.alias("ok")))
+
+    def scan(t: Column) -> Column:
+        tiers = []
+        for name, pattern in R.SALARY_TEXT:
+            groups = [F.regexp_extract_all(t, F.lit(pattern), F.lit(n)).alias(f"g{n}") for n in range(1, 9)]
+            spans = F.array_compact(F.transform(F.arrays_zip(*groups), lakhs if name == "lpa" else money_span))
+            # A cheap test first: the groups are only read where the pattern occurs at all.
+            tiers.append(F.when(t.rlike(pattern), let(spans, resolve)))
+        return F.coalesce(*tiers)
+
+    found = F.when(text.isNotNull(), let(text, scan))
+    return let(found, lambda f: F.when(f["ok"], f["span"]))
 
 
 def annotate_salary(df: DataFrame, field: str = "salary") -> DataFrame:

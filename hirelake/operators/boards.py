@@ -178,8 +178,9 @@ def bury_contained(board_ids: DataFrame, keep_public: bool = False) -> DataFrame
     Only one board per distinct set is compared, and only with the boards that list its rarest id:
     a container must list every id, so it lists that one. No other pair is formed.
     """
-    ids = board_ids.select("group", "board", "id").distinct()
-    profile = _set_profile(ids)
+    # Read many times below, so it is written once.
+    ids = cut_lineage(board_ids.select("group", "board", "id").distinct())
+    profile = cut_lineage(_set_profile(ids))
     hosts = profile.filter(~is_non_public(F.col("board"))) if keep_public else profile
     reps = hosts.groupBy("group", "size", "_x", "_s").agg(F.min("board").alias("onto"))
     equal = profile.join(reps, ["group", "size", "_x", "_s"]).filter(F.col("board") != F.col("onto")).select("group", "board", "onto", "size")
