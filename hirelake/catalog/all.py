@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import aggregate_queries, annotate_queries, board_queries, clean_queries, diff_queries, filter_queries, search_queries  # noqa: F401
+from . import aggregate_queries, annotate_queries, board_queries, clean_queries, diff_queries, filter_queries, search_queries, trend_queries  # noqa: F401

@@ -46,38 +46,38 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], keys:
     buckets at approximate quantiles; a running count over at most `splits` buckets finds the one
     or two buckets that hold each rank, and only those are ordered.
     """
-    keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    named = [f"_k{i}" for i in range(len(keys))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(value).cast("double").alias("_v"))
+    counted = cut_lineage(rows.groupBy(*named, "_v").agg(F.count("*").alias("_n")))
     cuts = [i / splits for i in range(1, splits)]
-    spread = counted.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"), F.percentile_approx("_v", cuts, 1000).alias("_cuts")
-    )
-    condition = _all([counted[k].eqNullSafe(spread[k]) for k in keys]) if keys else F.lit(True)
-    tagged = counted.join(spread, condition).select(
-        *[counted[k] for k in keys], "_v", "_n", "_total", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bucket")
-    )
-    buckets = tagged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"), F.max("_total").alias("_total"))
-    up_to = Window.partitionBy(*keys).orderBy("_bucket") if keys else Window.orderBy("_bucket")
+    spread = counted.groupBy(*named).agg(F.sum("_n").alias("_total"), F.percentile_approx("_v", cuts, 1000).alias("_cuts"))
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bucket")
+    tagged = _null_safe_join(counted, spread, named).select(*named, "_v", "_n", "_total", bucket)
+    buckets = tagged.groupBy(*named, "_bucket").agg(F.sum("_n").alias("_bn"), F.max("_total").alias("_total"))
+    up_to = (Window.partitionBy(*named) if named else Window.partitionBy(F.lit(0))).orderBy("_bucket")
     buckets = buckets.withColumn("_end", F.sum("_bn").over(up_to)).withColumn("_start", F.col("_end") - F.col("_bn"))
+    ranks = buckets.select(*named, "_bucket", "_start", "_end", "_total", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
     # Rank positions are zero-based: share * (n - 1) lies between its floor and its ceiling.
-    asked = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    ranks = buckets.select(*keys, "_bucket", "_start", "_end", "_total", asked)
     at = F.least(F.floor(F.col("share") * F.col("_total")), F.col("_total") - 1) if nearest else F.col("share") * (F.col("_total") - 1)
     ranks = ranks.withColumn("_lo", F.floor(at)).withColumn("_hi", F.ceil(at)).withColumn("_part", at - F.floor(at))
-    needed = ranks.filter(
-        ((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_end"))) | ((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_end")))
-    )
-    wanted = needed.select(*keys, "_bucket", "_start").distinct()
-    on_bucket = [tagged[k].eqNullSafe(wanted[k]) for k in (*keys, "_bucket")]
-    held = tagged.join(wanted, _all(on_bucket)).select(*[tagged[k] for k in (*keys, "_bucket", "_v", "_n")], "_start")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v")
-    held = held.withColumn("_to", F.col("_start") + F.sum("_n").over(inside)).withColumn("_from", F.col("_to") - F.col("_n"))
-    targets = needed.drop("_start", "_end", "_total")
-    pair = held.join(targets.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_bucket", "_tb"),
-                     _all([held["_bucket"] == F.col("_tb"), *[held[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]]))
-    covers = lambda rank: (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to"))
-    found = pair.groupBy(*[held[k] for k in keys], "share").agg(
-        F.max(F.when(covers("_lo"), F.col("_v"))).alias("_vl"), F.max(F.when(covers("_hi"), F.col("_v"))).alias("_vh"),
+    inside = lambda rank, start, end: (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(end))
+    needed = ranks.filter(inside("_lo", "_start", "_end") | inside("_hi", "_start", "_end"))
+    wanted = needed.select(*named, "_bucket", "_start").distinct()
+    held = _null_safe_join(tagged.drop("_total"), wanted, [*named, "_bucket"])
+    within = Window.partitionBy(*named, "_bucket").orderBy("_v")
+    held = held.withColumn("_to", F.col("_start") + F.sum("_n").over(within)).withColumn("_from", F.col("_to") - F.col("_n")).drop("_start", "_n")
+    pair = _null_safe_join(held, needed.drop("_start", "_end", "_total"), [*named, "_bucket"])
+    found = pair.groupBy(*named, "share").agg(
+        F.max(F.when(inside("_lo", "_from", "_to"), F.col("_v"))).alias("_vl"), F.max(F.when(inside("_hi", "_from", "_to"), F.col("_v"))).alias("_vh"),
         F.max("_part").alias("_part"),
     )
-    return found.select(*keys, "share", (F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_part")).alias("value"))
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, named)], "share", (F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_part")).alias("value"))
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, null equal to null, each key kept once."""
+    if not keys:
+        return left.join(right, F.lit(True))
+    renamed = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    on = _all([F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys])
+    return left.join(renamed, on).drop(*[f"_r{k}" for k in keys])

@@ -170,8 +170,8 @@ def requirement_summary(sample: DataFrame, vocabulary: DataFrame | None = None,
         F.coalesce("min_salary_annual", "max_salary_annual"))
     paid = kept.withColumn("_mid", middle.cast("double")).filter(F.col("_mid").isNotNull() & F.col("salary_currency").isNotNull())
     common = paid.groupBy("salary_currency").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "salary_currency").limit(currencies)
-    shares = exact_percentiles(paid, "_mid", (0.25, 0.5, 0.75), ["salary_currency"])
-    quartiles = shares.groupBy("salary_currency").agg(*[F.max(F.when(F.col("share") == s, F.floor(F.col("value") + 0.5))).alias(n) for s, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    # The sample is bounded, so Spark's own exact percentile serves.
+    quartiles = paid.groupBy("salary_currency").agg(*[F.floor(F.percentile("_mid", s) + 0.5).alias(n) for s, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
     pay = common.join(quartiles, "salary_currency")
     parts.append(pay.select(F.lit("salary").alias("section"), F.col("salary_currency").alias("name"), "n",
                             F.concat_ws("/", *[F.col(c).cast("bigint").cast("string") for c in ("p25", "p50", "p75")]).alias("extra")))
@@ -413,10 +413,10 @@ def location_class(location: Column, country_only: Sequence[str] = ()) -> Column
 
 def location_health(df: DataFrame, country_only: Sequence[str]) -> DataFrame:
     """Rows per source and location class, one column a class."""
-    shapes = ["missing", "dirty", "placeless", "country-only", "place"]
-    return df.groupBy(F.col("ats").alias("source")).pivot("_shape", shapes).agg(F.count("*")) if "_shape" in df.columns else location_health(
-        df.withColumn("_shape", location_class(F.col("location"), country_only)), country_only
-    ).select("source", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s.replace("-", "_")) for s in shapes])
+    shape = location_class(F.col("location"), country_only)
+    return df.select(F.col("ats").alias("source"), shape.alias("_shape")).groupBy("source").agg(
+        *[F.count_if(F.col("_shape") == s).alias(s.replace("-", "_")) for s in ("missing", "dirty", "placeless", "country-only", "place")]
+    )
 
 
 def gazetteer_audit(df: DataFrame) -> DataFrame:
