@@ -109,10 +109,10 @@ def _charted(b):
 
 
 @query("turnover_series", f"""
-    WITH {CHARTED}, r AS (SELECT family, metric, delta, (SELECT min(c.ts) FROM c WHERE c.ts >= ticks.ts) AS at FROM ticks WHERE metric <> 'stock')
-    SELECT family, at AS ts, CAST(coalesce(sum(delta) FILTER (WHERE metric = 'opened'), 0) AS BIGINT) AS opened, CAST(coalesce(sum(delta) FILTER (WHERE metric = 'closed'), 0) AS BIGINT) AS closed,
+    WITH {CHARTED}, r AS (SELECT family, metric, delta, (SELECT min(c.ts) FROM c WHERE c.ts >= ticks.ts) AS landing FROM ticks WHERE metric <> 'stock')
+    SELECT family, landing AS ts, CAST(coalesce(sum(delta) FILTER (WHERE metric = 'opened'), 0) AS BIGINT) AS opened, CAST(coalesce(sum(delta) FILTER (WHERE metric = 'closed'), 0) AS BIGINT) AS closed,
            CAST(coalesce(sum(CASE metric WHEN 'recounted_in' THEN delta WHEN 'recounted_out' THEN -delta END), 0) AS BIGINT) AS recounted
-    FROM r WHERE at > (SELECT min(ts) FROM c) AND at NOT IN ('2024-01-20', '2024-01-22') GROUP BY 1, 2""")
+    FROM r WHERE landing > (SELECT min(ts) FROM c) AND landing NOT IN ('2024-01-20', '2024-01-22') GROUP BY 1, 2""")
 def _turnover_series(b):
     left_out = T.left_out_runs(b.methods, T.tick_positions(_charted(b)))
     return T.turnover_series(b.ticks, ["family"], _charted(b), left_out)
@@ -164,8 +164,8 @@ EVICTED = "SELECT ts, board, sum(delta) AS count FROM {ticks} WHERE metric = 're
 
 
 @query("evicted_steps", f"""
-    WITH {CHARTED}, e AS (SELECT company, count, (SELECT min(c.ts) FROM c WHERE c.ts >= x.ts) AS at FROM ({EVICTED.format(ticks='ticks')}) x JOIN directory USING (board))
-    SELECT at AS ts, company, CAST(sum(count) AS BIGINT) AS count FROM e WHERE at > (SELECT min(ts) FROM c) GROUP BY ALL HAVING sum(count) <> 0""")
+    WITH {CHARTED}, e AS (SELECT company, count, (SELECT min(c.ts) FROM c WHERE c.ts >= x.ts) AS landing FROM ({EVICTED.format(ticks='ticks')}) x JOIN directory USING (board))
+    SELECT landing AS ts, company, CAST(sum(count) AS BIGINT) AS count FROM e WHERE landing > (SELECT min(ts) FROM c) GROUP BY ALL HAVING sum(count) <> 0""")
 def _evicted(b):
     return T.evicted_steps(b.sql(EVICTED), b.directory, _charted(b))
 

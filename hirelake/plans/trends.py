@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..rules import derivations as D
 from ..rules import trends as R
+from ..session import cut_lineage
 from . import ticks as T
 
 
@@ -121,8 +122,9 @@ def land_steps(series: DataFrame, steps: DataFrame) -> DataFrame:
     # An unsized removal over which the line grew is hiring, not a step.
     grew = ~sized & (F.col("_all_dups") == 1) & (F.col("level") > F.coalesce("before", F.lit(0)))
     lands = F.col("level").isNotNull() & F.col("before").isNotNull() & F.col("_all_sized").isNotNull() & ~F.coalesce(grew, F.lit(False))
-    return rows.select("line", "ts", "level", "before", "lowest_before", lands.alias("has_step"), F.when(lands & sized, F.col("size")).alias("size"),
-                       F.coalesce(lands & (F.col("_any_known") == 1), F.lit(False)).alias("known"), F.when(F.col("level").isNotNull(), F.col("ratio")).alias("ratio"))
+    return cut_lineage(rows.select(
+        "line", "ts", "level", "before", "lowest_before", lands.alias("has_step"), F.when(lands & sized, F.col("size")).alias("size"),
+        F.coalesce(lands & (F.col("_any_known") == 1), F.lit(False)).alias("known"), F.when(F.col("level").isNotNull(), F.col("ratio")).alias("ratio")))
 
 
 def net_by_shift(landed: DataFrame) -> DataFrame:
@@ -170,8 +172,8 @@ def net_series(landed: DataFrame) -> DataFrame:
         kept = F.struct(new_scale.alias("scale"), new_lift.alias("lift"), F.lit(False).alias("cut"), F.concat(acc["out"], F.array(row(value, withheld))).alias("out"))
         return F.when(level.isNull(), unmeasured).when(cut, stopped).otherwise(kept)
 
-    folded = rows.select("line", F.inline(F.aggregate(F.reverse("_p"), start, fold)["out"]))
-    return folded
+    # One row per line and tick, read by every figure of an answer, so the fold runs once.
+    return cut_lineage(rows.select("line", F.inline(F.aggregate(F.reverse("_p"), start, fold)["out"])))
 
 
 def hiring_turnover(turnover: DataFrame, left_out: DataFrame | None = None) -> DataFrame:
@@ -433,12 +435,12 @@ def trend_steps(history: DataFrame, methods: DataFrame, question: TrendQuestion,
 
 def trends(history: DataFrame, methods: DataFrame, question: TrendQuestion, directory: DataFrame | None = None, evictions: DataFrame | None = None) -> DataFrame:
     """One row a line: what moved and how much of it is hiring, with its turnover and share."""
-    answer = trend_answer(history, question, directory)
-    clean = drop_partial_reads(answer.select("line", "ts", "level"))
-    steps = trend_steps(history, methods, question, clean, directory, evictions)
+    answer = cut_lineage(trend_answer(history, question, directory))
+    clean = cut_lineage(drop_partial_reads(answer.select("line", "ts", "level")))
+    steps = cut_lineage(trend_steps(history, methods, question, clean, directory, evictions))
     landed = land_steps(clean.select("line", "ts", "level"), steps)
     netted = net_series(landed)
-    causes = split_causes(netted, steps, landed)
+    causes = cut_lineage(split_causes(netted, steps, landed))
     charted = answer.select("ts").distinct()
     rows = scoped_history(history, question, directory)
     if question.split_by != "company":
