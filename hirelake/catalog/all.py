@@ -1,3 +1,15 @@
 """Importing this module registers every query."""
 
-from . import aggregate_queries, annotate_queries, board_queries, clean_queries, diff_queries, filter_queries, search_queries, trend_queries  # noqa: F401
+from . import (  # noqa: F401
+    aggregate_queries,
+    annotate_queries,
+    board_queries,
+    clean_queries,
+    company_queries,
+    diff_queries,
+    filter_queries,
+    search_queries,
+    source_queries,
+    stream_queries,
+    trend_queries,
+)
