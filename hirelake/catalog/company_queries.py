@@ -14,7 +14,7 @@ from .registry import query
 from .search_queries import SIMILAR, _query_vector
 
 # Postings given the vector and label of one document each.
-VECTORED = "SELECT p.*, v.vector, v.label FROM {postings} p JOIN {vectors} v ON CAST(split_part(p.id, ':', 3) AS BIGINT) % 500 = v.vec_id"
+VECTORED = "SELECT p.*, v.vector, v.label FROM {postings} p CROSS JOIN (SELECT count(*) AS n FROM {vectors}) c JOIN {vectors} v ON CAST(split_part(p.id, ':', 3) AS BIGINT) % c.n = v.vec_id"
 
 
 @query("search", """
@@ -25,7 +25,7 @@ def _search(b):
 
 
 @query("search_ranked", f"""
-    WITH {SIMILAR}, x AS (SELECT p.id, s.sim FROM postings p JOIN vectors v ON CAST(split_part(p.id, ':', 3) AS BIGINT) % 500 = v.vec_id JOIN s ON s.id = v.id WHERE NOT coalesce(is_confident_non_tech, FALSE) AND (min_years IS NULL OR min_years <= 2))
+    WITH {SIMILAR}, x AS (SELECT p.id, s.sim FROM postings p JOIN vectors v ON CAST(split_part(p.id, ':', 3) AS BIGINT) % (SELECT count(*) FROM vectors) = v.vec_id JOIN s ON s.id = v.id WHERE NOT coalesce(is_confident_non_tech, FALSE) AND (min_years IS NULL OR min_years <= 2))
     SELECT id, round(sim, 3) AS score FROM x ORDER BY round(sim, 9) DESC, id LIMIT 40""")
 def _ranked(b):
     return srch.search(b.sql(VECTORED), {"max_years": 2}, NOW, query=_query_vector(b), k=40).select("id", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import sets
+from ..session import scratch_path
 from ..sources import files, web
 from .board_queries import LEDGER
 from .registry import query
@@ -15,7 +16,7 @@ CARRIED = [c.split(" ")[0] for c in S.POSTING.split(", ")]
 
 def _landed(b, name, rows, by="ats"):
     """The rows written as one JSON Lines folder per source, each file named after its source."""
-    path = files.scratch_path(b.spark, name)
+    path = scratch_path(b.spark, name)
     columns = [c for c in CARRIED if c in rows.columns]
     rows.select(*columns, F.col(by).alias("_dir")).write.partitionBy("_dir").json(path)
     return path
@@ -46,7 +47,7 @@ LEDGER_ROWS = f"SELECT split_part(board, ':', 1) AS ats, split_part(board, ':',
 
 @query("read_ledger", LEDGER_ROWS.format(customer="customer", nation="nation"))
 def _ledger(b):
-    path = files.scratch_path(b.spark, "liveness")
+    path = scratch_path(b.spark, "liveness")
     b.sql(LEDGER_ROWS).select("ats", "tenant", F.lit("https://example.com/a,b").alias("url"), "status", "jobs", "checked_at").write.csv(path, header=True)
     absent = files.read_ledger(b.spark, path + "-absent", "liveness")
     return files.read_ledger(b.spark, path, "liveness").unionByName(absent).drop("url")
@@ -55,7 +56,7 @@ def _ledger(b):
 @query("read_ticks", """
     SELECT ts, board, metric, family, band, delta FROM ticks UNION ALL SELECT ts, 'old:', 'stock', family, band, CAST(sum(delta) AS BIGINT) FROM ticks WHERE metric = 'stock' GROUP BY 1, 4, 5""")
 def _ticks(b):
-    path, old = files.scratch_path(b.spark, "ticks"), files.scratch_path(b.spark, "archive")
+    path, old = scratch_path(b.spark, "ticks"), scratch_path(b.spark, "archive")
     files.append_tick(b.ticks, path)
     b.ticks.filter("metric = 'stock'").groupBy("ts", "metric", "family", "band").agg(F.sum("delta").alias("delta")).withColumn("ats", F.lit("old")).write.parquet(old)
     return files.read_ticks(b.spark, path, old)
@@ -64,7 +65,7 @@ def _ticks(b):
 @query("write_snapshot", "SELECT id, title, min_salary_annual FROM fresh")
 def _snapshot(b):
     """Written twice; the second replaces the first whole."""
-    path = files.scratch_path(b.spark, "snapshot")
+    path = scratch_path(b.spark, "snapshot")
     files.write_snapshot(b.prior.select("id", "title", "min_salary_annual"), path)
     files.write_snapshot(b.fresh.select("id", "title", "min_salary_annual"), path)
     return b.spark.read.parquet(path)
@@ -73,7 +74,7 @@ def _snapshot(b):
 @query("overwrite_partitions", """
     SELECT id, title, split_part(board, ':', 1) AS ats FROM prior WHERE split_part(board, ':', 1) <> 'nation_3' UNION ALL SELECT id, title, split_part(board, ':', 1) FROM fresh WHERE split_part(board, ':', 1) = 'nation_3'""")
 def _partitions(b):
-    path = files.scratch_path(b.spark, "partitions")
+    path = scratch_path(b.spark, "partitions")
     rows = lambda n: getattr(b, n).select("id", "title", F.split("board", ":").getItem(0).alias("ats"))
     files.overwrite_partitions(rows("prior"), path, ["ats"])
     files.overwrite_partitions(rows("fresh").filter("ats = 'nation_3'"), path, ["ats"])
@@ -144,7 +145,7 @@ def _mine(b):
     SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, CASE WHEN contains(url, '.example.com') THEN 'com.example.' ELSE 'org.example.' END AS prefix
     FROM pages WHERE regexp_matches(url, '^https?://[^/?#]*\\.example\\.(com|org)([/?#]|$)')""")
 def _graph(b):
-    path = files.scratch_path(b.spark, "hosts")
+    path = scratch_path(b.spark, "hosts")
     host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
     b.pages.select(F.concat(F.col("page_id").cast("string"), F.lit("\t"), F.array_join(F.reverse(F.split(host, r"\.")), ".")).alias("value")).write.text(path, compression="gzip")
     return web.mine_host_graph(b.spark, path, ["com.example.", "org.example."])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.files import scratch_path
+from ..session import scratch_path
 from ..streaming import jobs
 from .registry import query
 

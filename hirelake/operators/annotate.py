@@ -159,27 +159,35 @@ def _years(token: Column) -> Column:
 
 def _experience_text(text: Column) -> Column:
     """Dashes as ASCII and a company's own years blanked, ready for the patterns."""
-    return F.regexp_replace(F.translate(text, "‑‒–—―−", "------"), R.EXPERIENCE_NARRATIVE, " ")
-
-
-def stated_spans(description: Column) -> Column:
-    """Array of `(lo, at, hi)` the text states, implausible floors left out."""
-    text = F.regexp_replace(_experience_text(description), R.EXPERIENCE_CEILING, " ")
-    spans = []
-    for pattern in R.EXPERIENCE_TEXT:
-        lows = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        highs = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        spans.append(F.zip_with(lows, highs, lambda lo, hi: F.struct(_years(lo).alias("lo"), hi.try_cast("int").alias("hi"))))
-    both = F.concat(*spans)
-    both = F.filter(both, lambda s: s["lo"].isNotNull() & (s["lo"] <= R.MAX_TEXT_YEARS) & (s["hi"].isNull() | (s["hi"] < 100)))
+    plain = F.translate(text, "‑‒–—―−", "------")
+    return let(plain, lambda t: F.when(t.rlike(R.NARRATIVE_HINT), F.regexp_replace(t, R.EXPERIENCE_NARRATIVE, " ")).otherwise(t))
+
+
+def stated_spans(text: Column) -> Column:
+    """Array of `(lo, at, hi)` the prepared text states, implausible floors left out. Each pattern
+    scans the text once; its parts are read off the short matches."""
+    bare = F.when(text.rlike(R.CEILING_HINT), F.regexp_replace(text, R.EXPERIENCE_CEILING, " ")).otherwise(text)
+
+    def scan(t: Column) -> Column:
+        found = []
+        for pattern in R.EXPERIENCE_TEXT:
+            matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+            found.append(F.transform(matches, _reader(pattern)))
+        return F.concat(*found)
+
+    both = F.filter(let(bare, scan), lambda s: s["lo"].isNotNull() & (s["lo"] <= R.MAX_TEXT_YEARS) & (s["hi"].isNull() | (s["hi"] < 100)))
     return F.transform(both, lambda s, i: F.struct(
         s["lo"].alias("lo"), i.alias("at"), F.when((s["hi"] >= s["lo"]) & (s["hi"] <= R.MAX_FIELD_YEARS), s["hi"]).alias("hi")
     ))
 
 
+def _reader(pattern: str):
+    return lambda m: F.struct(_years(F.regexp_extract(m, pattern, 1)).alias("lo"), F.regexp_extract(m, pattern, 2).try_cast("int").alias("hi"))
+
+
 def experience_columns(field: Column, description: Column, title: Column,
-                       company: Column | None = None) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Two steps of columns: the spans the text states, then the cascade's answer and every floor."""
+                       company: Column | None = None) -> tuple[dict[str, Column], ...]:
+    """Steps of columns: the text made ready, the spans it states, the cascade's answer and every floor."""
     part = lambda n: F.regexp_extract(field, R.EXPERIENCE_FIELD, n)
     lo, hi = part(1).try_cast("int"), part(3).try_cast("int")
     months = (part(2) != "") | (part(4) != "") | (part(5) != "")
@@ -189,12 +197,14 @@ def experience_columns(field: Column, description: Column, title: Column,
     from_field = F.when(f_lo <= R.MAX_FIELD_YEARS, F.struct(
         f_lo.alias("lo"), F.when((f_hi >= f_lo) & (f_hi <= R.MAX_FIELD_YEARS), f_hi).alias("hi"), F.lit("field").alias("source")
     ))
-    spans = F.coalesce(stated_spans(description), F.array().cast("array<struct<lo:int,at:int,hi:int>>"))
+    # A text that names no years is not scanned.
+    prepared = F.when(description.rlike(R.YEARS_HINT), _experience_text(description))
+    spans = F.coalesce(stated_spans(F.col("_years_text")), F.array().cast("array<struct<lo:int,at:int,hi:int>>"))
     ceilings = F.filter(
-        F.transform(F.regexp_extract_all(_experience_text(description), F.lit(R.EXPERIENCE_CEILING), F.lit(1)), _years),
+        F.transform(F.regexp_extract_all("_years_text", F.lit(R.EXPERIENCE_CEILING), F.lit(1)), _years),
         lambda y: y <= R.MAX_TEXT_YEARS,
     )
-    from_text = F.when(F.size(ceilings) > 0, F.struct(F.lit(0).alias("lo"), F.array_max(ceilings).alias("hi"), F.lit("regex").alias("source")))
+    from_text = F.when(F.col("_years_text").rlike(R.CEILING_HINT) & (F.size(ceilings) > 0), F.struct(F.lit(0).alias("lo"), F.array_max(ceilings).alias("hi"), F.lit("regex").alias("source")))
     stated = lambda s: F.when(s["lo"].isNotNull(), F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.lit("regex").alias("source")))
     from_text = F.coalesce(let(F.array_min("_spans"), stated), from_text)
     label = F.concat_ws(" ", field, title)
@@ -213,17 +223,17 @@ def experience_columns(field: Column, description: Column, title: Column,
     from_word = F.when(estimate.isNotNull(), F.struct(estimate.alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit("seniority").alias("source")))
     answer = F.coalesce(from_field, from_text, from_word)
     floors = F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["lo"])))
-    return {"_spans": spans}, {"_experience": answer, "stated_floors": floors}
+    return {"_years_text": prepared}, {"_spans": spans}, {"_experience": answer, "stated_floors": floors}
 
 
 def annotate_experience(df: DataFrame, field: str = "experience") -> DataFrame:
     """min_years, max_years, experience_source and stated_floors."""
     company = F.col("company") if "company" in df.columns else None
     field_col = F.col(field) if field in df.columns else F.lit(None).cast("string")
-    spans, answer = experience_columns(field_col, F.col("description"), F.col("title"), company)
-    return df.withColumns(spans).withColumns(answer).withColumns({
+    text, spans, answer = experience_columns(field_col, F.col("description"), F.col("title"), company)
+    return df.withColumns(text).withColumns(spans).withColumns(answer).withColumns({
         "min_years": F.col("_experience.lo"), "max_years": F.col("_experience.hi"), "experience_source": F.col("_experience.source"),
-    }).drop("_experience", "_spans")
+    }).drop("_experience", "_spans", "_years_text")
 
 
 # --- pay -------------------------------------------------------------------------------------
@@ -322,14 +332,14 @@ def salary_from_text(description: Column) -> Column:
         )))["span"]
         return F.when(F.size(spans) > 0, F.struct(best.alias("span"), agree.alias("ok")))
 
+    def tier(t: Column, name: str, pattern: str) -> Column:
+        # The text is scanned once; the parts are read off the short matches.
+        parts = lambda m: F.struct(*[F.regexp_extract(m, pattern, n).alias(f"g{n}") for n in range(1, 9)])
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), parts)
+        return let(F.array_compact(F.transform(found, lakhs if name == "lpa" else money_span)), resolve)
+
     def scan(t: Column) -> Column:
-        tiers = []
-        for name, pattern in R.SALARY_TEXT:
-            groups = [F.regexp_extract_all(t, F.lit(pattern), F.lit(n)).alias(f"g{n}") for n in range(1, 9)]
-            spans = F.array_compact(F.transform(F.arrays_zip(*groups), lakhs if name == "lpa" else money_span))
-            # A cheap test first: the groups are only read where the pattern occurs at all.
-            tiers.append(F.when(t.rlike(pattern), let(spans, resolve)))
-        return F.coalesce(*tiers)
+        return F.coalesce(*[tier(t, name, pattern) for name, pattern in R.SALARY_TEXT])
 
     found = F.when(text.isNotNull(), let(text, scan))
     return let(found, lambda f: F.when(f["ok"], f["span"]))
@@ -607,6 +617,10 @@ def stated_end_date(df: DataFrame) -> DataFrame:
     return df.withColumn("_end", F.array_max(fit)).withColumn("end_day", F.col("_end.day")).withColumn("end_said", F.col("_end.said")).drop("_end")
 
 
+#: A vocabulary up to this many terms is tested inside the row.
+MAX_INLINE_TERMS = 20_000
+
+
 def skill_mentions(df: DataFrame, vocabulary: DataFrame, longest: int = 3) -> DataFrame:
     """One row per posting and vocabulary term its text holds.
 
@@ -615,20 +629,31 @@ def skill_mentions(df: DataFrame, vocabulary: DataFrame, longest: int = 3) -> Da
     term at a position wins, and an employer's own product is not a skill.
     """
     words = F.filter(F.split(F.regexp_replace(F.col("description"), r"[^\p{L}\p{N}+#.,]+", " "), r" |(?=,)"), lambda w: w != "")
-    base = df.select("id", F.lower(F.coalesce("company", F.lit(""))).alias("_company"), words.alias("_w"))
-    clean = F.transform("_w", lambda w: F.regexp_replace(F.regexp_replace(w, r"^,+", ","), r"\.+$", ""))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - i + 1)),
-        lambda n: F.struct(i.alias("at"), n.alias("n"), F.regexp_replace(F.array_join(F.slice("_w", i, n), " "), "^,", "").alias("text")),
-    )))
-    base = base.withColumn("_w", clean).filter(F.size("_w") > 0)
-    rows = base.select("id", "_company", "_w", F.inline(grams))
+    clean = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, r"^,+", ","), r"\.+$", ""))
+    base = df.select("id", F.lower(F.coalesce("company", F.lit(""))).alias("_company"), clean.alias("_w")).filter(F.size("_w") > 0)
+    base = base.withColumn("_p", F.transform("_w", lambda w: F.regexp_replace(w, "^,", ""))).withColumn("_l", F.transform("_p", lambda w: F.lower(w)))
+    vocab = vocabulary.withColumn("key", F.lower("term"))
+    # A vocabulary is rule data. Its words test the text inside the row, so only hits are exploded;
+    # one too large to inline leaves the test to the join.
+    keys = [r["key"] for r in vocab.select("key").distinct().limit(MAX_INLINE_TERMS + 1).collect()]
+    inline = len(keys) <= MAX_INLINE_TERMS
+    heads = sorted({k.split(" ")[0] for k in keys})
+    places = F.sequence(F.lit(1), F.size("_w"))
+    starts = F.filter(places, lambda i: F.element_at("_l", i).isin(*heads)) if inline else places
+    wanted = (lambda g: g["key"].isin(*keys)) if inline else (lambda g: F.lit(True))
+
+    def at(i: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - i + 1))
+        return F.transform(lengths, lambda n: F.struct(
+            i.alias("at"), n.alias("n"), F.array_join(F.slice("_p", i, n), " ").alias("text"), F.array_join(F.slice("_l", i, n), " ").alias("key")))
+
+    grams = F.flatten(F.transform(starts, at))
+    rows = base.select("id", "_company", "_w", F.inline(F.filter(grams, wanted)))
     rows = rows.withColumn("before", F.lower(F.when(F.col("at") > 1, F.element_at("_w", F.col("at") - 1))))
     starts_list = F.element_at("_w", F.col("at")).startswith(",")
     after = F.when(F.col("at") + F.col("n") <= F.size("_w"), F.element_at("_w", F.col("at") + F.col("n")))
     rows = rows.withColumn("in_list", starts_list | F.coalesce(after.startswith(","), F.lit(False))).drop("_w")
-    rows = rows.withColumn("key", F.lower("text"))
-    hits = rows.join(vocabulary.withColumn("key", F.lower("term")), "key")
+    hits = rows.join(vocab, "key")
     hits = hits.filter(~F.col("exact_case") | (F.col("text") == F.col("term")))
     hits = hits.filter(~F.col("list_only") | F.col("in_list"))
     hits = hits.filter(F.col("not_after").isNull() | F.col("before").isNull() | (F.col("before") != F.lower("not_after")))

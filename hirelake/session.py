@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_SCRATCH = "hirelake.scratch.dir"
+
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,19 +31,24 @@ def build_session(name: str = "hirelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the session's checkpoint folder and read it back.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table: under the cluster's shared `spark.checkpoint.dir`,
+    or, where none is set (tests), under one local folder of this session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        shared = spark.conf.get(LOCAL_SCRATCH, None)
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="hirelake-")
+        spark.conf.set(LOCAL_SCRATCH, shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    On a cluster `spark.checkpoint.dir` names a shared folder, so the result survives the loss of
-    executors. Only where nothing is configured (tests) a fresh folder is set.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not _checkpoint_dir_set(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hirelake-ckpt-"))
-    elif not _checkpoint_dir_set(spark):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder and read back.
 
-def _checkpoint_dir_set(spark: SparkSession) -> bool:
-    return spark.sparkContext.getCheckpointDir() is not None
+    The result survives the loss of executors, is computed once however often it is read, and
+    carries its size, so Spark can decide whether to broadcast it.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -24,14 +23,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for an intermediate table: under the cluster's shared checkpoint folder, or,
-    where none is set (tests), a new local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="hirelake-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """A directory of `{source}.jsonl` as one typed table; the source is the file's stem."""
     rows = spark.read.schema(S.POSTING).json(path, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
