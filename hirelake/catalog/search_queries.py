@@ -127,7 +127,7 @@ def _recall(b):
     p AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY rank) AS place FROM r),
     f AS (SELECT *, min(place) OVER (PARTITION BY company, label) > 2 AS past_company_cap FROM p)
     SELECT id, company, rank, past_company_cap,
-           CASE WHEN past_company_cap THEN 0 ELSE sum(CASE WHEN past_company_cap THEN 1 ELSE 0 END) OVER (PARTITION BY company) END AS more_from_company
+           CAST(CASE WHEN past_company_cap THEN 0 ELSE sum(CASE WHEN past_company_cap THEN 1 ELSE 0 END) OVER (PARTITION BY company) END AS BIGINT) AS more_from_company
     FROM f""")
 def _spread(b):
     rows = rank.scored(b.vectors, _query_vector(b)).drop("vector").withColumn("posting", F.col("label"))
@@ -185,9 +185,9 @@ SLICE = """
 @query("pick_slice", f"""
     WITH x AS (SELECT *, md5('0:' || board) AS tie FROM ({SLICE.format(boards='boards')})),
     head AS (SELECT board, 'head' AS seat FROM x WHERE score > 0 ORDER BY score DESC, tie, board LIMIT 70),
-    gap AS (SELECT board, 'gap' AS seat FROM x WHERE board NOT IN (SELECT board FROM head) AND unsettled > 0 ORDER BY unsettled DESC, tie, board LIMIT 1),
+    gap AS (SELECT board, 'gap' AS seat FROM x WHERE board NOT IN (SELECT board FROM head) AND unsettled > 0 ORDER BY unsettled DESC, tie, board LIMIT 2),
     tail AS (SELECT board, 'tail' AS seat FROM x WHERE board NOT IN (SELECT board FROM head) AND board NOT IN (SELECT board FROM gap)
-             ORDER BY last_look ASC NULLS FIRST, tie, board LIMIT 29)
+             ORDER BY last_look ASC NULLS FIRST, tie, board LIMIT 28)
     SELECT * FROM head UNION ALL SELECT * FROM gap UNION ALL SELECT * FROM tail""")
 def _slice(b):
     return rank.pick_slice(b.sql(SLICE), 100)

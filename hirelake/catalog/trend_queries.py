@@ -227,7 +227,7 @@ def _shift(b):
 
 @query("net_series", f"""
     WITH l AS ({LINES.format(levels='levels')}), s AS ({STEPS.format(levels='levels')})
-    SELECT l.line, l.ts, l.level, CAST(l.level + coalesce((SELECT sum(size) FROM s WHERE s.line = l.line AND s.ts > l.ts), 0) AS DOUBLE) AS netted, 1.0 AS scale FROM l""")
+    SELECT l.line, l.ts, l.level, CAST(l.level + coalesce((SELECT sum(size) FROM s WHERE s.line = l.line AND s.ts > l.ts), 0) AS DOUBLE) AS netted, CAST(1 AS DOUBLE) AS scale FROM l""")
 def _net(b):
     return P.net_series(P.land_steps(b.sql(LINES), b.sql(STEPS))).select("line", "ts", "level", "netted", "scale")
 

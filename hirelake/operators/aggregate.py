@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordinal import exact_percentiles
+from ..functions.ordinal import exact_percentiles, top_per_group
 from ..functions.text import squash
 from ..rules import boards as B
 from ..rules import derivations as R
@@ -494,11 +494,11 @@ def holdout_estimate(sample: DataFrame, population: Mapping[str, int]) -> DataFr
 
 
 def holdout_draw(df: DataFrame, size: Mapping[str, int], seed: int = 0) -> DataFrame:
-    """A seeded sample of rows per stratum; the limit applies before the shuffle."""
-    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "id")), "id")
+    """A seeded sample of rows per stratum."""
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), "id")), F.asc("id")]
     wanted = F.create_map(*[x for k, v in size.items() for x in (F.lit(k), F.lit(int(v)))])
-    top = max(size.values())
-    return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).filter(F.col("_r") <= F.try_element_at(wanted, F.col("stratum"))).drop("_r")
+    drawn = top_per_group(df.filter(F.col("stratum").isin(*size)), ["stratum"], order, max(size.values()), "_r")
+    return drawn.filter(F.col("_r") <= F.try_element_at(wanted, F.col("stratum"))).drop("_r")
 
 
 def vote_names(df: DataFrame, share: float = 0.0) -> DataFrame:

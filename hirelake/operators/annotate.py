@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import top_per_group
 from ..functions.text import let, rx_escape, squash
 from ..rules import derivations as R
 from ..rules.places import COUNTRIES, INDIA_PLACES, INDIA_STATES
@@ -435,12 +436,8 @@ def watch_roles(df: DataFrame, watchlist: Sequence[tuple] = R.WATCHLIST) -> Data
 
 
 def capped_per_class(df: DataFrame, cap: int, seed: int = 0) -> DataFrame:
-    """At most `cap` labelled rows per class, chosen by a seeded hash; the limit applies before the
-    shuffle, so a class that holds most rows ships only `cap` of them per partition."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), F.col("id")), F.col("id"))
-    return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).drop("_n")
+    """At most `cap` labelled rows per class, chosen by a seeded hash."""
+    return top_per_group(df, ["label"], [F.xxhash64(F.lit(seed), F.col("id")), F.col("id")], cap, "_n").drop("_n")
 
 
 def train_family_head(df: DataFrame, regs: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 5, cap: int = 2000,

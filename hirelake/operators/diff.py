@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import top_per_group
 from ..functions.text import drop_last_part, key_prefixes, squash
 
 
@@ -284,8 +285,8 @@ def classify_changes(corpus: DataFrame, prior: DataFrame, regate: DataFrame | No
     else:
         edits = edits.withColumn("score", F.lit(0.0))
     # Only each source's first `cap` edits can be among the first `cap` taken in turn.
-    turn = F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("score"), "id"))
-    taken = edits.withColumn("_turn", turn).filter(F.col("_turn") <= cap).orderBy("_turn", "source").limit(cap).select("id", F.lit(True).alias("_taken"))
+    turns = top_per_group(edits, ["source"], [F.desc_nulls_last("score"), F.asc("id")], cap, "_turn")
+    taken = turns.orderBy("_turn", "source").limit(cap).select("id", F.lit(True).alias("_taken"))
     rows = rows.join(taken, "id", "left")
     return rows.select("id", F.when((F.col("status") == "edited") & F.col("_taken").isNull(), "deferred").otherwise(F.col("status")).alias("status"))
 

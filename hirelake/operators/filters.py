@@ -191,10 +191,11 @@ def board_clause(boards: Iterable[str]) -> Column:
     return F.arrays_overlap(key_prefixes(F.lower(F.col("id"))), F.array(*[F.lit(k) for k in keys]))
 
 
-def age_clause(days: int, now: str) -> Column:
+def age_clause(days: int, now: str, materialised: bool = False) -> Column:
     """Posted within N days; where the date is missing or unreadable, first seen within them."""
     cut = _days_ago(now, days)
-    shaped = F.coalesce(date_shaped(F.col("posted_at")), F.lit(False))
+    guard = F.col("posted_at_comparable") if materialised else date_shaped(F.col("posted_at"))
+    shaped = F.coalesce(guard, F.lit(False))
     return F.coalesce(F.when(shaped, F.col("posted_at") >= cut).otherwise(F.col("first_seen") >= cut), F.lit(False))
 
 
@@ -253,7 +254,8 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
         out["has_salary"] = F.col("min_salary_annual").isNotNull()
     if (clause := salary_clause(given, caps)) is not None:
         out["salary_min" if "salary_min" in given else "salary_max"] = clause
-    posted, shaped = F.col("posted_at"), date_shaped(F.col("posted_at"))
+    posted = F.col("posted_at")
+    shaped = F.col("posted_at_comparable") if caps.has("posted_at_comparable") else date_shaped(posted)
     if "posted_sortable" in given:
         out["posted_sortable"] = shaped
     if "posted_within" in given:
@@ -274,7 +276,7 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
         if "first_seen_after" in given:
             out["first_seen_after"] = seen > datetime.fromisoformat(given["first_seen_after"]).isoformat(timespec="seconds")
     if "max_age_days" in given:
-        out["max_age_days"] = age_clause(int(given["max_age_days"]), now)
+        out["max_age_days"] = age_clause(int(given["max_age_days"]), now, caps.has("posted_at_comparable"))
     if "required_years_at_least" in given:
         out["required_years_at_least"] = F.col("min_years") >= int(given["required_years_at_least"])
     if "work_authorization" in given and caps.has("stances"):
@@ -284,7 +286,7 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
             hit = hit | F.array_contains("stances", asked.replace(":offer", ":may-offer"))
         out["work_authorization"] = hit
     if caps.has("is_confident_non_tech") and not given.get("include_non_tech"):
-        out["include_non_tech"] = ~F.coalesce(F.col("is_confident_non_tech"), F.lit(False))
+        out["include_non_tech"] = F.col("is_confident_non_tech").isNull() | (F.col("is_confident_non_tech") == F.lit(False))
     if "boards" in given:
         out["boards"] = board_clause(given["boards"])
     if given.get("exclude_boards"):

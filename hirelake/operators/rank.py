@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import group_row_number, top_per_group
 from ..functions.text import drop_last_part
 from ..functions.vectors import cosine, literal_vector
 
@@ -224,20 +225,24 @@ def closest_ids(df: DataFrame, missing: DataFrame, cutoff: float = 0.9) -> DataF
 def pick_slice(boards: DataFrame, size: int, head_share: float = 0.7, gap_share: float = 0.05, seed: int = 0) -> DataFrame:
     """Which boards are read next, with the ranking that seated each.
 
-    `boards`: board, score (null = unscored), unsettled, last_look (null = never). The head takes
-    the highest scores up to its share; the gap quota takes the most unsettled boards; the tail
-    takes the longest unseen, an unused head share rolling over to it. Ties follow a seeded hash.
+    `boards`: board, score (null = unscored), unsettled, last_look (null = never), and, where there
+    is one, detail_pass (a source that needs a read per posting, taken last in the gap quota). The
+    head takes the highest scores up to its share; the gap quota takes the most unsettled boards;
+    the tail takes the longest unseen, an unused head share rolling over to it. A size of 0, or one
+    no smaller than the list, takes every board. Ties follow a seeded hash.
     """
     tie = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("board")))
-    head_n = int(size * head_share)
     scored_boards = boards.filter(F.col("score") > 0)
-    head = scored_boards.orderBy(F.desc("score"), tie, "board").limit(head_n).select("board").withColumn("seat", F.lit("head"))
+    if not size or size >= boards.count():
+        seat = F.when(F.col("score") > 0, "head").otherwise("tail")
+        return boards.select("board", seat.alias("seat"))
+    head = scored_boards.orderBy(F.desc("score"), tie, "board").limit(size - round(size * (1 - head_share))).select("board").withColumn("seat", F.lit("head"))
     rest = boards.join(head, "board", "left_anti")
     # The head may be short: the tail's size is what is left over, known after one small count.
-    taken = head.count()
-    tail_n = size - taken
-    gap_n = int(tail_n * gap_share)
-    gap = rest.filter(F.col("unsettled") > 0).orderBy(F.desc("unsettled"), tie, "board").limit(gap_n).select("board").withColumn("seat", F.lit("gap"))
+    tail_n = size - head.count()
+    cheap_first = [F.asc("detail_pass")] if "detail_pass" in boards.columns else []
+    wanting = rest.filter(F.col("unsettled") > 0).orderBy(*cheap_first, F.desc("unsettled"), tie, "board")
+    gap = wanting.limit(round(tail_n * gap_share)).select("board").withColumn("seat", F.lit("gap"))
     waiting = rest.join(gap, "board", "left_anti")
     tail = waiting.orderBy(F.asc_nulls_first("last_look"), tie, "board").limit(tail_n - gap.count()).select("board").withColumn("seat", F.lit("tail"))
     return head.unionByName(gap).unionByName(tail)
@@ -247,11 +252,9 @@ def round_robin(edits: DataFrame, take: int | None = None) -> DataFrame:
     """Edited rows one source at a time in turn, best board first within a source.
 
     `edits`: id, source, score. With `take`, only each source's first `take` places can be among
-    the first `take` rows, so the per-source ranking is limited before the shuffle.
+    the first `take` rows, so no more are ranked; without it the numbering spreads a large source.
     """
-    order = Window.partitionBy("source").orderBy(F.desc_nulls_last("score"), F.asc("id"))
-    turns = edits.withColumn("turn", F.row_number().over(order))
-    if take is not None:
-        turns = turns.filter(F.col("turn") <= take)
-    out = turns.orderBy("turn", "source")
-    return out.limit(take) if take is not None else out
+    order = [F.desc_nulls_last("score"), F.asc("id")]
+    if take is None:
+        return group_row_number(edits, ["source"], order, "turn").orderBy("turn", "source")
+    return top_per_group(edits, ["source"], order, take, "turn").orderBy("turn", "source").limit(take)

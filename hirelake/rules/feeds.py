@@ -27,6 +27,45 @@ FEEDS = {
         "fields": {"native": "cast(item.id as string)", "title": "item.title", "url": "item.careers_url", "posted_at": "item.published_at", "location": "item.location",
                    "department": "item.department", "employment_type": "item.employment_type_code", "description": "item.description", "remote": "item.remote"},
     },
+    "ashby": {
+        "kind": "json",
+        "schema": "jobs array<struct<id:string,title:string,location:string,department:string,jobUrl:string,publishedAt:string,employmentType:string,isListed:boolean,isRemote:boolean,workplaceType:string,descriptionPlain:string,descriptionHtml:string>>",
+        "items": "filter(parsed.jobs, j -> coalesce(j.isListed, true))",
+        "fields": {"native": "item.id", "title": "trim(item.title)", "url": "item.jobUrl", "posted_at": "item.publishedAt", "location": "item.location", "department": "item.department",
+                   "employment_type": "item.employmentType", "description": "coalesce(item.descriptionPlain, item.descriptionHtml)",
+                   "remote": "case when lower(item.workplaceType) = 'hybrid' then null else item.isRemote end"},
+    },
+    "workable": {
+        "kind": "json",
+        "schema": "name string, jobs array<struct<shortcode:string,title:string,city:string,state:string,country:string,telecommuting:boolean,department:string,url:string,application_url:string,published_on:string,created_at:string,description:string,experience:string,employment_type:string>>",
+        "items": "parsed.jobs",
+        "fields": {"native": "item.shortcode", "title": "trim(item.title)", "url": "coalesce(item.url, item.application_url)", "posted_at": "coalesce(item.published_on, item.created_at)",
+                   "location": "nullif(concat_ws(', ', nullif(item.city, ''), nullif(item.state, ''), nullif(item.country, '')), '')", "department": "item.department",
+                   "employment_type": "item.employment_type", "experience": "item.experience", "description": "item.description", "remote": "item.telecommuting"},
+    },
+    "smartrecruiters": {
+        "kind": "json",
+        "schema": "content array<struct<id:string,name:string,releasedDate:string,company:struct<name:string>,location:struct<fullLocation:string,city:string,region:string,country:string,remote:boolean>,department:struct<label:string>,typeOfEmployment:struct<label:string>,experienceLevel:struct<label:string>>>",
+        "items": "parsed.content",
+        "fields": {"native": "item.id", "title": "trim(item.name)", "posted_at": "item.releasedDate", "department": "item.department.label", "employment_type": "item.typeOfEmployment.label",
+                   "location": "coalesce(array_join(filter(transform(split(item.location.fullLocation, ','), x -> trim(x)), x -> x <> ''), ', '), nullif(concat_ws(', ', item.location.city, item.location.region, item.location.country), ''))",
+                   "experience": "item.experienceLevel.label", "remote": "item.location.remote"},
+    },
+    "breezy": {
+        "kind": "json",
+        "schema": "array<struct<id:string,friendly_id:string,name:string,url:string,published_date:string,department:string,description:string,type:struct<name:string>,location:struct<name:string,is_remote:boolean>,salary:string>>",
+        "items": "parsed",
+        "fields": {"native": "item.id", "title": "trim(item.name)", "url": "item.url", "posted_at": "item.published_date", "location": "item.location.name", "department": "nullif(item.department, '')",
+                   "employment_type": "item.type.name", "description": "item.description", "salary": "item.salary", "remote": "item.location.is_remote"},
+    },
+    "teamtailor": {
+        "kind": "json",
+        "schema": "title string, items array<struct<id:string,title:string,url:string,date_published:string,content_html:string,_jobposting:struct<employmentType:string,datePosted:string,hiringOrganization:struct<name:string>,jobLocation:array<struct<address:struct<addressLocality:string,addressCountry:string>>>>>>",
+        "items": "parsed.items",
+        "fields": {"native": "item.id", "title": "trim(item.title)", "url": "item.url", "posted_at": "coalesce(item.date_published, item._jobposting.datePosted)", "description": "item.content_html",
+                   "employment_type": "item._jobposting.employmentType",
+                   "location": "nullif(array_join(array_distinct(transform(item._jobposting.jobLocation, l -> concat_ws(', ', l.address.addressLocality, l.address.addressCountry))), '; '), '')"},
+    },
     "personio": {
         "kind": "xml",
         "schema": "position array<struct<id:string,name:string,office:string,department:string,employmentType:string,seniority:string,createdAt:string>>",
