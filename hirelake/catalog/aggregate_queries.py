@@ -91,8 +91,8 @@ def _dimensions(b):
     return agg.dimension_values(b.postings)
 
 
-SAMPLED = "SELECT id, board, company, title, remote, min_years, CASE WHEN " + N + " % 3 = 0 THEN 'seniority' WHEN " + N + " % 3 = 1 THEN 'field' ELSE 'regex' END AS experience_source, " \
-          "min_salary_annual, max_salary_annual, salary_currency, first_seen, row_number() OVER (ORDER BY first_seen DESC NULLS LAST, id) AS ord FROM {postings} WHERE department = 'MACHINERY' ORDER BY first_seen DESC NULLS LAST, id LIMIT 300"
+SAMPLED = "SELECT *, row_number() OVER (ORDER BY first_seen DESC NULLS LAST, id) AS ord FROM (SELECT id, board, company, title, remote, min_years, CASE WHEN " + N + " % 3 = 0 THEN 'seniority' WHEN " + N + " % 3 = 1 THEN 'field' ELSE 'regex' END AS experience_source, " \
+          "min_salary_annual, max_salary_annual, salary_currency, first_seen FROM {postings} WHERE department = 'MACHINERY' ORDER BY first_seen DESC NULLS LAST, id LIMIT 300) newest"
 
 
 @query("requirement_summary", f"""

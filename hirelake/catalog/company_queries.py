@@ -39,10 +39,10 @@ def _salary(b):
 
 
 @query("job", """
-    WITH a AS (SELECT row_number() OVER (ORDER BY id DESC) AS position, id FROM prior)
+    WITH a AS (SELECT CAST(split_part(id, ':', 3) AS BIGINT) AS position, id FROM prior)
     SELECT position, a.id, f.title, f.id IS NOT NULL AS found FROM a LEFT JOIN fresh f ON a.id = f.id""")
 def _job(b):
-    asked = b.sql("SELECT row_number() OVER (ORDER BY id DESC) AS position, id FROM {prior}")
+    asked = b.sql("SELECT CAST(split_part(id, ':', 3) AS BIGINT) AS position, id FROM {prior}")
     return srch.job(b.fresh, asked).select("position", "id", "title", "found")
 
 

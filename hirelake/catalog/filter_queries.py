@@ -157,3 +157,10 @@ def _family(b):
 @query("filter_ids_table", "SELECT id FROM prior")
 def _ids_table(b):
     return flt.keep_ids(b.postings, b.prior).select("id")
+
+
+@query("filter_role", "SELECT id FROM postings WHERE regexp_matches(title, '\\bjava\\b', 'i')")
+def _role(b):
+    from ..rules.derivations import WATCHLIST
+
+    return flt.role_scope(b.postings, "watch:java", WATCHLIST).select("id")

@@ -282,8 +282,9 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
     if "work_authorization" in given and caps.has("stances"):
         asked = given["work_authorization"]
         hit = F.array_contains("stances", asked)
-        if asked.endswith(":offer"):
-            hit = hit | F.array_contains("stances", asked.replace(":offer", ":may-offer"))
+        # Asking for jobs that at least may offer sponsorship keeps those that do.
+        if asked == "may_offer_sponsorship":
+            hit = hit | F.array_contains("stances", "offers_sponsorship")
         out["work_authorization"] = hit
     if caps.has("is_confident_non_tech") and not given.get("include_non_tech"):
         out["include_non_tech"] = F.col("is_confident_non_tech").isNull() | (F.col("is_confident_non_tech") == F.lit(False))
@@ -355,3 +356,11 @@ def family_scope(df: DataFrame, assignments: DataFrame, family: str, retired: Ma
     """Rows assigned to a family; an old name that the family replaced counts as it."""
     names = [family, *[old for old, new in (retired or {}).items() if new == family]]
     return keep_ids(df, assignments.filter(F.col("family").isin(*names)))
+
+
+def role_scope(df: DataFrame, role: str, watchlist: Iterable[tuple]) -> DataFrame:
+    """Rows whose title one of a watched role's patterns matches; an unknown role is refused."""
+    patterns = next((p for name, _, p in watchlist if role.removeprefix("watch:") == name), None)
+    if patterns is None:
+        raise ValueError(f"role {role!r} has no watch pattern")
+    return df.filter(reduce(lambda a, b: a | b, [F.col("title").rlike(p) for p in patterns]))

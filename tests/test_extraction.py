@@ -173,3 +173,10 @@ def test_wildcards_are_literal(spark):
     df = rows(spark, [("a", "100% Co"), ("b", "1000 Co")], "id string, company string")
     got = [r["id"] for r in filters.apply_filter(df, {"company": "100%"}, "2026-01-01T00:00:00+00:00").collect()]
     assert got == ["a"]
+
+
+def test_may_offer_keeps_firm_offers(spark):
+    df = rows(spark, [("a", ["offers_sponsorship"]), ("b", ["may_offer_sponsorship"]), ("c", [])], "id string, stances array<string>")
+    kept = lambda asked: [r["id"] for r in filters.apply_filter(df, {"work_authorization": asked}, "2026-01-01T00:00:00+00:00").collect()]
+    assert kept("may_offer_sponsorship") == ["a", "b"]
+    assert kept("offers_sponsorship") == ["a"]
