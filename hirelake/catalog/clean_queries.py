@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean
-from ..rules.cleaning import ENTITIES, LANGUAGE_WORDS, LEGAL_FORMS, RAW_FIELDS
+from ..rules.cleaning import ENTITIES, LANGUAGE_WORDS, LEGAL_FORMS, RAW_FIELDS, URL_RULES
 from .filter_queries import CONTRACT, FULL_OR_NONE, INTERN, PART
 from .registry import query
 
@@ -80,7 +80,8 @@ def _resolve(b):
            CASE WHEN ats = 'nation_2' THEN 'example.org' ELSE 'example.com' END AS domain
     FROM postings""")
 def _urls(b):
-    return clean.normalise_urls(b.postings).select("id", "url", "host", "domain")
+    moved = ("nation_2", r"^https?://[^/]+/(\d+)/(\d+)$", "https://jobs.nation-two.example.org/o/$2")
+    return clean.normalise_urls(b.postings, (*URL_RULES, moved)).select("id", "url", "host", "domain")
 
 
 @query("page_domains", """

@@ -138,7 +138,8 @@ def _normalize_html(b):
     WITH x AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://(?:www\\.|m\\.)?([a-z0-9-]+)\\.example\\.(com|org)', 1)) AS tenant, regexp_extract(url, '^https?://(?:www\\.|m\\.)?[a-z0-9-]+\\.example\\.(com|org)', 1) AS tld FROM pages)
     SELECT tld || '-sites' AS provider, tenant, arg_min(url, page_id) AS url FROM x WHERE tenant <> '' GROUP BY 1, 2""")
 def _mine(b):
-    return web.mine_tenants(b.pages.select("url", F.col("page_id").alias("ord")))
+    specs = [(f"{tld}-sites", f"example.{tld}", rf"^https?://(?:www\.|m\.)?([a-z0-9-]+)\.example\.{tld}") for tld in ("com", "org")]
+    return web.mine_tenants(b.pages.select("url", F.col("page_id").alias("ord")), specs)
 
 
 @query("mine_host_graph", """

@@ -30,7 +30,6 @@ RAW_FIELDS = (
 # (source, pattern, replacement): links a source moved, brought to its current shape.
 URL_RULES = (
     ("darwinbox", r"/ms/candidate/careers/jobs/", "/ms/candidatev2/main/careers/jobDetails/"),
-    ("nation_2", r"^https?://[^/]+/(\d+)/(\d+)$", "https://jobs.nation-two.example.org/o/$2"),
 )
 
 # Common words per language; a document's language is the one whose words it holds most.

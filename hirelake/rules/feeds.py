@@ -91,12 +91,20 @@ BOARD_LINKS = (
     ("greenhouse", r"(?i)boards\.greenhouse\.io/([A-Za-z0-9_-]+)", True),
     ("lever", r"(?i)jobs\.lever\.co/([A-Za-z0-9_.-]+)", True),
     ("ashby", r"(?i)jobs\.ashbyhq\.com/([A-Za-z0-9_.%-]+)", False),
-    ("example", r"(?i)https?://([a-z0-9-]+\.example\.(?:com|org|net))", True),
+    ("recruitee", r"(?i)https?://([a-z0-9-]+)\.recruitee\.com", True),
+    ("personio", r"(?i)https?://([a-z0-9-]+)\.jobs\.personio\.(?:de|com)", True),
+    ("teamtailor", r"(?i)https?://([a-z0-9-]+)\.teamtailor\.com", True),
+    ("breezy", r"(?i)https?://([a-z0-9-]+)\.breezy\.hr", True),
+    ("smartrecruiters", r"(?i)(?:jobs|careers)\.smartrecruiters\.com/([A-Za-z0-9_-]+)", False),
+    ("workable", r"(?i)apply\.workable\.com/([A-Za-z0-9_-]+)", True),
 )
 BLOCKED_TOKENS = ("www", "api", "embed", "static", "assets", "cdn", "help", "support", "about")
 
 # (provider, registered domain, pattern with the tenant in group 1)
 TENANT_SPECS = (
-    ("com-sites", "example.com", r"^https?://(?:www\.|m\.)?([a-z0-9-]+)\.example\.com"),
-    ("org-sites", "example.org", r"^https?://(?:www\.|m\.)?([a-z0-9-]+)\.example\.org"),
+    ("recruitee", "recruitee.com", r"^https?://([a-z0-9-]+)\.recruitee\.com"),
+    ("personio", "personio.de", r"^https?://([a-z0-9-]+)\.jobs\.personio\.de"),
+    ("teamtailor", "teamtailor.com", r"^https?://([a-z0-9-]+)\.teamtailor\.com"),
+    ("breezy", "breezy.hr", r"^https?://([a-z0-9-]+)\.breezy\.hr"),
+    ("bamboohr", "bamboohr.com", r"^https?://([a-z0-9-]+)\.bamboohr\.com"),
 )
