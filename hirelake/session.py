@@ -32,17 +32,27 @@ def build_session(name: str = "hirelake", master: str | None = None, **conf: str
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for an intermediate table: under the cluster's shared `spark.checkpoint.dir`,
-    or, where none is set (tests), under one local folder of this session."""
+    """A fresh folder for an intermediate table under the cluster's shared `spark.checkpoint.dir`.
+
+    Only a local session may leave that setting out: its executors run in the driver's process, so one local
+    folder serves them all. On any other master a folder of one machine would lose rows, so this raises.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
+    if shared is None and is_local(spark.conf.get("spark.master", "")):
         shared = spark.conf.get(LOCAL_SCRATCH, None)
+        if shared is None:
+            shared = tempfile.mkdtemp(prefix="hirelake-")
+            spark.conf.set(LOCAL_SCRATCH, shared)
     if shared is None:
-        shared = tempfile.mkdtemp(prefix="hirelake-")
-        spark.conf.set(LOCAL_SCRATCH, shared)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def is_local(master: str) -> bool:
+    """Whether a master runs everything in one process (`local-cluster` does not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read back.
 
