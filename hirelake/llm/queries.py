@@ -78,7 +78,7 @@ LLM_QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_mixing,
 LLM_ORACLES = {
     "op6_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-w AS (SELECT doc_id, pos, line, list_filter(string_split_regex(lower(line), '\s+'), x -> x <> '') AS ws FROM l),
+w AS (SELECT doc_id, pos, line, list_filter(string_split_regex(lower(line), '\s+'), lambda x: x <> '') AS ws FROM l),
 d AS (SELECT ws, len(ws) AS n, min({'d': doc_id, 'pos': pos}) AS f FROM w WHERE len(ws) > 0 GROUP BY ws),
 v AS (SELECT ws, f, i, ws[1:i - 1] || ws[i + 1:] AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 8)),
 replaced AS (SELECT v, i, min(f) AS f FROM v GROUP BY v, i),
@@ -104,9 +104,9 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d
 """,
     "op10_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
