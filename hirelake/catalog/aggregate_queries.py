@@ -92,7 +92,7 @@ def _dimensions(b):
 
 
 SAMPLED = "SELECT *, row_number() OVER (ORDER BY first_seen DESC NULLS LAST, id) AS ord FROM (SELECT id, board, company, title, remote, min_years, CASE WHEN " + N + " % 3 = 0 THEN 'seniority' WHEN " + N + " % 3 = 1 THEN 'field' ELSE 'regex' END AS experience_source, " \
-          "min_salary_annual, max_salary_annual, salary_currency, first_seen FROM {postings} WHERE department = 'MACHINERY' ORDER BY first_seen DESC NULLS LAST, id LIMIT 300) newest"
+          "min_salary_annual, max_salary_annual, salary_currency, first_seen FROM {postings} WHERE department = 'MACHINERY') category"
 
 
 @query("requirement_summary", f"""
@@ -381,7 +381,7 @@ def _verify(b):
 
 @query("requirements", None)
 def _requirements_full(b):
-    """A category's newest rows with countries, stances and skills, one row a requisition."""
+    """All rows of a category with countries, stances and skills, one row a requisition."""
     from ..operators.boards import requisition_groups
     from .annotate_queries import vocabulary
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import filters as flt
 from ..operators.annotate import annotate_country, annotate_region
 from ..rules.filters import FX_RATES
@@ -116,6 +118,45 @@ query("filter_country", f"SELECT id FROM postings WHERE {_GERMANY}")(
 query("filter_country_abbreviation", f"SELECT id FROM postings WHERE {_GB}")(
     _kept({"country": "UK"}, prepare=lambda df: annotate_country(df))
 )
+query("filter_country_unknown", "SELECT count(*) FILTER (WHERE FALSE) AS kept, count(*) AS rows FROM postings")(
+    lambda b: annotate_country(b.postings).agg(
+        F.count_if(flt.compile_filter({"country": "Atlantis", "include_non_tech": True}, flt.Capabilities(frozenset(["countries"])), NOW)).alias("kept"), F.count("*").alias("rows"))
+)
+
+
+# Places drawn from keys, with the country a reader gives each.
+TOWNS = (
+    ("Warsaw, Poland", "PL"), ("Kraków", "PL"), ("São Paulo, Brazil", "BR"), ("Milan", "IT"), ("Dubai, UAE", "AE"), ("Istanbul, Türkiye", "TR"), ("Mexico City", "MX"), ("Albuquerque, New Mexico", "US"), ("Cape Town, South Africa", "ZA"),
+    ("Seoul, Republic of Korea", "KR"), ("Denver, CO", "US"), ("Bogotá, Colombia", "CO"), ("Atlanta, Georgia, USA", "US"), ("Tbilisi", "GE"), ("Paris, Texas, US", "US"), ("Vienna, VA", "US"), ("Vienna, Austria", "AT"),
+)
+_TOWN = "CASE CAST(split_part(id, ':', 3) AS BIGINT) % 17 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(TOWNS)) + " END"
+_TOWN_CODE = "CASE CAST(split_part(id, ':', 3) AS BIGINT) % 17 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(TOWNS)) + " END"
+
+
+def _served(b):
+    """The served table over varied locations, with stances by key."""
+    from ..operators.clean import served_projection
+
+    rows = annotate_region(annotate_country(b.postings.withColumn("location", F.expr(_TOWN))))
+    stance = "CASE CAST(split_part(id, ':', 3) AS BIGINT) % 4 WHEN 0 THEN array('offers_sponsorship') WHEN 1 THEN array('may_offer_sponsorship') WHEN 2 THEN array('no_sponsorship') ELSE CAST(array() AS array<string>) END"
+    return served_projection(rows.withColumn("stances", F.expr(stance)))
+
+
+@query("filter_country_served", "SELECT code, count(*) AS n FROM (SELECT " + _TOWN_CODE + " AS code FROM postings) t WHERE code IN ('PL', 'BR', 'US', 'AE', 'AT', 'GE', 'MX') GROUP BY code")
+def _country_served(b):
+    served = _served(b)
+    caps = flt.capabilities(served)
+    asked = {"PL": "Poland", "BR": "brazil", "US": "usa", "AE": "UAE", "AT": "AT", "GE": "Georgia", "MX": "mexico"}
+    hits = F.array(*[F.when(flt.compile_filter({"country": v, "include_non_tech": True}, caps, NOW, strict=True), F.lit(c)) for c, v in asked.items()])
+    return served.select(F.explode(F.array_compact(hits)).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("filter_work_authorization_served", "SELECT id FROM postings WHERE CAST(split_part(id, ':', 3) AS BIGINT) % 4 IN (0, 1)")
+def _authorization_served(b):
+    served = _served(b)
+    return served.filter(flt.compile_filter({"work_authorization": "may_offer_sponsorship", "include_non_tech": True}, flt.capabilities(served), NOW)).select("id")
+
+
 query("filter_india", "SELECT id FROM postings WHERE location IN ('Bengaluru, Karnataka, India', 'Bangalore')")(
     _kept({"india": "bengaluru"}, prepare=lambda df: annotate_region(df))
 )

@@ -69,7 +69,7 @@ def _browse(b):
     return rank.browse(b.postings.select(*BROWSE), k=20, page=3)
 
 
-@query("browse_posted", f"SELECT {', '.join(BROWSE)} FROM postings WHERE posted_at LIKE '____-__-__%' ORDER BY posted_at DESC NULLS LAST, id LIMIT 100")
+@query("browse_posted", f"SELECT {', '.join(BROWSE)} FROM postings WHERE posted_at LIKE '____-__-__%' ORDER BY posted_at DESC NULLS LAST, id LIMIT 1000")
 def _browse_posted(b):
     return rank.browse(b.postings.select(*BROWSE), where=F.col("posted_at").rlike(r"^.{4}-.{2}-.{2}"), sort="posted", k=1000)
 
@@ -105,8 +105,8 @@ def _more_like(b):
 
 
 @query("sort_within_relevance", f"""
-    WITH {SIMILAR}, w AS (SELECT * FROM s ORDER BY sim DESC, id LIMIT 2000)
-    SELECT id, label, round(sim, 3) AS score FROM w WHERE round(sim, 3) >= 0.1 ORDER BY label DESC NULLS LAST, id DESC LIMIT 30""")
+    WITH {SIMILAR}
+    SELECT id, label, round(sim, 3) AS score FROM s WHERE round(sim, 3) >= 0.1 ORDER BY label DESC NULLS LAST, id DESC LIMIT 30""")
 def _sort_within(b):
     return rank.sort_within_relevance(b.vectors, _query_vector(b), "label", floor=0.1, k=30).select("id", "label", "score")
 
@@ -123,7 +123,7 @@ def _recall(b):
 
 
 @query("spread_companies", f"""
-    WITH {SIMILAR}, r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 200),
+    WITH {SIMILAR}, r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS rank FROM s),
     p AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY rank) AS place FROM r),
     f AS (SELECT *, min(place) OVER (PARTITION BY company, label) > 2 AS past_company_cap FROM p)
     SELECT id, company, rank, past_company_cap,
@@ -131,7 +131,7 @@ def _recall(b):
     FROM f""")
 def _spread(b):
     rows = rank.scored(b.vectors, _query_vector(b)).drop("vector").withColumn("posting", F.col("label"))
-    out = rank.spread_companies(rows, 2, [F.desc("similarity"), F.asc("id")], window=200)
+    out = rank.spread_companies(rows, 2, [F.desc("similarity"), F.asc("id")])
     return out.select("id", "company", "rank", "past_company_cap", "more_from_company")
 
 
@@ -150,17 +150,17 @@ def _alerts(b):
 
 
 @query("newest_in_family", """
-    SELECT id, first_seen FROM postings WHERE department = 'MACHINERY' ORDER BY first_seen DESC NULLS LAST, id LIMIT 300""")
+    SELECT id, first_seen FROM postings WHERE department = 'MACHINERY' ORDER BY first_seen DESC NULLS LAST, id""")
 def _newest(b):
     return rank.newest_in_family(b.postings, b.sql(ASSIGNED), "machinery").select("id", "first_seen")
 
 
 @query("closest_in_family", f"""
-    WITH {SIMILAR}, w AS (SELECT * FROM s ORDER BY sim DESC, id LIMIT 100)
-    SELECT id, round(sim, 3) AS score FROM w WHERE label = 4 ORDER BY sim DESC, id LIMIT 5""")
+    WITH {SIMILAR}
+    SELECT id, round(sim, 3) AS score FROM s WHERE label = 4 ORDER BY sim DESC, id LIMIT 5""")
 def _closest_family(b):
     members = b.vectors.select("id", F.col("label").cast("string").alias("family"))
-    return rank.closest_in_family(b.vectors, members, "4", _query_vector(b), n=5, window=100).select("id", "score")
+    return rank.closest_in_family(b.vectors, members, "4", _query_vector(b), n=5).select("id", "score")
 
 
 MISSING = "SELECT board || ':' || split_part(id, ':', 3) || '9' AS id FROM {postings}"

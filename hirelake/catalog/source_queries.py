@@ -24,10 +24,9 @@ def _landed(b, name, rows, by="ats"):
 
 @query("read_postings", "SELECT id, title, location, remote, description FROM postings")
 def _read_postings(b):
-    """Written as JSON Lines, read back by schema."""
-    path = _landed(b, "postings", b.postings)
-    rows = b.spark.read.schema(S.POSTING).json(path, recursiveFileLookup=True)
-    return rows.select("id", "title", "location", "remote", "description")
+    """Written as JSON Lines, twice the same rows to a file, and read back."""
+    path = _landed(b, "postings", b.postings.unionByName(b.postings).repartition(F.col("id")))
+    return files.read_postings(b.spark, path, "*.json").select("id", "title", "location", "remote", "description")
 
 
 @query("union_fragments", "SELECT id, title FROM prior UNION SELECT id, title FROM fresh")
@@ -68,7 +67,7 @@ def _snapshot(b):
     path = scratch_path(b.spark, "snapshot")
     files.write_snapshot(b.prior.select("id", "title", "min_salary_annual"), path)
     files.write_snapshot(b.fresh.select("id", "title", "min_salary_annual"), path)
-    return b.spark.read.parquet(path)
+    return files.read_snapshot(b.spark, path)
 
 
 @query("overwrite_partitions", """

@@ -45,14 +45,22 @@ def _flow(b):
 
 
 
-@query("stream_grace")
+_RUNS = "SELECT 'u' || CAST(user_id AS STRING) AS id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS run, bool_or({said}) AS ok FROM events GROUP BY 1, 2"
+# A streak is the runs since the last good one.
+_STREAKS = "r AS ({runs}), k AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY id ORDER BY run) AS streak FROM r), m AS (SELECT *, row_number() OVER (PARTITION BY id, streak, ok ORDER BY run) AS n, lag(run) OVER (PARTITION BY id ORDER BY run) AS before FROM k)"
+
+
+@query("stream_grace", f"WITH {_STREAKS.format(runs=_RUNS.format(said='value > 40'))} SELECT id, run, CASE WHEN n % 2 = 0 THEN 'delete' ELSE 'unconfirmed' END AS action FROM m WHERE NOT ok")
 def _grace(b):
     run = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
     rows = _stream(b, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), run.alias("run"), (F.col("value") > 40).alias("present"))
     return _run(b, jobs.stream_grace(rows), "grace")
 
 
-@query("stream_strikes")
+@query("stream_strikes", f"""
+    WITH {_STREAKS.format(runs=_RUNS.format(said='value > 150'))}
+    SELECT id AS board, run, CAST(CASE WHEN ok THEN 0 ELSE n END AS INT) AS strikes,
+           CASE WHEN ok THEN 'cleared' WHEN n > 5 AND run - before >= 7 THEN 'reconfirmed' WHEN n >= 5 THEN 'quarantined' ELSE 'struck' END AS verdict FROM m""")
 def _strikes(b):
     run = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
     outcome = F.when(F.col("value") > 150, "produced").otherwise("gone")
@@ -71,7 +79,7 @@ def _alerts(b):
     subscriptions = topics.select(F.concat(F.lit("s-"), "topic").alias("subscription"), "topic", F.when(F.col("topic") == "view", "2024-01-20").otherwise("2024-01-10").alias("watermark"))
     out = scratch_path(b.spark, "alerts")
     jobs.stream_alerts(rows, subscriptions, out, scratch_path(b.spark, "alerts-state")).awaitTermination()
-    return b.spark.read.parquet(out).select("subscription", "id", "place")
+    return b.spark.read.parquet(f"{out}/sent").select("subscription", "id", "place")
 
 
 @query("late_rows", """

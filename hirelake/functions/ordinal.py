@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: The largest `row_number() <= n` Spark limits before the shuffle by default.
-SPARK_GROUP_LIMIT = 1_000
-
 
 def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
     """`row_number()` within `keys`, exact, for groups of any size.
@@ -34,14 +31,12 @@ def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rn") -> DataFrame:
-    """The first `n` rows of each group with their place. A small `n` is limited by Spark before the
-    shuffle; a larger one is first limited within parts of each group, so a group that holds most
-    rows never sorts in one task."""
+    """The first `n` rows of each group with their place. Each part of a group is limited to `n`
+    rows first, so a group that holds most rows never sorts in one task."""
     keys = list(keys)
     final = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    if n > SPARK_GROUP_LIMIT:
-        part = Window.partitionBy("_part", *keys).orderBy(*order)
-        df = df.withColumn("_part", F.spark_partition_id()).withColumn("_in_part", F.row_number().over(part)).filter(F.col("_in_part") <= n).drop("_part", "_in_part")
+    part = Window.partitionBy("_part", *keys).orderBy(*order)
+    df = df.withColumn("_part", F.spark_partition_id()).withColumn("_in_part", F.row_number().over(part)).filter(F.col("_in_part") <= n).drop("_part", "_in_part")
     return df.withColumn(name, final).filter(F.col(name) <= n)
 
 

@@ -53,14 +53,20 @@ def word_pattern(words) -> str:
 
 
 def keyword_terms(kw: str, limit: int, length: int) -> list[tuple[str, str]]:
-    """`(literal, pattern)` per term: a quoted phrase is one term, each matches at a word start."""
+    """`(literal, pattern)` per term: a quoted phrase is one term, each matches at a word start.
+    More than `limit` terms, or one over `length` characters, are refused: reading only part of
+    them would match more rows than asked."""
     out = []
     for phrase, word in re.findall(r'"([^"]*)"|([^\s"]+)', kw.replace("“", '"').replace("”", '"')):
-        words = (phrase or word)[:length].lower().split()
+        if len(phrase or word) > length:
+            raise ValueError(f"a keyword may have at most {length} characters")
+        words = (phrase or word).lower().split()
         if words:
             start = "(^|[^a-z0-9])" if re.match(r"[a-z0-9]", words[0]) else ""
             out.append((words[0], "(?i)" + start + "[^a-z0-9]+".join(rx_escape(w) for w in words)))
-    return out[:limit]
+    if len(out) > limit:
+        raise ValueError(f"at most {limit} keywords may be asked for at once")
+    return out
 
 
 def key_prefixes(key: Column) -> Column:

@@ -144,13 +144,13 @@ def dimension_values(df: DataFrame) -> DataFrame:
 
 def requirement_summary(sample: DataFrame, vocabulary: DataFrame | None = None, per_company: int | None = None,
                         top: int = 10, currencies: int = 5, skills: int = 40) -> DataFrame:
-    """`(section, name, n, extra)` over a sample of postings, one row a requisition and at most
+    """`(section, name, n, extra)` over a scope of postings, one row a requisition and at most
     `per_company` of one employer's: experience bands (stated, estimated, none), pay quartiles of
     range midpoints for the top currencies, companies, countries, remote, stances, skills with
     their employers.
 
-    `sample`: a search window or a category's newest rows, with `requisition_leader` (its group's
-    first row) and `ord` (its place in the sample). `extra` holds quartiles or employers.
+    `sample`: a search's or a category's rows, all of them or as many as the caller chose, with
+    `requisition_leader` (its group's first row) and `ord` (its place). `extra` holds quartiles or employers.
     """
     rows = sample.filter(F.col("id") == F.col("requisition_leader")) if "requisition_leader" in sample.columns else sample
     rows = rows.withColumn("_company", company_key(F.col("company"), F.col("board")))
@@ -170,8 +170,9 @@ def requirement_summary(sample: DataFrame, vocabulary: DataFrame | None = None,
         F.coalesce("min_salary_annual", "max_salary_annual"))
     paid = kept.withColumn("_mid", middle.cast("double")).filter(F.col("_mid").isNotNull() & F.col("salary_currency").isNotNull())
     common = paid.groupBy("salary_currency").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "salary_currency").limit(currencies)
-    # The sample is bounded, so Spark's own exact percentile serves.
-    quartiles = paid.groupBy("salary_currency").agg(*[F.floor(F.percentile("_mid", s) + 0.5).alias(n) for s, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    shares = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    at = exact_percentiles(paid, "_mid", tuple(shares), keys=["salary_currency"])
+    quartiles = at.groupBy("salary_currency").agg(*[F.floor(F.max(F.when(F.col("share") == s, F.col("value"))) + 0.5).alias(n) for s, n in shares.items()])
     pay = common.join(quartiles, "salary_currency")
     parts.append(pay.select(F.lit("salary").alias("section"), F.col("salary_currency").alias("name"), "n",
                             F.concat_ws("/", *[F.col(c).cast("bigint").cast("string") for c in ("p25", "p50", "p75")]).alias("extra")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import top_per_group
@@ -56,11 +56,13 @@ def annotate_country(df: DataFrame, countries: DataFrame | None = None, column:
     A sure term names its country whatever else is said. A city word counts unless another country
     is stated by name or code. A shared segment, or a shared word beside no other country's shared
     segment, counts only where no other country is named for sure.
+    Terms may have any number of words.
     """
     terms = countries if countries is not None else gazetteer(df.sparkSession)
+    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     places = df.select(F.col(column).alias("_place")).where(F.col("_place").isNotNull()).distinct()
     text = F.lower("_place")
-    words = places.select("_place", F.explode(_word_terms(text, 3)).alias("term"), F.lit(True).alias("as_word"))
+    words = places.select("_place", F.explode(_word_terms(text, longest)).alias("term"), F.lit(True).alias("as_word"))
     segments = places.select("_place", F.explode(_segment_terms(text)).alias("term"), F.lit(False).alias("as_word"))
     wordy = F.col("kind").isin("word", "shared_word", "city_word", "name")
     hits = words.unionByName(segments).join(terms, "term").filter(wordy == F.col("as_word"))
@@ -74,19 +76,28 @@ def annotate_country(df: DataFrame, countries: DataFrame | None = None, column:
         codes("shared_segment").alias("shared_seg"),
         codes("shared_word").alias("shared_word"),
         codes("name", "segment", "shared_segment").alias("stated"),
+        F.collect_set(F.when(F.col("kind") == "shared_word", F.struct("term", "code"))).alias("bearers"),
     )
 
     def others(array: str, code: Column) -> Column:
         return F.exists(F.col(array), lambda x: x != code)
 
     city = F.filter("city", lambda c: ~others("stated", c))
-    shared_word = F.filter("shared_word", lambda c: ~others("shared_seg", c))
+    # Of the countries that bear a word, one named otherwise takes it from the rest ("Tbilisi, Georgia").
+    taken = lambda c: F.exists("bearers", lambda b: (b["code"] == c) & F.exists("bearers", lambda o: (o["term"] == b["term"]) & (o["code"] != c) & F.array_contains(F.array_union("sure", city), o["code"])))
+    shared_word = F.filter("shared_word", lambda c: ~others("shared_seg", c) & ~taken(c))
     shared = F.filter(F.array_union("shared_seg", shared_word), lambda c: ~others("sure", c))
     named = found.select("_place", F.array_sort(F.array_union(F.array_union("sure", city), shared)).alias("countries"))
     empty = F.array().cast("array<string>")
-    return df.join(named, df[column] == named["_place"], "left").drop("_place").withColumn(
-        "countries", F.coalesce("countries", empty)
-    )
+    return _join_back(df, column, named).withColumn("countries", F.coalesce("countries", empty))
+
+
+def _join_back(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """`df` with what `found` (one row a `_place`) says of its column's value. Rows without a value
+    match nothing and are dealt out evenly instead of meeting in one task."""
+    spread = F.concat(F.lit("\x1f"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    keyed = df.withColumn("_key", F.coalesce(F.col(column), spread))
+    return keyed.join(found, F.col("_key") == F.col("_place"), "left").drop("_place", "_key")
 
 
 def annotate_region(df: DataFrame, places: Mapping[str, Mapping] = INDIA_PLACES, states: Sequence[str] = INDIA_STATES,
@@ -109,9 +120,7 @@ def annotate_region(df: DataFrame, places: Mapping[str, Mapping] = INDIA_PLACES,
         found.append(F.when(hit, F.lit(rule["state"])))
     found += [F.when(named((s,)), F.lit(s)) for s in states]
     read = distinct.select("_place", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("places"))
-    return df.join(read, df[column] == read["_place"], "left").drop("_place").withColumn(
-        "places", F.coalesce("places", F.array().cast("array<string>"))
-    )
+    return _join_back(df, column, read).withColumn("places", F.coalesce("places", F.array().cast("array<string>")))
 
 
 # --- employment type, band, remote -----------------------------------------------------------
@@ -136,13 +145,11 @@ def annotate_band(df: DataFrame) -> DataFrame:
 
 
 def remote_signal(text: Column) -> Column:
-    """"remote", "hybrid", "onsite" or null: a tag first, then negation, on-site, hybrid, remote."""
-    tag = F.lower(F.concat(F.regexp_extract(text, R.REMOTE_TAG, 1), F.regexp_extract(text, R.REMOTE_TAG, 2)))
-    plain = F.regexp_replace(text, R.REMOTE_JARGON, " ")
-    out = F.when(tag != "", tag)
-    for verdict, pattern in R.REMOTE_LADDER:
-        out = out.when(plain.rlike(pattern), F.lit(verdict))
-    return out
+    """"remote", "hybrid", "onsite" or null: a tag first, then the phrases of each verdict in turn."""
+    low = F.lower(text)
+    plain = F.regexp_replace(text, R.REMOTE_THINGS, " ")
+    verdicts = [(low.contains(tag), v) for tag, v in R.REMOTE_TAGS.items()] + [(plain.rlike(said), v) for v, said in R.REMOTE_PHRASES]
+    return F.coalesce(*[F.when(hit, F.lit(v)) for hit, v in verdicts])
 
 
 def annotate_remote(df: DataFrame) -> DataFrame:
@@ -189,10 +196,10 @@ def _reader(pattern: str):
 def experience_columns(field: Column, description: Column, title: Column,
                        company: Column | None = None) -> tuple[dict[str, Column], ...]:
     """Steps of columns: the text made ready, the spans it states, the cascade's answer and every floor."""
-    part = lambda n: F.regexp_extract(field, R.EXPERIENCE_FIELD, n)
-    lo, hi = part(1).try_cast("int"), part(3).try_cast("int")
-    months = (part(2) != "") | (part(4) != "") | (part(5) != "")
-    hi_months = (part(4) != "") | (part(5) != "")
+    lo = F.regexp_extract(field, R.EXPERIENCE_FIRST, 1).try_cast("int")
+    hi = F.regexp_extract(field, R.EXPERIENCE_SECOND, 1).try_cast("int")
+    hi_months = field.rlike(R.EXPERIENCE_SECOND_MONTHS)
+    months = hi_months | field.rlike(R.EXPERIENCE_MONTHS)
     f_lo = F.when(months, F.floor(lo / 12).cast("int")).otherwise(lo)
     f_hi = F.when(hi_months, F.ceil(hi / 12).cast("int")).otherwise(hi)
     from_field = F.when(f_lo <= R.MAX_FIELD_YEARS, F.struct(
@@ -278,8 +285,9 @@ def _currency(*marks: Column) -> Column:
 
 
 def _bound(table: Mapping[str, int], currency: Column) -> Column:
+    """A currency's bound; none named is read as dollars, one without a bound has null."""
     rows = F.create_map(*[x for c, v in table.items() for x in (F.lit(c), F.lit(v))])
-    return F.coalesce(F.try_element_at(rows, F.coalesce(currency, F.lit("USD"))), F.lit(table["USD"]))
+    return F.try_element_at(rows, F.coalesce(currency, F.lit("USD")))
 
 
 def _span(low: Column, low_unit: Column, high: Column, high_unit: Column, currency: Column, factor: Column) -> Column:
@@ -305,11 +313,25 @@ def _span(low: Column, low_unit: Column, high: Column, high_unit: Column, curren
     return let(let(parsed, yearly), bounded)
 
 
-def salary_from_field(value: Column) -> Column:
+def salary_from_field(value: Column, source: Column | None = None) -> Column:
+    """What a field states. A source that quotes by the month without saying so has figures too small
+    for a year read as monthly."""
     part = lambda n: F.regexp_extract(value, R.SALARY_FIELD, n)
     code = F.regexp_extract(value, r"(?i)\b(" + "|".join(R.CURRENCY_CODES) + r")\b", 1)
     symbol = F.regexp_extract(value, r"((?:CA|C|HK|SG|S|AU|A|NZ|US)\$|[£€₹])", 1)
-    return F.when(value.rlike(r"\d"), _span(part(1), part(2), part(4), part(5), _currency(code, symbol), _period(value)))
+    read = lambda factor: _span(part(1), part(2), part(4), part(5), _currency(code, symbol), factor)
+    currency = _currency(code, symbol)
+    silent = ~value.rlike(r"(?i)year|annum|annual|\bpa\b|" + "|".join(p.removeprefix("(?i)") for p, _ in R.PERIODS))
+    # Rupees in thousands without a period are monthly where they are pay at all.
+    thousands = F.coalesce(currency == "INR", F.lit(False)) & silent & value.rlike(r"(?i)\dk\b")
+    span = F.when(~thousands, read(_period(value)))
+    if source is not None:
+        figures_only = F.regexp_replace(value, r"(?i)\b(?:to|[a-z]{3})\b|\dk\b", "").rlike(r"^[^a-zA-Z]*$")
+        monthly = F.coalesce(source.isin(*R.MONTHLY_SOURCES), F.lit(False)) & silent & figures_only & currency.isin(*R.MONTHLY_CURRENCIES)
+        by_month = F.when(monthly, read(F.lit(12)))
+        small = F.coalesce(by_month["hi"], by_month["lo"]) <= 12 * R.THOUSANDS_INR_MONTHLY
+        span = F.coalesce(span, F.when(~thousands | small, by_month))
+    return F.when(value.rlike(r"\d"), span)
 
 
 def salary_from_text(description: Column) -> Column:
@@ -349,7 +371,7 @@ def salary_from_text(description: Column) -> Column:
 def annotate_salary(df: DataFrame, field: str = "salary") -> DataFrame:
     """min/max yearly pay, currency and source; `countries` (when present) drops a rupee figure too
     small to be pay where the posting is."""
-    df = df.withColumn("_field", salary_from_field(F.col(field)) if field in df.columns else F.lit(None).cast("struct<lo:bigint,hi:bigint,currency:string>"))
+    df = df.withColumn("_field", salary_from_field(F.col(field), F.col("ats") if "ats" in df.columns else None) if field in df.columns else F.lit(None).cast("struct<lo:bigint,hi:bigint,currency:string>"))
     df = df.withColumn("_text", F.when(F.col("_field").isNull(), salary_from_text(F.col("description"))))
     span = F.coalesce("_field", "_text")
     if "countries" in df.columns:
@@ -578,87 +600,71 @@ def mention_sentences(df: DataFrame, width: int = R.MENTION_CHARS) -> DataFrame:
 
 
 def stated_end_date(df: DataFrame) -> DataFrame:
-    """`end_day` and `end_said`: the latest closing day the text states, with its words."""
-    month = "(" + "|".join(f"{m}|{m[:3]}" for m in R.MONTHS) + r")\.?"
-    gap = r"[\s:–-]*(?:(?:is|on|by) )?(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? )?"
-    forms = (
-        (rf"{month} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})\b", (3, 1, 2)),
-        (rf"(\d{{1,2}})(?:st|nd|rd|th)? (?:of )?{month},? (\d{{4}})\b", (3, 2, 1)),
-        (r"(\d{4})[-./](\d{1,2})[-./](\d{1,2})\b", (1, 2, 3)),
-        (r"(\d{1,2})[-./](\d{1,2})[-./](\d{4})\b", None),
-    )
+    """`end_day` and `end_said`: the latest closing day the text states, with its words.
+
+    A closing phrase is read with what stands behind it up to a day: day, month and year in figures
+    or with the month's name. Figures that could be two days are left out.
+    """
     text = squash(F.col("description"))
-    month_number = F.create_map(*[x for i, m in enumerate(R.MONTHS) for x in (F.lit(m[:3]), F.lit(i + 1))])
-
-    def stated(form: str, order: tuple | None) -> Column:
-        whole = rf"(?i)({R.END_LABEL}{gap}{form})"
-
-        def read(said: Column) -> Column:
-            # Group 1 is the whole phrase, so the form's own groups start at 2.
-            g = [F.regexp_extract(said, whole, n + 1) for n in range(4)]
-            if order is None:
-                a, b = g[1].try_cast("int"), g[2].try_cast("int")
-                sure = (a == b) | (a > 12) | (b > 12)  # 5/10 is two different days
-                year, mon, day = g[3], F.when(a <= 12, a).otherwise(b), F.when(a <= 12, b).otherwise(a)
-                iso = F.concat_ws("-", year, F.lpad(mon.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-                return F.struct(F.when(sure, iso.try_cast("date")).alias("day"), said.alias("said"))
-            year, mon, day = (g[n] for n in order)
-            mon = F.coalesce(mon.try_cast("int"), F.try_element_at(month_number, F.lower(F.substring(mon, 1, 3))))
-            iso = F.concat_ws("-", year, F.lpad(mon.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
-            return F.struct(iso.try_cast("date").alias("day"), said.alias("said"))
-
-        return F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(1)), read)
+    filler = r"(?:[\s:–,.-]*\b(?:" + "|".join(R.CLOSING_FILLERS) + r")\b)*[\s:–,.-]*"
+    day = r"((?:\d{1,4}(?:st|nd|rd|th)?|[a-z]{3,9})(?:[\s,./-]+(?:of )?(?:\d{1,4}(?:st|nd|rd|th)?|[a-z]{3,9})\b\.?){2})"
+    closing = F.regexp_extract_all(text, F.lit(f"{R.CLOSING_PHRASES}{filler}{day}"), F.lit(0))
+
+    def read(said: Column) -> Column:
+        low = F.lower(F.regexp_extract(said, f"{R.CLOSING_PHRASES}{filler}{day}", 1))
+        parts = F.filter(F.split(F.regexp_replace(low, r"\bof\b|(?<=\d)(?:st|nd|rd|th)\b", " "), r"[\s,./-]+"), lambda w: w != "")
+        figures = F.transform(parts, lambda w: w.try_cast("int"))
+        named = F.filter(F.transform(parts, lambda w: F.coalesce(*[F.when(w.isin(m, m[:3]), F.lit(i + 1)) for i, m in enumerate(R.MONTHS)])), lambda n: n.isNotNull())
+        year = F.filter(figures, lambda n: n >= 1000)
+        small = F.filter(figures, lambda n: n < 1000)
+        # Year first is year, month, day. Else the month has a name, or one of the two is over 12, or both are equal.
+        a, b = F.get(small, F.lit(0)), F.get(small, F.lit(1))
+        year_first = F.get(figures, F.lit(0)) >= 1000
+        month = F.when(F.size(named) == 1, F.get(named, F.lit(0))).when(year_first, a).when(a > 12, b).when((b > 12) | (a == b), a)
+        of_month = F.when(F.size(named) == 1, a).when(year_first, b).when(a > 12, a).when((b > 12) | (a == b), b)
+        iso = F.concat_ws("-", F.get(year, F.lit(0)).cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(of_month.cast("string"), 2, "0"))
+        sure = (F.size(year) == 1) & month.isNotNull() & of_month.isNotNull()
+        return F.struct(F.when(sure, iso.try_cast("date")).alias("day"), F.regexp_replace(said, r"[\s.,]+$", "").alias("said"))
 
     low, high = R.END_YEARS
-    fit = F.filter(F.concat(*[stated(f, o) for f, o in forms]), lambda e: F.year(e["day"]).between(low, high))
+    fit = F.filter(F.transform(closing, read), lambda e: F.year(e["day"]).between(low, high))
     return df.withColumn("_end", F.array_max(fit)).withColumn("end_day", F.col("_end.day")).withColumn("end_said", F.col("_end.said")).drop("_end")
 
 
-#: A vocabulary up to this many terms is tested inside the row.
-MAX_INLINE_TERMS = 20_000
-
-
-def skill_mentions(df: DataFrame, vocabulary: DataFrame, longest: int = 3) -> DataFrame:
+def skill_mentions(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """One row per posting and vocabulary term its text holds.
 
     `vocabulary`: term, skill, exact_case (match as written), list_only (counts only beside another
     term in a comma list), not_after (a preceding word that makes it another thing). The longest
     term at a position wins, and an employer's own product is not a skill.
+
+    Each word of a text, with as many words behind it as the longest term has, meets the terms that
+    begin with it; terms of any length match.
     """
+    vocab = vocabulary.withColumn("_key", F.split(F.lower("term"), " ")).withColumn("_head", F.col("_key")[0]).withColumn("n", F.size("_key"))
+    longest = vocab.agg(F.max("n")).first()[0] or 1
     words = F.filter(F.split(F.regexp_replace(F.col("description"), r"[^\p{L}\p{N}+#.,]+", " "), r" |(?=,)"), lambda w: w != "")
     clean = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, r"^,+", ","), r"\.+$", ""))
     base = df.select("id", F.lower(F.coalesce("company", F.lit(""))).alias("_company"), clean.alias("_w")).filter(F.size("_w") > 0)
-    base = base.withColumn("_p", F.transform("_w", lambda w: F.regexp_replace(w, "^,", ""))).withColumn("_l", F.transform("_p", lambda w: F.lower(w)))
-    vocab = vocabulary.withColumn("key", F.lower("term"))
-    # A vocabulary is rule data. Its words test the text inside the row, so only hits are exploded;
-    # one too large to inline leaves the test to the join.
-    keys = [r["key"] for r in vocab.select("key").distinct().limit(MAX_INLINE_TERMS + 1).collect()]
-    inline = len(keys) <= MAX_INLINE_TERMS
-    heads = sorted({k.split(" ")[0] for k in keys})
-    places = F.sequence(F.lit(1), F.size("_w"))
-    starts = F.filter(places, lambda i: F.element_at("_l", i).isin(*heads)) if inline else places
-    wanted = (lambda g: g["key"].isin(*keys)) if inline else (lambda g: F.lit(True))
-
-    def at(i: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - i + 1))
-        return F.transform(lengths, lambda n: F.struct(
-            i.alias("at"), n.alias("n"), F.array_join(F.slice("_p", i, n), " ").alias("text"), F.array_join(F.slice("_l", i, n), " ").alias("key")))
-
-    grams = F.flatten(F.transform(starts, at))
-    rows = base.select("id", "_company", "_w", F.inline(F.filter(grams, wanted)))
-    rows = rows.withColumn("before", F.lower(F.when(F.col("at") > 1, F.element_at("_w", F.col("at") - 1))))
-    starts_list = F.element_at("_w", F.col("at")).startswith(",")
-    after = F.when(F.col("at") + F.col("n") <= F.size("_w"), F.element_at("_w", F.col("at") + F.col("n")))
-    rows = rows.withColumn("in_list", starts_list | F.coalesce(after.startswith(","), F.lit(False))).drop("_w")
-    hits = rows.join(vocab, "key")
-    hits = hits.filter(~F.col("exact_case") | (F.col("text") == F.col("term")))
-    hits = hits.filter(~F.col("list_only") | F.col("in_list"))
+    # A word with its neighbours: the one before, and enough behind for the longest term and the word that follows it.
+    around = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.struct(
+        i.alias("at"), F.slice("_w", i, longest + 1).alias("_run"), F.when(i > 1, F.lower(F.element_at("_w", i - 1))).alias("before")))
+    rows = base.select("id", "_company", F.inline(around))
+    bare = F.transform("_run", lambda w: F.regexp_replace(w, "^,", ""))
+    rows = rows.withColumn("_text", bare).withColumn("_low", F.transform("_text", lambda w: F.lower(w)))
+    hits = rows.join(vocab, F.col("_low")[0] == F.col("_head")).filter(F.slice("_low", 1, F.col("n")) == F.col("_key"))
+    after = F.get("_run", F.col("n"))
+    in_list = F.col("_run")[0].startswith(",") | F.coalesce(after.startswith(","), F.lit(False))
+    hits = hits.filter(~F.col("exact_case") | (F.array_join(F.slice("_text", 1, F.col("n")), " ") == F.col("term")))
+    hits = hits.filter(~F.col("list_only") | in_list)
     hits = hits.filter(F.col("not_after").isNull() | F.col("before").isNull() | (F.col("before") != F.lower("not_after")))
     hits = hits.filter(~F.col("_company").contains(F.lower("skill")))
-    # Within one text, a hit is dropped when a longer hit covers its place.
-    spans = hits.groupBy("id").agg(F.collect_set(F.struct("at", "n", "skill")).alias("_hits"))
-    kept = F.filter("_hits", lambda h: ~F.exists("_hits", lambda o: (o["n"] > h["n"]) & (o["at"] <= h["at"]) & (o["at"] + o["n"] >= h["at"] + h["n"])))
-    return spans.select("id", F.explode(F.array_distinct(F.transform(kept, lambda h: h["skill"]))).alias("skill"))
+    # Read from the left, longer hits first, a hit is covered when an earlier one reaches as far.
+    spans = hits.groupBy("id", "at", "n").agg(F.collect_set("skill").alias("_skills"))
+    before = Window.partitionBy("id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_reach", F.max(F.col("at") + F.col("n")).over(before))
+    kept = spans.filter(F.col("_reach").isNull() | (F.col("_reach") < F.col("at") + F.col("n")))
+    return kept.select("id", F.explode("_skills").alias("skill")).distinct()
 
 
 # --- who a board belongs to ------------------------------------------------------------------

@@ -371,6 +371,7 @@ def posting_groups(df: DataFrame) -> DataFrame:
     named = (F.col("_title") != "") & (F.col("_name") != "") & (F.col("_place") != "")
     key = F.when(named, F.concat_ws("\x1f", "_title", F.when(F.col("_words") != "", F.col("_words")).otherwise(F.col("_name")), "_place", "_countries"))
     classes = rows.select("id", "ord", "board", F.coalesce(key, F.concat(F.lit("\x1e"), F.col("id"))).alias("_class"))
+    classes = cut_lineage(classes)  # read five times below
     # Most classes hold one row a board; only the others need their rows numbered.
     several = classes.groupBy("_class", "board").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_class", "board")
     single = classes.join(several, ["_class", "board"], "left_anti").withColumn("_k", F.lit(1).cast("bigint"))
@@ -380,7 +381,7 @@ def posting_groups(df: DataFrame) -> DataFrame:
     return numbered.join(leaders, ["_class", "_k"]).select("id", F.col("_l.id").alias("leader"))
 
 
-def requisition_groups(df: DataFrame, max_rounds: int = 50) -> DataFrame:
+def requisition_groups(df: DataFrame) -> DataFrame:
     """`(id, leader)`: rows of one requisition, led by the first.
 
     A row belongs to the earliest leader it matches: the same title without brackets, and the same
@@ -406,7 +407,7 @@ def requisition_groups(df: DataFrame, max_rounds: int = 50) -> DataFrame:
     open_profiles = cut_lineage(profiles.join(contested, ["_stem", "_head"], "left_semi"))
     current = cut_lineage(leaders.join(contested, ["_stem", "_head"], "left_semi"))
     joined = None
-    for _ in range(max_rounds):
+    while True:  # each round settles at least the earliest open leader for good
         joined = _earliest_leader(open_profiles, current)
         free = joined.filter(F.col("_to").isNull())
         again = cut_lineage(free.groupBy("_stem", "_head", "_name").agg(F.min(F.struct("first", "_words", "_place", "_countries", "_pay")).alias("l")))
@@ -415,8 +416,6 @@ def requisition_groups(df: DataFrame, max_rounds: int = 50) -> DataFrame:
         current = again
         if still:
             break
-    else:
-        raise RuntimeError("requisition leaders did not settle")
     joined = _earliest_leader(open_profiles, current)
     own = leaders.select("_stem", "_head", "_name", F.col("l.first").alias("_own"))
     mine = current.select("_stem", "_head", "_name", F.col("l.first").alias("_own_open"))
@@ -463,7 +462,7 @@ def _earliest_leader(profiles: DataFrame, leaders: DataFrame) -> DataFrame:
 # --- companies -------------------------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """`(node, component)`: the lowest node reachable over the edges (a, b).
 
     Labels travel by joins, and each round also jumps to the label of the label, so long chains
@@ -471,7 +470,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
     """
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so rounds end
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_near"))
         least = labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("component", F.coalesce("_near", "component")).alias("_c"), F.col("component").alias("_old"))
         hop = least.select(F.col("node").alias("_n"), F.col("_c").alias("_cc"))
@@ -480,7 +479,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
         labels = jumped.select("node", "component")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def group_companies(boards: DataFrame, curated: DataFrame) -> DataFrame:

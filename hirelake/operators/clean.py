@@ -228,11 +228,11 @@ def served_posted_at(posted: Column, first_seen: Column) -> Column:
 
 
 SERVED_ORDER = (
-    "id", "ats", "company", "title", "description", "description_stored", "location", "country", "remote", "employment_type",
+    "id", "ats", "board", "company", "title", "description", "description_stored", "location", "countries", "places", "remote", "employment_type",
     "is_full_time", "is_part_time", "is_contract", "is_internship", "experience", "min_years", "max_years", "experience_source",
     "experience_at_most_0", "experience_at_most_2", "experience_at_most_5", "experience_at_most_10", "salary",
     "min_salary_annual", "max_salary_annual", "salary_currency", "salary_source", "salary_known", "department",
-    "is_confident_non_tech", "url", "requisition", "posted_at", "posted_at_comparable", "first_seen", "vector",
+    "is_confident_non_tech", "stances", "operator", "family", "url", "requisition", "posted_at", "posted_at_comparable", "first_seen", "vector",
 )
 
 

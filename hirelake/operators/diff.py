@@ -253,13 +253,13 @@ def refresh_served(table: DataFrame, store: DataFrame, columns: Sequence[str], c
 # --- vectors ---------------------------------------------------------------------------------
 
 
-def classify_changes(corpus: DataFrame, prior: DataFrame, regate: DataFrame | None = None, cap: int = 2000,
+def classify_changes(corpus: DataFrame, prior: DataFrame, regate: DataFrame | None = None, cap: int | None = None,
                      scores: DataFrame | None = None) -> DataFrame:
     """`(id, status)`: new, upgraded, edited, deferred, rejected, dropped or done.
 
     `corpus`: id, source, board, doc_hash, has_description, kept (the language gate). `prior`: id,
     doc_hash, has_description. Text arrived over a title-only vector is an upgrade; a differing
-    hash is an edit, at most `cap` a run, taken one source at a time; a gate failure rejects a new
+    hash is an edit; where a `cap` a run is stated, edits are taken one source at a time and the rest deferred; a gate failure rejects a new
     document and drops a held one.
     """
     held = prior.select("id", F.col("doc_hash").alias("_ph"), F.col("has_description").alias("_pd"), F.lit(True).alias("_held"))
@@ -279,6 +279,8 @@ def classify_changes(corpus: DataFrame, prior: DataFrame, regate: DataFrame | No
         .when(F.coalesce("_regate", F.lit(False)) & ~kept, "dropped").otherwise("done")
     )
     rows = rows.withColumn("status", status)
+    if cap is None:
+        return rows.select("id", "status")
     edits = rows.filter(F.col("status") == "edited")
     if scores is not None:
         edits = edits.join(scores.select("board", "score"), "board", "left")
@@ -294,12 +296,14 @@ def classify_changes(corpus: DataFrame, prior: DataFrame, regate: DataFrame | No
 def merge_vectors(store: DataFrame, fragments: DataFrame, replaced: DataFrame, dropped: DataFrame) -> DataFrame:
     """The store with its fragments appended. An id to be replaced goes only if its replacement
     arrived, an id that failed the gate goes outright, and an id already held is not added twice.
-    Fragments repeating an id count once."""
+    Of fragments repeating an id the lowest by value counts."""
     arrived = fragments.select("id").distinct()
     swap = replaced.select("id").distinct().join(arrived, "id", "left_semi")
     gone = swap.unionByName(dropped.select("id").distinct()).distinct()
     kept = store.join(gone, "id", "left_anti")
-    new = fragments.dropDuplicates(["id"]).join(kept.select("id"), "id", "left_anti").join(dropped.select("id").distinct(), "id", "left_anti")
+    others = [c for c in store.columns if c != "id"]
+    single = fragments.groupBy("id").agg(F.min(F.struct(*others)).alias("_f")).select("id", *[F.col(f"_f.{c}").alias(c) for c in others])
+    new = single.join(kept.select("id"), "id", "left_anti").join(dropped.select("id").distinct(), "id", "left_anti")
     return kept.unionByName(new.select(*store.columns))
 
 

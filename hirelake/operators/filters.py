@@ -101,7 +101,14 @@ def _days_ago(now: str, days: int) -> str:
 
 def company_contains(term: str) -> Column:
     """Case-blind substring; wildcard characters are literal because no pattern is built."""
-    return F.lower(F.col("company")).contains(term[: R.TERM_LENGTH].lower())
+    return F.lower(F.col("company")).contains(whole_term(term).lower())
+
+
+def whole_term(term: str) -> str:
+    """The term, refused where it is longer than a term may be."""
+    if len(term) > R.TERM_LENGTH:
+        raise ValueError(f"a term may have at most {R.TERM_LENGTH} characters")
+    return term
 
 
 def keyword_clause(kw: str, columns: Iterable[str]) -> Column | None:
@@ -115,7 +122,7 @@ def keyword_clause(kw: str, columns: Iterable[str]) -> Column | None:
 
 def location_clause(term: str) -> Column:
     """Accent-blind substring, or another spelling of a renamed city as a whole word."""
-    asked = fold_text(term[: R.TERM_LENGTH])
+    asked = fold_text(whole_term(term))
     place = fold(F.col("location"))
     hit = place.contains(asked)
     for group in CITY_GROUPS:
@@ -200,14 +207,22 @@ def age_clause(days: int, now: str, materialised: bool = False) -> Column:
 
 
 def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool = False) -> dict[str, Column]:
-    """One predicate per key that constrains the table. An unknown value drops its clause, or
-    raises when `strict`; an unknown key always raises."""
+    """One predicate per key that constrains the table.
+
+    An unknown key raises, and so does a filter whose column the table does not have: leaving its
+    clause out would answer with rows that were not asked for. A country that nobody knows keeps
+    nothing, or raises when `strict`; another unknown value drops its clause, or raises when `strict`.
+    """
     out: dict[str, Column] = {}
     unknown = sorted(set(filters) - set(KEYS))
     if unknown:
         raise ValueError(f"unknown filters: {', '.join(unknown)}")
     given = {k: v for k, v in filters.items() if is_set(k, v)}
 
+    def need(key, *names):
+        if not caps.has(*names):
+            raise ValueError(f"the table can't answer {key}: it has no column {', '.join(n for n in names if n not in caps.columns)}")
+
     def refuse(key):
         if strict:
             raise ValueError(f"unknown value for {key}: {given[key]!r}")
@@ -229,14 +244,15 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
             out["etype"] = F.col(column) if caps.has(column) else employment_flags(F.col("employment_type"))[column]
         else:
             refuse("etype")
-    if "india" in given and caps.has("places"):
+    if "india" in given:
+        need("india", "places")
         out["india"] = F.array_contains("places", given["india"].lower())
     if "country" in given:
         code = country_code(given["country"])
-        if code and caps.has("countries"):
-            out["country"] = F.array_contains("countries", code)
-        elif not code:
+        need("country", "countries")
+        if not code:
             refuse("country")
+        out["country"] = F.array_contains("countries", code) if code else F.lit(False)
     if "location" in given:
         out["location"] = location_clause(given["location"])
     if "company" in given:
@@ -246,6 +262,8 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
     if "kw" in given:
         scope = R.KEYWORD_SCOPES.get(given.get("kw_in") or R.KEYWORD_DEFAULT_SCOPE, ())
         columns = [c for c in scope if caps.has(c)]
+        if scope and not columns:
+            need("kw", *scope)
         if columns and (clause := keyword_clause(given["kw"], columns)) is not None:
             out["kw"] = clause
     if "title_words" in given and (clause := keyword_clause(given["title_words"], ["title"])) is not None:
@@ -264,7 +282,8 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
         out["posted_after"] = shaped & (posted >= date.fromisoformat(given["posted_after"]).isoformat())
     if "posted_before" in given:
         out["posted_before"] = shaped & (posted < _next_day(given["posted_before"]))
-    if caps.has("first_seen"):
+    if any(key in given for key in ("seen_after", "seen_before", "seen_within", "first_seen_after")):
+        need("first_seen", "first_seen")
         seen = F.col("first_seen")
         if "seen_after" in given:
             out["seen_after"] = seen >= date.fromisoformat(given["seen_after"]).isoformat()
@@ -279,7 +298,8 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
         out["max_age_days"] = age_clause(int(given["max_age_days"]), now, caps.has("posted_at_comparable"))
     if "required_years_at_least" in given:
         out["required_years_at_least"] = F.col("min_years") >= int(given["required_years_at_least"])
-    if "work_authorization" in given and caps.has("stances"):
+    if "work_authorization" in given:
+        need("work_authorization", "stances")
         asked = given["work_authorization"]
         hit = F.array_contains("stances", asked)
         # Asking for jobs that at least may offer sponsorship keeps those that do.
@@ -298,9 +318,11 @@ def filter_clauses(filters: Mapping, caps: Capabilities, now: str, strict: bool
         out["hidden"] = ~board_clause(given["hidden"])
     if "ids" in given:
         out["ids"] = F.col("id").isin(*given["ids"]) if given["ids"] else F.lit(False)
-    if "operators" in given and caps.has("operator"):
+    if "operators" in given:
+        need("operators", "operator")
         out["operators"] = F.col("operator").isin(*given["operators"])
-    if "family" in given and caps.has("family"):
+    if "family" in given:
+        need("family", "family")
         out["family"] = F.col("family") == given["family"]
     return out
 
@@ -337,7 +359,7 @@ def account_scope(df: DataFrame, followed: DataFrame, hidden: DataFrame, mine: b
 
 def operator_scope(df: DataFrame, boards: DataFrame, operators: Iterable[str]) -> DataFrame:
     """Rows whose board's operator is listed; a board nobody classified is an employer."""
-    dim = boards.select(F.lower("board").alias("_board_key"), F.col("operator").alias("_operator")).dropDuplicates(["_board_key"])
+    dim = boards.select(F.lower("board").alias("_board_key"), F.col("operator").alias("_operator")).groupBy("_board_key").agg(F.min("_operator").alias("_operator"))
     joined = df.join(dim, F.lower(df["board"]) == F.col("_board_key"), "left")
     return joined.withColumn("_operator", F.coalesce("_operator", F.lit("employer"))).filter(
         F.col("_operator").isin(*operators)
@@ -346,7 +368,7 @@ def operator_scope(df: DataFrame, boards: DataFrame, operators: Iterable[str]) -
 
 def operator_left_out(df: DataFrame, boards: DataFrame, operators: Iterable[str]) -> DataFrame:
     """Rows kept and rows the operator choice leaves out, in one pass."""
-    dim = boards.select(F.lower("board").alias("_board_key"), "operator").dropDuplicates(["_board_key"])
+    dim = boards.groupBy(F.lower("board").alias("_board_key")).agg(F.min("operator").alias("operator"))
     joined = df.join(dim, F.lower(df["board"]) == F.col("_board_key"), "left")
     kept = F.coalesce("operator", F.lit("employer")).isin(*operators)
     return joined.agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("left_out"))

@@ -16,17 +16,17 @@ from ..functions.ordinal import group_row_number, top_per_group
 from ..functions.text import drop_last_part
 from ..functions.vectors import cosine, literal_vector
 
-MAX_K = 100
-MAX_PAGE = 20
-WINDOW_ROWS = 2_000
+PAGE_ROWS = 20
 SORT_FLOOR = 0.67
-REQUIREMENTS_SAMPLE = 300
 
 
 def page_bounds(k: int | None, page: int | None) -> tuple[int, int]:
-    """`(limit, offset)` with k clamped to 1..100 (20 unasked) and page to 1..20."""
-    k = max(1, min(20 if k is None else k, MAX_K))
-    page = max(1, min(1 if page is None else page, MAX_PAGE))
+    """`(limit, offset)` of a page of k rows (20 unasked); neither may be below 1, and both may be
+    as large as the caller asks."""
+    k = PAGE_ROWS if k is None else k
+    page = 1 if page is None else page
+    if k < 1 or page < 1:
+        raise ValueError("k and page start at 1")
     return k, (page - 1) * k
 
 
@@ -120,13 +120,16 @@ def salary_browse(df: DataFrame, currency: str, where: Column | None = None, k:
 
 
 def sort_within_relevance(df: DataFrame, query, sort: str, where: Column | None = None, floor: float = SORT_FLOOR,
-                          window: int = WINDOW_ROWS, currency: str | None = None, rates: Mapping[str, float] | None = None,
+                          window: int | None = None, currency: str | None = None, rates: Mapping[str, float] | None = None,
                           k: int | None = None, page: int | None = None) -> DataFrame:
-    """The closest `window` rows at least `floor` similar, re-ordered by a column; a salary sort is
-    restated in one currency, and a row whose currency has no rate sorts with the unpriced."""
+    """The rows at least `floor` similar (only the closest `window` of them, if one is stated),
+    re-ordered by a column; a salary sort is restated in one currency, and a row whose currency has
+    no rate sorts with the unpriced."""
     limit, offset = page_bounds(k, page)
     kept = df if where is None else df.filter(where)
-    top = scored(kept, query).drop("vector").orderBy(F.desc("similarity"), F.asc("id")).limit(window)
+    top = scored(kept, query).drop("vector")
+    if window is not None:
+        top = top.orderBy(F.desc("similarity"), F.asc("id")).limit(window)
     column = SORT_COLUMNS.get(sort, sort)
     key = F.col(column)
     if column == "min_salary_annual" and currency:
@@ -149,18 +152,18 @@ def company_key(company: Column, board: Column) -> Column:
     return F.when(name != "", name).otherwise(F.lower(board))
 
 
-def spread_companies(ranked: DataFrame, per_company: int, order: Sequence[Column], window: int = WINDOW_ROWS) -> DataFrame:
-    """A ranked window (at most `window` rows) with each company's postings past its first
-    `per_company` moved after all others and marked.
+def spread_companies(ranked: DataFrame, per_company: int, order: Sequence[Column], window: int | None = None) -> DataFrame:
+    """Ranked rows (only the first `window`, if one is stated) with each company's postings past its
+    first `per_company` moved after all others and marked.
 
     `posting` names copies of one posting (the id itself when the column is absent): a copy of a
     kept posting is kept beside it. `more_from_company` says on a kept row how many of its
     company follow.
     """
-    top = ranked.orderBy(*order).limit(window)
-    rank = Window.orderBy(*order)  # at most `window` rows
+    if window is not None:
+        ranked = ranked.orderBy(*order).limit(window)
     by_company = Window.partitionBy("company_key")
-    rows = top.withColumn("rank", F.row_number().over(rank)).withColumn(
+    rows = group_row_number(ranked, [], order, "rank").withColumn("rank", F.col("rank").cast("int")).withColumn(
         "company_key", company_key(F.col("company"), drop_last_part(F.col("id")))
     )
     if "posting" not in rows.columns:
@@ -185,33 +188,44 @@ def alert_shortlist(hits: DataFrame, cap: int = 30) -> DataFrame:
     return fresh.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap)
 
 
-def newest_in_family(df: DataFrame, assignments: DataFrame, family: str, n: int = REQUIREMENTS_SAMPLE,
+def newest_in_family(df: DataFrame, assignments: DataFrame, family: str, n: int | None = None,
                      where: Column | None = None) -> DataFrame:
-    """The newest n rows of one role family, ties by id."""
+    """The rows of one role family, newest first, ties by id; only the first n, if n is stated."""
     members = assignments.filter(F.col("family") == family).select("id").distinct()
     kept = df if where is None else df.filter(where)
-    return kept.join(members, "id", "left_semi").orderBy(F.desc_nulls_last("first_seen"), F.asc("id")).limit(n)
+    return kept.join(members, "id", "left_semi").orderBy(F.desc_nulls_last("first_seen"), F.asc("id")).transform(lambda d: d if n is None else d.limit(n))
 
 
-def closest_in_family(df: DataFrame, assignments: DataFrame, family: str, query, n: int = REQUIREMENTS_SAMPLE,
-                      window: int = WINDOW_ROWS) -> DataFrame:
-    """The family's rows among the `window` closest to a query, best n."""
+def closest_in_family(df: DataFrame, assignments: DataFrame, family: str, query, n: int) -> DataFrame:
+    """The n rows of a family closest to a query."""
     members = assignments.filter(F.col("family") == family).select("id").distinct()
-    top = scored(df, query).drop("vector").orderBy(F.desc("similarity"), F.asc("id")).limit(window)
-    return top.join(members, "id", "left_semi").orderBy(F.desc("similarity"), F.asc("id")).limit(n)
+    top = scored(df.join(members, "id", "left_semi"), query).drop("vector")
+    return top.orderBy(F.desc("similarity"), F.asc("id")).limit(n)
 
 
 def closest_ids(df: DataFrame, missing: DataFrame, cutoff: float = 0.9) -> DataFrame:
     """For each absent id, the served id on the board it names whose last part is most alike.
 
-    The ratio is `1 - edits / longer length`. Only boards a missing id names are read, and the
-    best match is kept by a max that combines before the shuffle.
+    The ratio is `1 - edits / longer length`. Only boards a missing id names are read. Two last parts
+    within the bound share a piece: cut into one piece more than the edits allowed, one piece is left
+    whole, so only ids that hold a piece of the missing one are compared. The best match is kept by
+    a min that combines before the shuffle.
     """
     asked = missing.select(F.col("id").alias("asked")).distinct().withColumn("board", F.lower(drop_last_part(F.col("asked"))))
     asked = asked.filter(F.col("board") != F.lower("asked"))
     served = df.select(F.col("id"), "title", F.lower(drop_last_part(F.col("id"))).alias("board"))
     last = lambda c: F.element_at(F.split(c, ":"), -1)
-    pairs = served.join(asked, "board").filter(F.col("id") != F.col("asked"))
+    # The pieces of a text of n letters: as many as its longest partner may have edits, and one.
+    pieces = lambda n: (F.floor((1 - cutoff) / cutoff * n + 1e-9) + 1).cast("int")
+    cut = lambda text, n, i: F.substr(text, (F.floor(i * n / pieces(n)) + 1).cast("int"), (F.floor((i + 1) * n / pieces(n)) - F.floor(i * n / pieces(n))).cast("int"))
+    asked = asked.withColumn("_a", last(F.col("asked"))).withColumn("_n", F.length("_a"))
+    asked = asked.withColumn("_piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), pieces(F.col("_n")) - 1), lambda i: cut(F.col("_a"), F.col("_n"), i)))))
+    served = served.join(asked.select("board").distinct(), "board", "left_semi").withColumn("_b", last(F.col("id"))).withColumn("_n", F.length("_b"))
+    partners = F.sequence(F.ceil(F.col("_n") * cutoff - 1e-9).cast("int"), F.floor(F.col("_n") / cutoff + 1e-9).cast("int"))
+    sizes = F.array_distinct(F.flatten(F.transform(partners, lambda n: F.array(F.floor(n / pieces(n)).cast("int"), F.ceil(n / pieces(n)).cast("int")))))
+    held = F.flatten(F.transform(F.filter(sizes, lambda s: s <= F.col("_n")), lambda s: F.transform(F.sequence(F.lit(1), F.col("_n") - s + 1), lambda at: F.substr(F.col("_b"), at, s))))
+    served = served.withColumn("_piece", F.explode(F.array_distinct(held))).select("id", "title", "board", "_piece")
+    pairs = served.join(asked.select("asked", "board", "_piece"), ["board", "_piece"]).filter(F.col("id") != F.col("asked")).drop("_piece").distinct()
     a, b = last(F.col("asked")), last(F.col("id"))
     ratio = F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
     rated = pairs.withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= cutoff)

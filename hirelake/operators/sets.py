@@ -50,24 +50,27 @@ def consolidate_lists(lists: DataFrame, names: Mapping[str, str], held: DataFram
     return merged.join(held.select("provider", F.lower("slug").alias("slug")).distinct(), ["provider", "slug"], "left_anti")
 
 
-def norm_domain(c: Column) -> Column:
-    """The bare domain of whatever a list wrote, or empty where it is none."""
-    d = F.regexp_replace(F.lower(F.trim(c)), r"^[a-z]+://", "")
-    d = F.split(F.split(d, "/").getItem(0), r"\?").getItem(0)
-    d = F.split(F.element_at(F.split(d, "@"), -1), ":").getItem(0)
-    d = F.regexp_replace(F.regexp_replace(d, r"^www\.", ""), r"\.+$", "")
-    return F.when(d.contains(".") & d.rlike(r"^[a-z0-9.-]+$"), d).otherwise(F.lit(""))
+#: A web address as lists write it, with its host in group 1: scheme, login, "www", port, path and closing dots may be there.
+_SITE = r"^\s*(?:\w+://)?(?:[^\s/?@]*@)?(?:www\.)?([a-z0-9-]+(?:\.[a-z0-9-]+)+)\.*(?::\d+)?(?:[/?].*)?\s*$"
 
 
-def norm_name(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
+def site_of(c: Column) -> Column:
+    """The host a list means, in lower case; empty where it names none."""
+    return F.coalesce(F.regexp_extract(F.lower(c), _SITE, 1), F.lit(""))
 
 
-def name_matches_domain(name: Column, domain: Column) -> Column:
-    """Whether the name plausibly belongs to the domain: one within the other, or its first five letters."""
-    n, d = norm_name(name), norm_name(F.split(domain, r"\.").getItem(0))
-    head = lambda a, b: (F.length(a) >= 4) & b.contains(F.substring(a, 1, 5))
-    return (n != "") & (d != "") & (n.contains(d) | d.contains(n) | head(d, n) | head(n, d))
+def letters_of(c: Column) -> Column:
+    """Only the letters and digits, in lower case."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+
+
+def alike(name: Column, site: Column) -> Column:
+    """Whether a company may own a site: as far as the shorter of its name and the site's first label
+    reaches, the longer has it inside or begins with it but for one letter in four."""
+    n, s = letters_of(name), letters_of(F.substring_index(site, ".", 1))
+    reach = F.least(F.length(n), F.length(s))
+    off = F.levenshtein(F.left(n, reach), F.left(s, reach))
+    return (reach > 0) & (n.contains(s) | s.contains(n) | ((reach >= 4) & (off * 4 <= reach)))
 
 
 def merge_seeds(parts: DataFrame, seeded: DataFrame, covered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,13 +80,13 @@ def merge_seeds(parts: DataFrame, seeded: DataFrame, covered: DataFrame) -> tupl
     `parts`: name, domain, part (its rank), place. Seeds are ordered uncovered first, then by part;
     `covered` holds names already served.
     """
-    rows = parts.withColumn("_d", norm_domain(F.col("domain"))).filter(F.col("_d") != "")
-    rows = rows.join(seeded.select(norm_domain(F.col("domain")).alias("_d")).distinct(), "_d", "left_anti")
-    fits = name_matches_domain(F.col("name"), F.col("_d"))
+    rows = parts.withColumn("_d", site_of(F.col("domain"))).filter(F.col("_d") != "")
+    rows = rows.join(seeded.select(site_of(F.col("domain")).alias("_d")).distinct(), "_d", "left_anti")
+    fits = alike(F.col("name"), F.col("_d"))
     first = rows.filter(fits).groupBy("_d").agg(F.min(F.struct("part", "place", "name")).alias("_f"))
-    names = covered.select(norm_name(F.col("name")).alias("_n")).distinct().withColumn("covered", F.lit(True))
+    names = covered.select(letters_of(F.col("name")).alias("_n")).distinct().withColumn("covered", F.lit(True))
     seeds = first.select(F.col("_f.name").alias("name"), F.col("_d").alias("domain"), F.col("_f.part").alias("part"), F.col("_f.place").alias("place"))
-    seeds = seeds.join(names, norm_name(F.col("name")) == F.col("_n"), "left").drop("_n").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    seeds = seeds.join(names, letters_of(F.col("name")) == F.col("_n"), "left").drop("_n").withColumn("covered", F.coalesce("covered", F.lit(False)))
     return seeds.orderBy("covered", "part", "place", "domain"), rows.filter(~fits).select("name", F.col("_d").alias("domain"), "part")
 
 

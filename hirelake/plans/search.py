@@ -20,10 +20,12 @@ RESULT_COLUMNS = ("id", "ats", "company", "title", "location", "remote", "employ
 
 
 def search(df: DataFrame, filters: Mapping, now: str, query: Sequence[float] | Column | None = None, sort: str | None = None,
-           per_company: int | None = None, k: int | None = None, page: int | None = None, ats=(), currencies=(), rates=None) -> DataFrame:
+           per_company: int | None = None, k: int | None = None, page: int | None = None, ats=(), currencies=(), rates=None,
+           window: int | None = None) -> DataFrame:
     """One page of results: ranked, sorted within relevance, spread over companies, or browsed.
 
-    Only the result columns (and the vector while ranking) leave the scan.
+    Only the result columns (and the vector while ranking) leave the scan. A `window` limits what is
+    sorted or spread to the closest rows; without one all rows take part.
     """
     caps = flt.capabilities(df, ats, currencies, rates)
     if sort == "posted":
@@ -39,10 +41,10 @@ def search(df: DataFrame, filters: Mapping, now: str, query: Sequence[float] | C
         return rank.salary_browse(kept, currency, k=k, page=page) if currency else rank.browse(kept, sort=sort, k=k, page=page)
     ranked = kept.select(*shown, "vector")
     if sort:
-        return rank.sort_within_relevance(ranked, query, sort, currency=currency, rates=caps.rates, k=k, page=page)
+        return rank.sort_within_relevance(ranked, query, sort, window=window, currency=currency, rates=caps.rates, k=k, page=page)
     if per_company:
         limit, offset = rank.page_bounds(k, page)
-        spread = rank.spread_companies(rank.scored(ranked, query).drop("vector"), per_company, [F.desc("similarity"), F.asc("id")])
+        spread = rank.spread_companies(rank.scored(ranked, query).drop("vector"), per_company, [F.desc("similarity"), F.asc("id")], window)
         return spread.offset(offset).limit(limit)
     return rank.vector_topk(ranked, query, k=k, page=page)
 
@@ -51,8 +53,9 @@ def job(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows by id in asked order; an absent one is explained with the served id most like it.
     `ids`: position, id."""
     shown = [c for c in RESULT_COLUMNS if c in df.columns and c != "id"]
-    asked = ids.select("position", "id").dropDuplicates(["id"])
-    found = asked.join(df.select("id", *shown), "id", "left").withColumn("found", F.col("title").isNotNull())
+    asked = ids.groupBy("id").agg(F.min("position").alias("position")).select("position", "id")
+    served = df.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct(*shown)).alias("_s")).select("id", *[F.col(f"_s.{c}").alias(c) for c in shown], F.lit(True).alias("_here"))
+    found = asked.join(served, "id", "left").withColumn("found", F.coalesce("_here", F.lit(False))).drop("_here")
     missing = asked.join(df.select("id"), "id", "left_anti")
     near = rank.closest_ids(df, missing).select(F.col("asked").alias("id"), F.col("id").alias("closest"), F.col("title").alias("closest_title"))
     return found.join(near, "id", "left").orderBy("position")
@@ -86,7 +89,7 @@ def company_lookup(ids: DataFrame, directory: DataFrame) -> DataFrame:
     board that prefixes it."""
     whole = ids.select("id", F.concat("id", F.lit(":")).alias("_key"))
     owned = longest_prefix_join(whole, directory, "_key").select("id", "owner", "listed")
-    names = directory.select(F.lower("board").alias("_b"), "company").dropDuplicates(["_b"])
+    names = directory.groupBy(F.lower("board").alias("_b")).agg(F.min("company").alias("company"))
     return owned.join(names, F.lower("owner") == F.col("_b"), "left").select("id", "owner", F.when(F.col("listed"), F.col("company")).alias("company"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..rules import derivations as D
 from ..rules import trends as R
+from ..functions.ordinal import group_row_number
 from ..session import cut_lineage
 from . import ticks as T
 
@@ -136,44 +137,53 @@ def net_by_shift(landed: DataFrame) -> DataFrame:
 
 
 def net_series(landed: DataFrame) -> DataFrame:
-    """`(line, ts, level, netted, withheld, scale)`: steps taken out backwards from the latest level.
+    """`(line, ts, level, netted, withheld, scale)`: what each level would be without the steps after it.
 
-    History before a step is shifted by its size. A company's duplicate removal scales it instead,
-    and so does a shift that would push it below zero, where the size is only the jump and both
-    sides hold enough openings; where it cannot scale either, the line starts after that step. The
-    rule depends on everything later, so each line is folded from its end.
-    """
-    rows = landed.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("ts", "level", "before", "lowest_before", "has_step", "size", "known", "ratio"))).alias("_p"))
-    empty = F.array().cast("array<struct<ts:string,level:bigint,netted:double,withheld:double,scale:double>>")
-    start = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("lift"), F.lit(False).alias("cut"), empty.alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        level, scale, lift = x["level"].cast("double"), acc["scale"], acc["lift"]
-        value = level * scale + lift
-        cut = acc["cut"] | (value < 0)
-        jump = x["has_step"]
-        rise = level - x["before"]
-        r = x["ratio"]
-        # A removal: what it withheld beyond scaling the level before it is lifted.
-        removal = r.isNotNull() & x["before"].isNotNull()
-        removed = (1 - r) * x["before"]
-        by_removal = F.when(jump & x["size"].isNotNull(), x["size"] - removed).when(jump, rise).otherwise(-removed)
-        shift = scale * F.coalesce(x["size"].cast("double"), rise)
-        erases = F.coalesce(x["lowest_before"] * scale + lift + shift < 0, F.lit(False))
-        rescales = jump & erases & x["size"].isNull() & ~x["known"] & (x["before"] >= R.RATIO_FLOOR) & (level >= R.RATIO_FLOOR)
-        plain = jump & ~removal
-        new_scale = F.when(removal, scale * r).when(plain & rescales, scale * level / x["before"]).otherwise(scale)
-        new_lift = F.when(removal, lift + scale * (by_removal + removed)).when(plain & ~rescales, lift + shift).otherwise(lift)
-        withheld = F.when(removal, by_removal).when(plain & rescales, rise).when(plain, shift / scale)
-        row = lambda netted, held: F.struct(x["ts"].alias("ts"), x["level"].cast("bigint").alias("level"), netted.alias("netted"), held.alias("withheld"), scale.alias("scale"))
-        none = F.lit(None).cast("double")
-        unmeasured = F.struct(F.when(r.isNotNull(), scale * r).otherwise(scale).alias("scale"), lift.alias("lift"), acc["cut"].alias("cut"), F.concat(acc["out"], F.array(row(none, none))).alias("out"))
-        stopped = F.struct(scale.alias("scale"), lift.alias("lift"), F.lit(True).alias("cut"), F.concat(acc["out"], F.array(row(none, none))).alias("out"))
-        kept = F.struct(new_scale.alias("scale"), new_lift.alias("lift"), F.lit(False).alias("cut"), F.concat(acc["out"], F.array(row(value, withheld))).alias("out"))
-        return F.when(level.isNull(), unmeasured).when(cut, stopped).otherwise(kept)
+    From its latest tick back, a line is seen through a map `scale * level + base` that begins as the
+    level itself. A step changes the map for all that lies before it:
+
+    - a removal of duplicates (it has a ratio) multiplies the scale by the ratio, and raises the base
+      by what the step brought besides;
+    - any other step raises the base by its size, or by the rise over it where the size is unknown;
+    - but where that rise is a guess and would take the lowest earlier level below zero, and both
+      sides hold enough openings, the scale takes the step's proportion instead.
 
+    A line that the map takes below zero ends there: nothing earlier is shown. Which case holds
+    depends on the map so far, so each line is folded from its end.
+    """
+    tick = F.struct("ts", "level", "before", "lowest_before", "has_step", "size", "known", "ratio")
+    lines = landed.groupBy("line").agg(F.reverse(F.array_sort(F.collect_list(tick))).alias("_back"))
+    shown = F.array().cast("array<struct<ts:string,level:bigint,netted:double,withheld:double,scale:double>>")
+    null = F.lit(None).cast("double")
+
+    def back(seen: Column, t: Column) -> Column:
+        level, before, size, ratio = t["level"].cast("double"), t["before"], t["size"].cast("double"), t["ratio"]
+        here = seen["scale"] * level + seen["base"]
+        ended = seen["ended"] | (here < 0)
+        rise = level - before
+        moved = F.coalesce(size, rise)
+        # A removal: the part the ratio explains, and the rest.
+        is_removal = ratio.isNotNull() & before.isNotNull()
+        explained = -(1 - ratio) * before
+        besides = F.when(t["has_step"], F.coalesce(size, rise - explained)).otherwise(0.0)
+        too_low = F.coalesce(seen["scale"] * (t["lowest_before"] + moved) + seen["base"] < 0, F.lit(False))
+        by_share = t["has_step"] & too_low & size.isNull() & ~t["known"] & (F.least(before, level) >= R.RATIO_FLOOR)
+        case = lambda removal, share, shift, same: F.when(is_removal, removal).when(by_share, share).when(t["has_step"], shift).otherwise(same)
+        scale = case(seen["scale"] * ratio, seen["scale"] * level / before, seen["scale"], seen["scale"])
+        base = case(seen["base"] + seen["scale"] * besides, seen["base"], seen["base"] + seen["scale"] * moved, seen["base"])
+        held = case(F.when(t["has_step"] & size.isNull(), rise).otherwise(besides + explained), rise, moved, null)
+
+        def step(scale: Column, base: Column, ended: Column, netted: Column, withheld: Column) -> Column:
+            row = F.struct(t["ts"].alias("ts"), t["level"].cast("bigint").alias("level"), netted.alias("netted"), withheld.alias("withheld"), seen["scale"].alias("scale"))
+            return F.struct(scale.alias("scale"), base.alias("base"), ended.alias("ended"), F.concat(seen["shown"], F.array(row)).alias("shown"))
+
+        unread = step(seen["scale"] * F.coalesce(ratio, F.lit(1.0)), seen["base"], seen["ended"], null, null)
+        hidden = step(seen["scale"], seen["base"], F.lit(True), null, null)
+        return F.when(level.isNull(), unread).when(ended, hidden).otherwise(step(scale, base, F.lit(False), here, held))
+
+    start = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("base"), F.lit(False).alias("ended"), shown.alias("shown"))
     # One row per line and tick, read by every figure of an answer, so the fold runs once.
-    return cut_lineage(rows.select("line", F.inline(F.aggregate(F.reverse("_p"), start, fold)["out"])))
+    return cut_lineage(lines.select("line", F.inline(F.aggregate("_back", start, back)["shown"])))
 
 
 def hiring_turnover(turnover: DataFrame, left_out: DataFrame | None = None) -> DataFrame:
@@ -254,20 +264,26 @@ def apportion(rows: DataFrame, group: Sequence[str], value: str, target: str, ke
     """`whole`: values as whole numbers summing to their group's target, largest remainders first
     (smallest first where the target is under the sum of floors), ties by key.
 
-    A group is the lines of one answer.
+    A group is the lines of one answer. Without a group column all rows are one, and their places
+    are numbered over many tasks, for the lines may be all companies.
     """
     group = list(group)
-    members = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     down = F.floor(F.col(value)).cast("bigint")
     out = rows.withColumn("_f", down).withColumn("_r", F.col(value) - F.col("_f"))
-    left = F.col(target) - F.sum("_f").over(members)
-    out = out.withColumn("_left", left).withColumn("_n", F.count("*").over(members))
-    up = F.row_number().over(members.orderBy(F.desc("_r"), F.asc(key)))
-    dn = F.row_number().over(members.orderBy(F.asc("_r"), F.asc(key)))
+    if group:
+        members = Window.partitionBy(*group)
+        out = out.withColumn("_left", F.col(target) - F.sum("_f").over(members)).withColumn("_n", F.count("*").over(members))
+        up = F.row_number().over(members.orderBy(F.desc("_r"), F.asc(key)))
+        dn = F.row_number().over(members.orderBy(F.asc("_r"), F.asc(key)))
+    else:
+        out = group_row_number(group_row_number(out, [], [F.desc("_r"), F.asc(key)], "_up"), [], [F.asc("_r"), F.asc(key)], "_dn")
+        up, dn = F.col("_up"), F.col("_dn")
+        sums = out.agg(F.sum("_f").alias("_sum"), F.count("*").alias("_n"))
+        out = out.join(F.broadcast(sums), F.lit(True)).withColumn("_left", F.col(target) - F.col("_sum"))
     each = F.floor(F.abs("_left") / F.col("_n")).cast("bigint")
     extra = F.abs("_left") - each * F.col("_n")
     step = F.when(F.col("_left") >= 0, each + F.when(up <= extra, 1).otherwise(0)).otherwise(-(each + F.when(dn <= extra, 1).otherwise(0)))
-    return out.withColumn("whole", F.col("_f") + step).drop("_f", "_r", "_left", "_n")
+    return out.withColumn("whole", F.col("_f") + step).drop("_f", "_r", "_left", "_n", "_sum", "_up", "_dn")
 
 
 def breakdown(lines: DataFrame, total: DataFrame) -> DataFrame:
@@ -278,10 +294,9 @@ def breakdown(lines: DataFrame, total: DataFrame) -> DataFrame:
     row holds what the first row counts and the rows do not.
     """
     first = total.select(F.col("hiring_exact").alias("_th"))
-    rows = lines.join(F.broadcast(first), F.lit(True))
-    everyone = Window.partitionBy(F.lit(0))  # the lines of one answer
-    closing = half_up(F.col("_th") - F.sum("hiring_exact").over(everyone))
-    rows = rows.withColumn("_closing", closing).withColumn("_target", half_up(F.col("_th")) - F.col("_closing"))
+    added = lines.agg(F.sum("hiring_exact").alias("_added"))  # one row, as the total is
+    rows = lines.join(F.broadcast(first), F.lit(True)).join(F.broadcast(added), F.lit(True))
+    rows = rows.withColumn("_closing", half_up(F.col("_th") - F.col("_added"))).drop("_added").withColumn("_target", half_up(F.col("_th")) - F.col("_closing"))
     whole = apportion(rows, [], "hiring_exact", "_target", "line")
     body = whole.select("line", "start", "latest", F.col("whole").alias("hiring"), (F.col("latest") - F.col("start") - F.col("whole")).alias("not_hiring"))
     close = whole.agg(F.max("_closing").alias("hiring")).filter(F.col("hiring") != 0).select(

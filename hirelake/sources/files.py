@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 
+#: The file that names a snapshot's current version.
+CURRENT = "current.txt"
+
 
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,26 +27,50 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of `{source}.jsonl` as one typed table; the source is the file's stem."""
-    rows = spark.read.schema(S.POSTING).json(path, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)
-    return rows.select("*", stem.alias("source"))
+def _sighted(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """The postings of JSON Lines files, with `_at`: file, part of it and place in that part, in reading order.
+
+    Blank lines are passed over. A line that is no posting (broken JSON, or no id) stops the job
+    with its file and its text.
+    """
+    lines = spark.read.text(path, pathGlobFilter=pattern, recursiveFileLookup=True)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.select("value", at.alias("_at")).where(F.trim("value") != "")
+    parsed = lines.withColumn("_r", F.from_json("value", f"{S.POSTING}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
+    good = F.col("_r._broken").isNull() & F.col("_r.id").isNotNull()
+    told = F.concat(F.lit("not a posting: "), F.col("_at.file"), F.lit(": "), F.substring("value", 1, 200))
+    names = [c.split(" ")[0] for c in S.POSTING.split(", ")]
+    checked = parsed.withColumn("_id", F.when(good, F.col("_r.id")).otherwise(F.raise_error(told)))
+    return checked.select(F.col("_id").alias("id"), *[F.col(f"_r.{c}").alias(c) for c in names if c != "id"], "_at")
+
+
+def _first_sight(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The first row of each id in the order of the named columns, whole, without them."""
+    rest = [c for c in rows.columns if c != "id" and c not in order]
+    first = rows.groupBy("id").agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    return first.select("id", *[F.col(f"_first.{c}").alias(c) for c in rest])
+
+
+def read_postings(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """A directory of `{source}.jsonl` as one typed table, an id once in each file: its first line.
+    The source is the file's stem; a malformed line stops the job and names its file."""
+    rows = _sighted(spark, path, pattern).withColumn("source", F.regexp_extract(F.col("_at.file"), r"([^/]*)\.\w+$", 1))
+    rest = [c for c in rows.columns if c not in ("id", "source", "_at")]
+    first = rows.groupBy("source", "id").agg(F.min(F.struct("_at", *rest)).alias("_first"))
+    return first.select("id", *[F.col(f"_first.{c}").alias(c) for c in rest], "source")
 
 
 def union_fragments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Many shard fragments as one snapshot, an id counted once: the row of the first fragment in
-    path order, whole."""
-    rows = spark.read.schema(S.POSTING).json(list(paths), pathGlobFilter="*.json*", recursiveFileLookup=True)
-    seen = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
-    first = seen.groupBy("id").agg(F.min(F.struct("_file", "_at", *[c for c in rows.columns if c != "id"])).alias("_r"))
-    return first.select("id", *[f"_r.{c}" for c in rows.columns if c != "id"])
-
-
-def assemble_feed(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The combined feed, one row an id, and its rows per source."""
-    rest = [c for c in postings.columns if c != "id"]
-    feed = postings.groupBy("id").agg(F.min(F.struct(*rest)).alias("_r")).select("id", *[f"_r.{c}" for c in rest])
+    """Many shard fragments as one snapshot, an id counted once: its first line in the first
+    fragment, in the order the paths are given, that holds it."""
+    parts = [_sighted(spark, path, "*.json*").withColumn("_place", F.lit(i)) for i, path in enumerate(paths)]
+    return _first_sight(reduce(DataFrame.unionByName, parts), ["_place", "_at"])
+
+
+def assemble_feed(postings: DataFrame, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The combined feed, one row an id, and its rows per source. Of rows repeating an id the first
+    in the order of the named columns is kept; rows equal in these, or all without them, by value."""
+    feed = _first_sight(postings, list(order))
     return feed, feed.groupBy("ats").agg(F.count("*").alias("rows"))
 
 
@@ -70,18 +98,44 @@ def append_tick(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts").parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a table whole or not at all: written beside its path, then renamed over it."""
+def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """Replace a table whole or not at all.
+
+    Each version is a folder of its own under `path`, and one small file names the current one. That
+    file is rewritten after the version is complete, so readers see the old table or the new one,
+    and a failed write leaves the old one as it is. Earlier versions stay until `drop_versions`.
+    """
     spark = df.sparkSession
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    version = f"v-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    fs = _fs(spark, path)
-    if fs.exists(_path(spark, path)) and not fs.rename(_path(spark, path), _path(spark, old)):
-        raise OSError(f"could not set {path} aside")
-    if not fs.rename(_path(spark, staged), _path(spark, path)):
-        raise OSError(f"could not put {staged} in place of {path}")
-    fs.delete(_path(spark, old), True)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
+    out = _fs(spark, path).create(_path(spark, f"{path}/{CURRENT}"), True)
+    out.write(bytearray(version, "ascii"))
+    out.close()
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder name of a snapshot's current version; none where nothing was written whole."""
+    if not exists(spark, f"{path}/{CURRENT}"):
+        return None
+    return spark.read.text(f"{path}/{CURRENT}").first()["value"]
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a snapshot."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Remove all versions of a snapshot but the current one."""
+    fs, version = _fs(spark, path), current_version(spark, path)
+    for status in fs.listStatus(_path(spark, path)):
+        if status.isDirectory() and status.getPath().getName() != version:
+            fs.delete(status.getPath(), True)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.filters import capabilities, compile_filter
 from ..plans.ticks import is_found_late
 from ..rules.boards import PAROLE_DAYS, QUARANTINE_AT
+from ..session import cut_lineage
 
 
 def stream_dedupe(postings: DataFrame, event_time: str, within: str = "7 days") -> DataFrame:
@@ -38,26 +40,27 @@ GRACE_OUT = "id string, run long, action string"
 
 
 def stream_grace(reads: DataFrame) -> DataFrame:
-    """Two-miss eviction. `reads`: id, run, present, one row per held id of a board read that run; a
-    board not read sends none, so its ids keep their state. The state is one counter an id, so a
-    board of any size spreads over every task."""
+    """Two-miss eviction. `reads`: id, run, present, one row or more per held id of a board read that
+    run (present in one is present); a board not read sends none, so its ids keep their state. The
+    state is one counter an id, so a board of any size spreads over every task, and an id that was
+    seen or evicted keeps none."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         misses, last = state.get if state.exists else (0, -1)
         out = []
-        rows = pd.concat(list(batches)).sort_values("run")
-        for run, present in zip(rows["run"], rows["present"]):
+        rows = pd.concat(list(batches)).groupby("run")["present"].any()
+        for run, present in rows.sort_index().items():
             if run <= last:
                 continue  # a run already counted, sent again
             last = int(run)
-            if present:
-                misses = 0
-                continue
-            misses += 1
-            out.append((key[0], last, "delete" if misses >= 2 else "unconfirmed"))
-            if misses >= 2:
-                misses = 0
-        state.update((misses, last))
+            misses = 0 if present else misses + 1
+            if misses:
+                out.append((key[0], last, "delete" if misses >= 2 else "unconfirmed"))
+            misses = misses % 2
+        if misses:
+            state.update((misses, last))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["id", "run", "action"])
 
     return reads.groupBy("id").applyInPandasWithState(step, GRACE_OUT, "misses int, last long", "append", GroupStateTimeout.NoTimeout)
@@ -88,7 +91,10 @@ def stream_strikes(outcomes: DataFrame, quarantine_at: int = QUARANTINE_AT, paro
             strikes, last = strikes + 1, int(run)
             verdict = "reconfirmed" if paroled else "quarantined" if strikes >= quarantine_at else "struck"
             out.append((key[0], int(run), strikes, verdict))
-        state.update((strikes, last))
+        if strikes:
+            state.update((strikes, last))
+        elif state.exists:
+            state.remove()  # a board that produces needs no state
         if timers and strikes >= quarantine_at:
             state.setTimeoutDuration(parole_days * 86_400_000)
         yield pd.DataFrame(out, columns=["board", "run", "strikes", "verdict"])
@@ -102,38 +108,56 @@ def late_rows(stream: DataFrame, days: int = 14) -> DataFrame:
     return stream.withColumn("found_late", is_found_late(days))
 
 
-def deliver_alerts(batch: DataFrame, subscriptions: DataFrame, delivered: str, batch_id: int, cap: int = 30) -> None:
-    """One micro-batch of alerts: rows newer than their subscription's own watermark, best `cap`.
+def deliver_alerts(batch: DataFrame, subscriptions: DataFrame, delivered: str, batch_id: int, cap: int = 30, filters: Mapping[str, Mapping] | None = None, now: str | None = None) -> None:
+    """One micro-batch of alerts: each row once a subscription, best `cap` a batch.
+
+    `batch`: id, score, first_seen and what the criteria read. `subscriptions`: subscription, watermark
+    (rows first seen after it are wanted) and topic. A subscription takes the rows its compiled search
+    filter keeps (`filters`, by subscription), or those of its topic.
 
-    `batch`: id, topic, score, first_seen. `subscriptions`: subscription, topic, watermark (the
-    starting one). What was delivered moves a watermark on, so it only advances once the rows are
-    written; a retried batch overwrites its own partition and changes nothing else.
+    What a subscription was sent is known by id, so a row that arrives late or out of order is still
+    sent, once. Rows past the cap wait beside the delivered ones and compete in the next batch. Both
+    are partitions of the batch, so a retried batch overwrites its own and changes nothing else.
     """
     spark = batch.sparkSession
-    marks = subscriptions
-    earlier = _delivered_before(spark, delivered, batch_id)
-    if earlier is not None:
-        moved = earlier.groupBy("subscription").agg(F.max("first_seen").alias("_moved"))
-        marks = subscriptions.join(moved, "subscription", "left").withColumn("watermark", F.greatest("watermark", F.coalesce("_moved", "watermark"))).drop("_moved")
-    order = Window.partitionBy("subscription").orderBy(F.desc("score"), F.asc("id"))
-    hits = batch.join(marks, "topic").filter(F.col("first_seen") > F.col("watermark"))
-    best = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap)
-    rows = best.select("subscription", "id", "score", "first_seen", "place", F.lit(batch_id).cast("long").alias("batch"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(delivered)
-
-
-def _delivered_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    wanted = _matches(batch, subscriptions, filters, now).filter(F.col("first_seen") > F.col("watermark")).select(*_ALERT)
+    waiting = _alert_rows(spark, f"{delivered}/waiting", F.col("batch") == batch_id - 1)
+    if waiting is not None:
+        wanted = wanted.unionByName(waiting.select(*_ALERT))
+    sent = _alert_rows(spark, f"{delivered}/sent", F.col("batch") < batch_id)
+    best = wanted.groupBy("subscription", "id").agg(F.max(F.struct("score", "first_seen")).alias("_b")).select("subscription", "id", "_b.score", "_b.first_seen")
+    if sent is not None:
+        best = best.join(sent.select("subscription", "id"), ["subscription", "id"], "left_anti")
+    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("subscription").orderBy(F.desc("score"), F.asc("id"))))
+    ranked = cut_lineage(ranked.withColumn("batch", F.lit(batch_id).cast("long")))
+    for name, rows in (("sent", ranked.filter(F.col("place") <= cap)), ("waiting", ranked.filter(F.col("place") > cap))):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{delivered}/{name}")
+
+
+_ALERT = ("subscription", "id", "score", "first_seen")
+
+
+def _matches(batch: DataFrame, subscriptions: DataFrame, filters: Mapping[str, Mapping] | None, now: str | None) -> DataFrame:
+    if filters is None:
+        return batch.join(subscriptions, "topic")
+    caps = capabilities(batch)
+    hits = F.array_compact(F.array(*[F.when(compile_filter(f, caps, now, strict=True), F.lit(s)) for s, f in filters.items()]))
+    found = batch.withColumn("subscription", F.explode(hits))
+    return found.join(subscriptions.select("subscription", "watermark"), "subscription")
+
+
+def _alert_rows(spark: SparkSession, path: str, where: Column) -> DataFrame | None:
     from ..sources.files import exists
 
     if not exists(spark, path):
         return None
     schema = "subscription string, id string, score double, first_seen string, place int, batch long"
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch_id)
+    return spark.read.schema(schema).parquet(path).filter(where)
 
 
-def stream_alerts(rows: DataFrame, subscriptions: DataFrame, delivered: str, checkpoint: str, cap: int = 30):
-    """Start the alert stream; each micro-batch is delivered by `deliver_alerts`."""
-    write = lambda batch, batch_id: deliver_alerts(batch, subscriptions, delivered, batch_id, cap)
+def stream_alerts(rows: DataFrame, subscriptions: DataFrame, delivered: str, checkpoint: str, cap: int = 30, filters: Mapping[str, Mapping] | None = None, now: str | None = None):
+    """Start the alert stream; each micro-batch is delivered by `deliver_alerts`, under `delivered/sent`."""
+    write = lambda batch, batch_id: deliver_alerts(batch, subscriptions, delivered, batch_id, cap, filters, now)
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -33,3 +33,39 @@ def test_scratch_lies_under_the_shared_folder():
 
 def test_local_masters():
     assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[3,2,1024]") and not is_local("yarn")
+
+
+def test_sources_hold(spark, tmp_path):
+    from hirelake.sources import files
+
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir()
+    two.mkdir()
+    (one / "b.jsonl").write_text('{"id": "x:1", "title": "first"}\n\n{"id": "x:1", "title": "again"}\n{"id": "x:2", "title": "two"}\n')
+    (one / "a.jsonl").write_text('{"id": "x:1", "title": "other file"}\n')
+    (two / "c.jsonl").write_text('{"id": "x:1", "title": "zero"}\n{"id": "x:3", "title": "three"}\n')
+    read = {(r["source"], r["id"], r["title"]) for r in files.read_postings(spark, str(one)).collect()}
+    assert read == {("b", "x:1", "first"), ("b", "x:2", "two"), ("a", "x:1", "other file")}
+    titles = lambda paths: {r["id"]: r["title"] for r in files.union_fragments(spark, [str(p) for p in paths]).collect()}
+    assert titles([two, one]) == {"x:1": "zero", "x:2": "two", "x:3": "three"}
+    assert titles([one / "b.jsonl", two]) == {"x:1": "first", "x:2": "two", "x:3": "three"}
+    (two / "d.jsonl").write_text('{"id": "x:9"}\n{"id": "x:8"\n')
+    with pytest.raises(Exception, match="d.jsonl"):
+        files.read_postings(spark, str(two)).collect()
+
+
+def test_snapshots_switch_whole(spark, tmp_path):
+    from hirelake.sources import files
+
+    path = str(tmp_path / "table")
+    files.write_snapshot(spark.range(3), path)
+    before = files.read_snapshot(spark, path)
+    files.write_snapshot(spark.range(5), path)
+    assert before.count() == 3 and files.read_snapshot(spark, path).count() == 5  # readers of the old version keep it
+    with pytest.raises(Exception):
+        files.write_snapshot(spark.range(2).selectExpr("raise_error('x') AS id"), path)
+    assert files.read_snapshot(spark, path).count() == 5
+    files.drop_versions(spark, path)
+    assert files.read_snapshot(spark, path).count() == 5
+    with pytest.raises(FileNotFoundError):
+        files.read_snapshot(spark, str(tmp_path / "none"))
