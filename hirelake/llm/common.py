@@ -21,7 +21,7 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
-def bounded_labels(labels: DataFrame, label: str, max_rows: int, positive_share: float = 0.25) -> tuple[DataFrame, dict[int, int]]:
+def bounded_labels(labels: DataFrame, label: str, max_rows: int, positive_share: float = 0.4) -> tuple[DataFrame, dict[int, int]]:
     """At most `max_rows` labelled ids, `positive_share` of them of class 1 where there are enough, in the order of a
     hash of the id, and the number of rows of each class before that bound.
 

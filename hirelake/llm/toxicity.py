@@ -34,13 +34,15 @@ _CACHE_WORDS = 200_000
 @dataclass(frozen=True)
 class SubwordParams:
     """`max_rows` labelled rows and `max_features` bucket entries bound the training sample, whichever comes first.
-    `max_share` is the most that one word may weigh in a text; features in fewer than `min_docs` sampled texts are left out."""
+    `max_share` is the most that one word may weigh in a text; features in fewer than that
+    share `min_docs` of the sampled texts (three at least) are left out. Small samples are gone through more often, for
+    `least_steps` batches."""
 
     buckets: int = 1 << 20
     dim: int = 4
     n_min: int = 3
     n_max: int = 5
-    max_rows: int = 4_000
+    max_rows: int = 5_000
     max_features: int = 12_000_000
     epochs: int = 8
     batch: int = 64
@@ -48,7 +50,8 @@ class SubwordParams:
     scale: float = 100.0
     decay: float = 1e-5
     start: float = 0.02
-    min_docs: int = 10
+    min_docs: float = 0.0025
+    least_steps: int = 450
     max_share: float = 0.01
     seed: int = 7
 
@@ -125,10 +128,11 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], priors: dict[int, i
     if not bags or not seen[0] or not seen[1]:
         share = min(max(priors.get(1, 0) / total if total else 0.0, 1e-6), 1 - 1e-6)
         return SubwordModel(p, np.zeros(p.buckets, np.float32), math.log(share / (1 - share)))
+    fewest = max(3, p.min_docs * len(bags))
     spread = np.zeros(p.buckets, np.int32)
     for _, ids, _ in bags:
         spread[ids] += 1
-    bags = [(y, ids[spread[ids] >= p.min_docs], shares[spread[ids] >= p.min_docs]) for y, ids, shares in bags]
+    bags = [(y, ids[spread[ids] >= fewest], shares[spread[ids] >= fewest]) for y, ids, shares in bags]
     rng = np.random.default_rng(p.seed)
     vectors = (rng.random((p.buckets, p.dim), np.float32) - 0.5) * p.start
     weights = (rng.random((p.dim, 2), np.float32) - 0.5) / p.dim
@@ -137,9 +141,10 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], priors: dict[int, i
     m_w, s_w = np.zeros_like(weights), np.zeros_like(weights)
     row_weight = {y: priors[y] / total * len(bags) / seen[y] for y in (0, 1)}
     step = 0
-    for epoch in range(p.epochs):
+    epochs = max(p.epochs, -(-p.least_steps * p.batch // len(bags)))
+    for epoch in range(epochs):
         order = rng.permutation(len(bags))
-        rate = p.rate * (1 - epoch / p.epochs)
+        rate = p.rate * (1 - epoch / epochs)
         for start in range(0, len(order), p.batch):
             part = [bags[i] for i in order[start:start + p.batch]]
             step += 1
@@ -168,14 +173,14 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], priors: dict[int, i
             vectors[used] -= rate * (m_v[used] / fix1) / (np.sqrt(s_v[used] / fix2) + 1e-8)
             bias -= rate * error.sum(axis=0)
     table = (vectors @ (weights[:, 1] - weights[:, 0])) * p.scale
-    table[spread < p.min_docs] = 0
+    table[spread < fewest] = 0
     return SubwordModel(p, table.astype(np.float32), float(bias[1] - bias[0]))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: SubwordParams = SubwordParams()) -> SubwordModel:
     """A model from the labelled rows of `docs` (`doc_id`, `text`).
 
-    `labels` must hold only the rows one may learn from. At most `params.max_rows` of them are read, a quarter of them
+    `labels` must hold only the rows one may learn from. At most `params.max_rows` of them are read, four in ten of them
     toxic where there are enough, and of their bags as many as `params.max_features` allows, in hash order; only these reach the driver. Null texts count
     as empty. A `doc_id` that documents repeat gives one training row each.
     """
