@@ -43,7 +43,7 @@ class SubwordParams:
     n_min: int = 3
     n_max: int = 5
     max_rows: int = 5_000
-    max_features: int = 12_000_000
+    max_features: int = 10_000_000
     epochs: int = 8
     batch: int = 64
     rate: float = 0.02
@@ -121,7 +121,7 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], priors: dict[int, i
     """Embeddings and softmax weights trained together by Adam on mini-batches.
 
     Rows weigh so that the classes keep the shares `priors` gives them. With one class or none there is nothing to
-    tell apart: every text then scores that class's share, 0 without any label.
+    tell apart: every text then scores that class's share, 0 without any label. Rare features leave `bags`.
     """
     total = sum(priors.values())
     seen = {y: sum(1 for b in bags if b[0] == y) for y in (0, 1)}
@@ -132,7 +132,9 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], priors: dict[int, i
     spread = np.zeros(p.buckets, np.int32)
     for _, ids, _ in bags:
         spread[ids] += 1
-    bags = [(y, ids[spread[ids] >= fewest], shares[spread[ids] >= fewest]) for y, ids, shares in bags]
+    for i, (y, ids, shares) in enumerate(bags):  # in place, so that the rare features' memory is given back
+        kept = spread[ids] >= fewest
+        bags[i] = (y, ids[kept], shares[kept])
     rng = np.random.default_rng(p.seed)
     vectors = (rng.random((p.buckets, p.dim), np.float32) - 0.5) * p.start
     weights = (rng.random((p.dim, 2), np.float32) - 0.5) / p.dim
@@ -193,7 +195,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
 
     # `picked` holds at most max_rows rows of two numbers: a stated bound.
     rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(picked.select(F.col("doc_id").alias("_d"), "_y")), "_d")
-    rows = rows.select(F.xxhash64("_d", "_t").alias("_h"), "_y", "_t").orderBy("_h").limit(params.max_rows)
+    rows = rows.select(F.xxhash64("_d", "_t").alias("_h"), "_y", "_t").orderBy("_h").limit(params.max_rows).repartition(32)
     held, size = [], 0
     for r in rows.mapInPandas(bags, "_h long, _y int, _ids binary, _ws binary").orderBy("_h").toLocalIterator():
         bag = (r["_y"], np.frombuffer(r["_ids"], np.int32), np.frombuffer(r["_ws"], np.float32))
