@@ -5,9 +5,10 @@ one, and lines that differ in one word share what is left without it. Every line
 meet, the earliest line of a meeting stands for it (so nothing is paired with everything), each such pair's edit distance is
 verified on the words, and a line that has an earlier partner goes.
 
-Variants are only emitted for lines that can have a partner: one edit leaves either the first or the last part of a line
-untouched, so a line whose halves occur in no other line needs none. The halves that several lines share are kept as a bit
-map of fixed size; its false alarms cost time and never a line.
+Variants are only emitted where a line can have a partner. One edit lies within one of a few stretches of the line, and leaves
+the words before and behind that stretch as they are; so a word's variant is needed only if another line is equal around the
+stretch that holds it. The keys of these surroundings that several lines share are kept as a bit map of fixed size; its false
+alarms cost time and never a line.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class LineParams:
     """Lines of fewer than `near_words` words must be equal, longer ones may differ by one word inserted, left out or
-    replaced. `map_bits` is the size of the bit map of shared halves."""
+    replaced. A line is cut into `stretches`; `map_bits` is the size of the bit map of shared surroundings."""
 
     near_words: int = 8
-    map_bits: int = 1 << 24
+    stretches: int = 4
+    map_bits: int = 1 << 26
 
 
 def line_words(line: str) -> list[str]:
@@ -41,20 +43,33 @@ def line_words(line: str) -> list[str]:
     return line.lower().split()
 
 
-def line_id(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+def line_id(joined: str) -> bytes:
+    return xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))
 
 
-def half_keys(words: list[str], p: LineParams) -> list[int]:
-    """Signed hashes of the line's first and last words, cut where a line of one word more or less is cut too."""
-    n = len(words)
+def short_id(line: bytes) -> int:
+    """The first half of a line's hash as a signed long."""
+    return int.from_bytes(line[:8], "big", signed=True)
+
+
+def surroundings(words: list[str], p: LineParams) -> list[tuple[int, int, int]]:
+    """(key, start, stop): for each stretch of the line a signed hash of the words around it.
+
+    Stretches are counted from both ends in steps that lines of n and n + 1 words share: the step goes by n without its rest,
+    and a line whose rest is nothing is cut by the step below too.
+    """
+    n, parts = len(words), p.stretches
     if n < p.near_words:
         return []
-    keys = []
-    for cut in {2 * (n // 4), 2 * ((n + 1) // 4), 2 * ((n - 1) // 4)}:
-        for side, part in ((1, words[:cut]), (2, words[n - cut:])):
-            keys.append(xxhash.xxh3_64_intdigest(" ".join(part).encode("utf-8", "surrogatepass"), side))
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+    out = []
+    steps = {n // parts, (n - 1) // parts}
+    for step in steps:
+        for j in range(parts):
+            start, behind = j * step, (parts - 1 - j) * step
+            text = f"{step}\x1f{j}\x1f{' '.join(words[:start])}\x1f{' '.join(words[n - behind:]) if behind else ''}"
+            key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+            out.append((key - (1 << 64) if key >> 63 else key, start, n - behind))
+    return out
 
 
 def variant_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -96,42 +111,53 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").alias("t"))
 
 
+def _lines(batch: pd.DataFrame) -> Iterator[tuple[int, int, int, list[str]]]:
+    for d, row, text in zip(batch["d"], batch["row"], batch["t"]):
+        d = _LAST if pd.isna(d) else int(d)
+        for at, line in enumerate((text or "").split("\n")):
+            words = line_words(line)
+            if words:
+                yield d, row, at, words
+
+
 def _scan(p: LineParams):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for d, row, text in zip(b["d"], b["row"], b["t"]):
-                for at, line in enumerate((text or "").split("\n")):
-                    words = line_words(line)
-                    if words:
-                        out.append((_LAST if pd.isna(d) else int(d), row, at, line_id(words), half_keys(words, p) or None))
-            yield pd.DataFrame(out, columns=["d", "row", "at", "line", "halves"])
+            for d, row, at, words in _lines(b):
+                line = line_id(" ".join(words))
+                out.append((d, row, at, line, short_id(line), [s[0] for s in surroundings(words, p)] or None))
+            yield pd.DataFrame(out, columns=["d", "row", "at", "line", "id", "around"])
 
     return scan
 
 
-def _emit(p: LineParams, shared: np.ndarray):
-    """Variant rows of lines one of whose halves may occur in another line, once a batch and line."""
+def _emit(p: LineParams, shared: bytes):
+    """Variant rows of lines that another line may be equal to around a stretch, once a batch and line."""
     mask = p.map_bits - 1
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            first: dict[bytes, tuple] = {}
-            for d, text in zip(b["d"], b["t"]):
-                d = _LAST if pd.isna(d) else int(d)
-                for at, line in enumerate((text or "").split("\n")):
-                    words = line_words(line)
-                    if any(shared[(k & mask) >> 6] >> np.uint64(k & 63) & np.uint64(1) for k in half_keys(words, p)):
-                        key = line_id(words)
-                        if key not in first or (d, at) < first[key][:2]:
-                            first[key] = (d, at, words)
-            for key, (d, at, words) in first.items():
+            done: set[int] = set()
+            keys, roles, ids, texts = [], [], [], []
+            for _, _, _, words in _lines(b):
+                open_ = [(start, stop) for k, start, stop in surroundings(words, p) if shared[(k & mask) >> 3] >> (k & 7) & 1]
+                if not open_:
+                    continue
+                joined = " ".join(words)
+                name = short_id(line_id(joined))
+                if name in done:
+                    continue
+                done.add(name)
+                places = np.unique(np.concatenate([np.arange(*o) for o in open_]))
                 without, placed, whole = variant_keys(words)
-                n = len(words)
-                yield pd.DataFrame({
-                    "k": np.concatenate([placed, without, [whole]]), "role": np.concatenate([np.zeros(n, np.int8), np.ones(n, np.int8), [np.int8(2)]]).astype(np.int8),
-                    "d": d, "at": np.int32(at), "line": [key] * (2 * n + 1), "words": [None] * (2 * n) + [" ".join(words)],
-                })
+                keys += [placed[places], without[places], np.array([whole])]
+                n = len(places)
+                roles.append(np.repeat(np.array([0, 1, 2], np.int8), [n, n, 1]))
+                ids.append(np.full(2 * n + 1, name))
+                texts += [None] * (2 * n) + [joined]
+            if keys:
+                yield pd.DataFrame({"k": np.concatenate(keys), "role": np.concatenate(roles), "id": np.concatenate(ids), "words": texts})
 
     return emit
 
@@ -149,34 +175,37 @@ def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFra
     """`d`, `row`, `drop`: per text the numbers of the lines that have an equal or near line at an earlier place."""
     p = params
     texts = _texts(docs)
-    lines = cut_lineage(texts.mapInPandas(_scan(p), "d long, row long, at int, line binary, halves array<long>"))
+    lines = cut_lineage(texts.mapInPandas(_scan(p), "d long, row long, at int, line binary, id long, around array<long>"))
     place = F.struct("d", "at")
-    firsts = cut_lineage(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    halves = lines.select("line", F.explode("halves").alias("h")).groupBy("h").agg(F.min("line").alias("a"), F.max("line").alias("b"))
-    shared = bit_map(halves.where("a <> b").select("h"), "h", p.map_bits)
-    emitted = texts.mapInPandas(_emit(p, shared), "k long, role byte, d long, at int, line binary, words string")
-    emitted = cut_lineage(emitted)
-    words = cut_lineage(emitted.where("words is not null").groupBy("line").agg(F.min("words").alias("words")))
-    # One row a key, role and line, then the earliest line of each key and role.
-    held = emitted.groupBy("k", "role", "line").agg(F.min(place).alias("p"))
-    best = cut_lineage(held.groupBy("k", "role").agg(F.min(F.struct("p", "line")).alias("best"), F.count("*").alias("n")))
-    met = best.groupBy("k").agg(F.sum("n").alias("n"), F.max(F.when(F.col("role") == 0, F.col("best"))).alias("same"), F.max(F.when(F.col("role") == 1, F.col("best"))).alias("longer"), F.max(F.when(F.col("role") == 2, F.col("best"))).alias("whole"))
-    met = cut_lineage(met.where("n > 1"))
+    firsts = cut_lineage(lines.groupBy("line", "id").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    around = lines.select("id", F.explode("around").alias("h")).groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    shared = bit_map(around.where("a <> b").select("h"), "h", p.map_bits)
+    emitted = cut_lineage(texts.mapInPandas(_emit(p, shared.tobytes()), "k long, role byte, id long, words string"))
+    meeting = emitted.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(F.col("k").alias("_k"))
+    met = emitted.select("k", "role", "id").join(cut_lineage(meeting), F.col("k") == F.col("_k"), "left_semi").distinct()
+    places = firsts.select(F.col("id").alias("_id"), "first")
+    met = cut_lineage(met.join(places, F.col("id") == F.col("_id")).select("k", "role", "id", "first"))
+    # The earliest line of each role: those left with the same words, those with a word more, and the whole line.
+    least = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "id")))
+    stands = cut_lineage(met.groupBy("k").agg(least(0).alias("same"), least(1).alias("longer"), least(2).alias("whole")).withColumnRenamed("k", "_k"))
     partner = F.when(F.col("role") == 0, F.col("same")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("longer"))
-    pairs = emitted.select(F.col("k").alias("_k"), "role", "line").join(met, F.col("_k") == F.col("k")).select("line", partner.alias("o"))
-    pairs = cut_lineage(pairs.where("o is not null and o.line <> line").select("line", F.col("o.line").alias("other"), F.col("o.p").alias("p")).distinct())
-    mine = words.select(F.col("line").alias("l1"), F.col("words").alias("w1"))
-    its = words.select(F.col("line").alias("l2"), F.col("words").alias("w2"))
+    pairs = met.join(stands, F.col("k") == F.col("_k")).select("id", partner.alias("o")).where("o is not null and o.id <> id")
+    pairs = cut_lineage(pairs.select("id", F.col("o.id").alias("other"), F.col("o.first").alias("p")).distinct())
+    linked = pairs.select(F.col("id").alias("_id")).union(pairs.select("other")).distinct()
+    words = emitted.where("words is not null").join(linked, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("words").alias("words"))
+    words = cut_lineage(words)
+    mine = words.select(F.col("id").alias("l1"), F.col("words").alias("w1"))
+    its = words.select(F.col("id").alias("l2"), F.col("words").alias("w2"))
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype=bool)
 
-    verified = pairs.join(mine, F.col("line") == F.col("l1")).join(its, F.col("other") == F.col("l2")).where(near("w1", "w2"))
-    linked = verified.groupBy("line").agg(F.min("p").alias("p")).select(F.col("line").alias("_line"), "p")
-    early = firsts.join(linked, F.col("line") == F.col("_line"), "left").withColumn("from", F.least("first", F.coalesce("p", "first")))
+    verified = pairs.join(mine, F.col("id") == F.col("l1")).join(its, F.col("other") == F.col("l2")).where(near("w1", "w2"))
+    earlier = cut_lineage(verified.groupBy("id").agg(F.min("p").alias("p")).select(F.col("id").alias("_id"), "p"))
+    early = firsts.join(earlier, F.col("id") == F.col("_id"), "left").withColumn("from", F.least("first", F.coalesce("p", "first")))
     early = cut_lineage(early.where("n > 1 or from < first").select(F.col("line").alias("_line"), "from"))
-    gone = lines.join(early, F.col("line") == F.col("_line")).where(place > F.col("from"))
+    gone = lines.select("d", "row", "at", "line").join(early, F.col("line") == F.col("_line")).where(place > F.col("from"))
     return gone.groupBy("d", "row").agg(F.collect_set("at").alias("drop"))
 
 
@@ -184,7 +213,7 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     """`docs` with the text of each row reduced to lines that have no equal or near line at an earlier place.
 
     Places go by `doc_id` (null last), then by line number; rows that repeat an id share its places, so none of their lines
-    at one place is earlier than the other. Lines compare by their words in lower case. Lines without a word are never
+    at one place is earlier than the other. Lines compare by their words in lower case (as 128-bit hashes; 64 bits of them name the lines of near pairs). Lines without a word are never
     compared and stay. Null texts stay null, an empty text stays empty; a text whose lines all go becomes empty. All other
     columns stay as they are, whatever their names; an empty table stays empty.
     """
