@@ -29,7 +29,7 @@ def test_stages_keep_the_columns_of_documents(spark, stages):
 
 
 def test_each_stage_does_its_work(spark, stages):
-    from .test_simhash_lines import plain_components, plain_dedup
+    from test_simhash_lines import plain_components, plain_dedup  # the test folder is on the path
 
     rows = [[(r["doc_id"], r["text"]) for r in after.collect()] if "text" in after.columns else None for _, _, after in stages]
     toxic = {r["doc_id"] for r in table(spark, SF, "labels").where("toxic = 1").collect()}
