@@ -66,6 +66,54 @@ FEEDS = {
                    "employment_type": "item._jobposting.employmentType",
                    "location": "nullif(array_join(array_distinct(transform(item._jobposting.jobLocation, l -> concat_ws(', ', l.address.addressLocality, l.address.addressCountry))), '; '), '')"},
     },
+    "workday": {
+        "kind": "json",
+        "schema": "jobPostings array<struct<title:string,externalPath:string,locationsText:string,timeType:string,remoteType:string,jobFamilyGroup:string,bulletFields:array<string>>>",
+        "items": "filter(parsed.jobPostings, j -> coalesce(trim(j.title), '') <> '' or coalesce(j.externalPath, '') <> '')",
+        "fields": {"native": "coalesce(nullif(regexp_extract(item.externalPath, '_([^_/]+)$', 1), ''), get(item.bulletFields, 0))", "title": "coalesce(nullif(trim(item.title), ''), 'Untitled')", "url": "item.externalPath",
+                   "location": "item.locationsText", "department": "nullif(trim(item.jobFamilyGroup), '')", "employment_type": "item.timeType",
+                   "requisition": "coalesce(nullif(regexp_extract(item.externalPath, '_([^_/]+)$', 1), ''), get(item.bulletFields, 0))",
+                   "remote": "case when lower(item.remoteType) like '%remote%' and lower(item.remoteType) not like '%hybrid%' then true when item.remoteType is not null then false end"},
+    },
+    "bamboohr": {
+        "kind": "json",
+        "schema": "result array<struct<id:string,jobOpeningName:string,departmentLabel:string,employmentStatusLabel:string,datePosted:string,description:string,minimumExperience:string,locationType:string,location:struct<city:string,state:string>>>",
+        "items": "parsed.result",
+        "fields": {"native": "item.id", "title": "trim(item.jobOpeningName)", "location": "nullif(concat_ws(', ', nullif(item.location.city, ''), nullif(item.location.state, '')), '')", "department": "nullif(trim(item.departmentLabel), '')",
+                   "employment_type": "nullif(trim(item.employmentStatusLabel), '')", "posted_at": "item.datePosted", "description": "item.description", "experience": "nullif(trim(item.minimumExperience), '')",
+                   "remote": "case item.locationType when '1' then true when '0' then false end"},
+    },
+    "pinpoint": {
+        "kind": "json",
+        "schema": "data array<struct<id:string,title:string,url:string,description:string,employment_type_text:string,workplace_type:string,compensation:string,location:struct<name:string,city:string,province:string>,job:struct<department:struct<name:string>>>>",
+        "items": "parsed.data",
+        "fields": {"native": "item.id", "title": "trim(item.title)", "url": "item.url", "location": "coalesce(nullif(concat_ws(', ', nullif(item.location.city, ''), nullif(item.location.province, '')), ''), item.location.name)",
+                   "department": "item.job.department.name", "employment_type": "nullif(item.employment_type_text, '')", "description": "item.description", "salary": "nullif(item.compensation, '')",
+                   "remote": "case item.workplace_type when 'remote' then true when 'onsite' then false end"},
+    },
+    "oracle": {
+        "kind": "json",
+        "schema": "items array<struct<requisitionList:array<struct<Id:string,Title:string,PostedDate:string,PrimaryLocation:string,PrimaryLocationCountry:string,Department:string,JobFunction:string,JobType:string,JobSchedule:string,ShortDescriptionStr:string,WorkplaceTypeCode:string>>>>",
+        "items": "flatten(transform(parsed.items, i -> i.requisitionList))",
+        "fields": {"native": "item.Id", "title": "trim(item.Title)", "location": "coalesce(item.PrimaryLocation, item.PrimaryLocationCountry)", "department": "coalesce(item.Department, item.JobFunction)", "posted_at": "item.PostedDate",
+                   "employment_type": "coalesce(item.JobType, item.JobSchedule)", "description": "item.ShortDescriptionStr", "requisition": "item.Id",
+                   "remote": "case item.WorkplaceTypeCode when 'ORA_REMOTE' then true when 'ORA_ON_SITE' then false end"},
+    },
+    "eightfold": {
+        "kind": "json",
+        "schema": "positions array<struct<id:bigint,name:string,location:string,department:string,t_create:bigint,ats_job_id:string,job_description:string,work_location_option:string,canonicalPositionUrl:string>>",
+        "items": "parsed.positions",
+        "fields": {"native": "cast(item.id as string)", "title": "nullif(trim(item.name), '')", "url": "item.canonicalPositionUrl", "location": "item.location", "department": "item.department", "description": "item.job_description",
+                   "requisition": "item.ats_job_id", "posted_at": "date_format(timestamp_seconds(item.t_create), 'yyyy-MM-dd')",
+                   "remote": "case when lower(item.work_location_option) like 'remote%' then true when lower(item.work_location_option) = 'onsite' then false end"},
+    },
+    "phenom": {
+        "kind": "json",
+        "schema": "refineSearch struct<data:struct<jobs:array<struct<jobId:string,reqId:string,title:string,cityStateCountry:string,location:string,category:string,type:string,postedDate:string,dateCreated:string,applyUrl:string>>>>",
+        "items": "filter(parsed.refineSearch.data.jobs, j -> coalesce(j.jobId, '') <> '')",
+        "fields": {"native": "item.jobId", "title": "trim(item.title)", "url": "item.applyUrl", "location": "coalesce(item.cityStateCountry, item.location)", "department": "item.category", "employment_type": "item.type",
+                   "posted_at": "coalesce(item.postedDate, item.dateCreated)", "requisition": "item.reqId"},
+    },
     "personio": {
         "kind": "xml",
         "schema": "position array<struct<id:string,name:string,office:string,department:string,employmentType:string,seniority:string,createdAt:string>>",
