@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import slices
 from .line_dedup import bit_map
 
 _WORDS = re.compile(r"\w+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -147,7 +148,7 @@ def _regions(p: CgkParams, classes: list[tuple[int, int]], marks: np.ndarray):
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = word_hasher()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc, text in zip(b["doc_id"], b["t"]):
                 words = hashes(text)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels
+from .common import bounded_labels, slices
 
 _WORDS = re.compile(r"\w+")
 #: Words whose number is remembered in a task; the store is emptied when full.
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,7 @@ class SubwordModel:
 
     def scorer(self):
         known: dict[str, float] = {}
-        numbers, p = self.table.tolist(), self.params
+        numbers, p = array("f", self.table.tobytes()), self.params
 
         def of_word(word: str) -> float:
             features = word_features(word, p)
@@ -189,9 +190,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
     picked, counts = bounded_labels(labels, label, params.max_rows)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, 100):
             made = [text_bag(t, params) for t in b["_t"]]
-            yield pd.DataFrame({"_h": b["_h"], "_y": b["_y"], "_ids": [i.tobytes() for i, _ in made], "_ws": [w.astype(np.float32).tobytes() for _, w in made]})
+            yield pd.DataFrame({"_h": b["_h"].to_numpy(), "_y": b["_y"].to_numpy(), "_ids": [i.tobytes() for i, _ in made], "_ws": [w.astype(np.float32).tobytes() for _, w in made]})
 
     # `picked` holds at most max_rows rows of two numbers: a stated bound.
     rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(picked.select(F.col("doc_id").alias("_d"), "_y")), "_d")
