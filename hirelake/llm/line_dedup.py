@@ -23,8 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import slices
 
 _LAST = (1 << 63) - 1
+#: Lines a task remembers having told of; past that it begins anew, which repeats rows and changes nothing else.
+_KNOWN_LINES = 200_000
+_hash64 = xxhash.xxh3_64_intdigest
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +48,7 @@ def line_words(line: str) -> list[str]:
 
 
 def line_id(joined: str) -> bytes:
-    return xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_128_digest(joined)
 
 
 def short_id(line: bytes) -> int:
@@ -52,8 +56,8 @@ def short_id(line: bytes) -> int:
     return int.from_bytes(line[:8], "big", signed=True)
 
 
-def surroundings(words: list[str], p: LineParams) -> list[tuple[int, int, int]]:
-    """(key, start, stop): for each stretch of the line a signed hash of the words around it.
+def surroundings(words: list[str], joined: str, p: LineParams) -> list[tuple[int, int, int]]:
+    """(key, start, stop): for each stretch of the line (`joined`: its words, one blank apart) a signed hash of what is around it.
 
     Stretches are counted from both ends in steps that lines of n and n + 1 words share: the step goes by n without its rest,
     and a line whose rest is nothing is cut by the step below too.
@@ -62,13 +66,17 @@ def surroundings(words: list[str], p: LineParams) -> list[tuple[int, int, int]]:
     if n < p.near_words:
         return []
     out = []
-    steps = {n // parts, (n - 1) // parts}
-    for step in steps:
+    full = n // parts
+    for step in (full,) if n % parts else (full, full - 1):
+        rest = n - parts * step
+        start, left = 0, 0  # the stretch's first word, and where it begins in the line
         for j in range(parts):
-            start, behind = j * step, (parts - 1 - j) * step
-            text = f"{step}\x1f{j}\x1f{' '.join(words[:start])}\x1f{' '.join(words[n - behind:]) if behind else ''}"
-            key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-            out.append((key - (1 << 64) if key >> 63 else key, start, n - behind))
+            following = start + step
+            begins = left + sum(map(len, words[start:following])) + step  # of the next stretch counted from the front
+            right = begins + sum(map(len, words[following:following + rest])) + rest
+            key = _hash64(f"{joined[:left]}\x1f{joined[right:]}", step * parts + j)
+            out.append((key - (1 << 64) if key >> 63 else key, start, following + rest))
+            start, left = following, begins
     return out
 
 
@@ -108,47 +116,61 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
 
 def _texts(docs: DataFrame) -> DataFrame:
     """Rows to be scanned. Equal rows share `row`; they lose the same lines."""
-    return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").alias("t"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").alias("t"))
 
 
-def _lines(batch: pd.DataFrame) -> Iterator[tuple[int, int, int, list[str]]]:
-    for d, row, text in zip(batch["d"], batch["row"], batch["t"]):
-        d = _LAST if pd.isna(d) else int(d)
-        for at, line in enumerate((text or "").split("\n")):
-            words = line_words(line)
-            if words:
-                yield d, row, at, words
+def _lines(batch: pd.DataFrame) -> Iterator[tuple[int, int, int, list[str], str]]:
+    for d, row, text in zip(batch["d"].tolist(), batch["row"].tolist(), batch["t"]):
+        if text:
+            # A line feed ends a word, so the whole text turns to lower case as its lines do.
+            for at, line in enumerate(text.lower().split("\n")):
+                words = line.split()
+                if words:
+                    yield d, row, at, words, " ".join(words)
 
 
 def _scan(p: LineParams):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for d, row, at, words in _lines(b):
-                line = line_id(" ".join(words))
-                out.append((d, row, at, line, short_id(line), [s[0] for s in surroundings(words, p)] or None))
-            yield pd.DataFrame(out, columns=["d", "row", "at", "line", "id", "around"])
+        seen: set[bytes] = set()
+        for b in slices(batches):
+            ds, rows, ats, lines, around = [], [], [], [], []
+            if len(seen) > _KNOWN_LINES:
+                seen.clear()
+            for d, row, at, words, joined in _lines(b):
+                line = line_id(joined)
+                ds.append(d)
+                rows.append(row)
+                ats.append(at)
+                lines.append(line)
+                # A task tells the surroundings of equal lines once, as far as it remembers them.
+                around.append(None if line in seen else [s[0] for s in surroundings(words, joined, p)] or None)
+                seen.add(line)
+            names = np.frombuffer(b"".join(lines), ">i8")[::2].astype(np.int64)  # as short_id
+            yield pd.DataFrame({"d": np.array(ds, np.int64), "row": np.array(rows, np.int64), "at": np.array(ats, np.int32), "line": lines, "id": names, "around": around})
 
     return scan
 
 
 def _emit(p: LineParams, shared: bytes):
-    """Variant rows of lines that another line may be equal to around a stretch, once a batch and line."""
+    """Variant rows of lines that another line may be equal to around a stretch, once a line as far as a task remembers."""
     mask = p.map_bits - 1
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done: set[int] = set()
+        done: set[int] = set()
+        for b in slices(batches):
+            if len(done) > _KNOWN_LINES:
+                done.clear()
             keys, roles, ids, texts = [], [], [], []
-            for _, _, _, words in _lines(b):
-                open_ = [(start, stop) for k, start, stop in surroundings(words, p) if shared[(k & mask) >> 3] >> (k & 7) & 1]
-                if not open_:
+            for _, _, _, words, joined in _lines(b):
+                if len(words) < p.near_words:
                     continue
-                joined = " ".join(words)
                 name = short_id(line_id(joined))
                 if name in done:
                     continue
                 done.add(name)
+                open_ = [(start, stop) for k, start, stop in surroundings(words, joined, p) if shared[(k & mask) >> 3] >> (k & 7) & 1]
+                if not open_:
+                    continue
                 places = np.unique(np.concatenate([np.arange(*o) for o in open_]))
                 without, placed, whole = variant_keys(words)
                 keys += [placed[places], without[places], np.array([whole])]

@@ -143,11 +143,11 @@ def test_lines_within_one_edit_are_equal_around_the_stretch_that_holds_it():
         b, at = list(a), rng.randrange(len(a))
         b[at:at + rng.randrange(2)] = [rng.choice(WORDS)]  # replaced or inserted
         longer = b if len(b) >= len(a) else a
-        mine = {k: (start, stop) for k, start, stop in surroundings(a, p)}
-        its = {k: (start, stop) for k, start, stop in surroundings(b, p)}
+        mine = {k: (start, stop) for k, start, stop in surroundings(a, " ".join(a), p)}
+        its = {k: (start, stop) for k, start, stop in surroundings(b, " ".join(b), p)}
         shared = set(mine) & set(its)
         assert any((its if longer is b else mine)[k][0] <= at < (its if longer is b else mine)[k][1] for k in shared), (a, b, at)
-    assert not surroundings(WORDS[:7], p)
+    assert not surroundings(WORDS[:7], "", p)
 
 
 def test_a_common_line_in_most_documents(make_docs):
