@@ -5,6 +5,10 @@ moves on or stays by a random bit of the step and the word; two sequences a few
 edit distance shows as a Hamming distance. Each repetition walks anew and samples a few steps of the walk as its key; a
 window and an item that share a key in some repetition become a candidate, and the exact edit distance decides.
 
+Walks drift apart with each inserted or deleted word, so a long item is walked from several places: it is cut into pieces of
+lengths at which the keys reach the target recall. If the whole item is within its share of edits, so is at least one piece,
+and windows are walked for the pieces; the whole item is verified.
+
 Windows that can't match are never walked: an item's sequences of words that edits leave whole must occur in a matching
 window a stated number of times, so Spark first cuts each text to the regions where enough of the benchmark's word triples
 occur. The triples are kept as a bit map of fixed size; its false alarms cost time and never a match.
@@ -33,13 +37,15 @@ _CACHE_WORDS = 100_000
 @dataclass(frozen=True)
 class CgkParams:
     """`similarity`: an item of n words may be up to (1 - similarity) n word edits away. `gram` words make a gram.
-    `repetitions` walks of `samples` sampled steps each reach the target recall (see tests). `reach`: steps a walk may be
-    sampled from, as a multiple of the shortest item of its class; classes grow by `growth`."""
+    Items of more than `piece` words are cut into equal pieces of at most that many, for which `repetitions` walks of
+    `samples` sampled steps each reach the target recall of 95 % (see tests). `reach`: steps a walk may be sampled from, as a
+    multiple of the shortest piece of its class; classes grow by `growth`."""
 
     similarity: float = 0.8
     gram: int = 3
     repetitions: int = 24
     samples: int = 3
+    piece: int = 35
     reach: float = 1.2
     growth: float = 1.3
     map_bits: int = 1 << 23
@@ -56,6 +62,16 @@ class CgkParams:
         """Steps of a walk that may be sampled, for the class whose shortest items have `low` words."""
         return max(1, int(self.reach * low))
 
+    def cuts(self, n: int) -> list[int]:
+        """Where the pieces of an item of n words begin, and its end."""
+        pieces = max(1, -(-n // self.piece))
+        return [n * i // pieces for i in range(pieces + 1)]
+
+    def piece_classes(self, n: int) -> set[tuple[int, int]]:
+        """The classes of the pieces of an item of n words."""
+        at = self.cuts(n)
+        return {self.size_class(b - a) for a, b in zip(at, at[1:])}
+
     def size_class(self, n: int) -> tuple[int, int]:
         """The shortest and longest items of the class of n words."""
         low = 1
@@ -140,10 +156,16 @@ def window_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-def _regions(p: CgkParams, classes: list[tuple[int, int]], marks: np.ndarray):
-    """Stretches of texts in which some window of some class holds enough of the benchmark's grams."""
-    rules = [(high + p.edits(high), min(p.needed(n) for n in range(low, high + 1))) for low, high in classes]
-    fewest = min((need for _, need in rules), default=0)
+def _regions(p: CgkParams, sizes: list[int], classes: list[tuple[int, int]], marks: np.ndarray):
+    """Stretches of texts in which some window of some item class holds enough of the benchmark's grams, and for each word
+    of them the piece classes (`classes`, those of items of `sizes` words) whose windows hold enough from there on."""
+    of_items: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    for n in sizes:
+        of_items.setdefault(p.size_class(n), set()).update(p.piece_classes(n))
+    rule = lambda low, high: (high + p.edits(high), min(p.needed(n) for n in range(low, high + 1)))
+    rules = [(*rule(*c), [classes.index(x) for x in pieces]) for c, pieces in sorted(of_items.items())]
+    piece_rules = [rule(*c) for c in classes]
+    fewest = min((need for _, need, _ in rules), default=0)
     mask = np.uint64(p.map_bits - 1)
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,15 +183,26 @@ def _regions(p: CgkParams, classes: list[tuple[int, int]], marks: np.ndarray):
                 upto = np.concatenate([[0], np.cumsum(hit.astype(np.int64))])
                 starts = np.arange(len(words))
                 begins = np.minimum(starts, len(made))
-                covered = np.zeros(len(words) + 1, np.int64)
-                asked = np.zeros(len(words), np.uint64)
-                for c, (span, need) in enumerate(rules):
+
+                def enough(span: int, need: int) -> np.ndarray:
                     stops = np.maximum(np.minimum(starts + max(0, span - p.gram + 1), len(made)), begins)
-                    ok = upto[stops] - upto[begins] >= need
-                    asked[ok] |= np.uint64(1 << (c & 63))
-                    np.add.at(covered, starts[ok], 1)
-                    np.add.at(covered, np.minimum(starts[ok] + span, len(words)), -1)
-                inside = np.concatenate([[0], (np.cumsum(covered[:-1]) > 0).astype(np.int8), [0]])
+                    return upto[stops] - upto[begins] >= need
+
+                inside = np.zeros(len(words) + 2, np.int8)
+                near = [np.zeros(len(words), bool) for _ in classes]
+                for span, need, pieces in rules:
+                    ok = starts[enough(span, need)]
+                    if not len(ok):
+                        continue
+                    change = np.bincount(ok, minlength=len(words) + 1) - np.bincount(np.minimum(ok + span, len(words)), minlength=len(words) + 1)
+                    covered = np.cumsum(change[:-1]) > 0
+                    inside[1:-1] |= covered
+                    for c in pieces:
+                        near[c] |= covered
+                asked = np.zeros(len(words), np.uint64)
+                for c, (span, need) in enumerate(piece_rules):
+                    if near[c].any():
+                        asked[near[c] & enough(span, need)] |= np.uint64(1 << (c & 63))
                 edges = np.flatnonzero(np.diff(inside))
                 for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist()):
                     out.append((doc, start, words[start:stop].tobytes(), asked[start:stop].tobytes()))
@@ -222,9 +255,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: CgkParams
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).mapInPandas(read_items, "item_id long, item binary, n int")
     items = cut_lineage(items.where("n > 0"))
-    # Lengths are few: at most one class for each growth step up to the longest item.
-    classes = sorted({p.size_class(r["n"]) for r in items.select("n").distinct().collect()})
-    texts_of_items = items.select("item", "n").distinct()
+    # Lengths are few, and piece classes fewer: at most one for each growth step up to the longest piece.
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]
+    classes = sorted(set().union(*(p.piece_classes(n) for n in sizes)))
+    texts_of_items = cut_lineage(items.select("item").distinct().withColumn("name", F.monotonically_increasing_id()))
 
     def item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -233,18 +267,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: CgkParams
 
     def item_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for raw in b["item"]:
+            for name, raw in zip(b["name"].tolist(), b["item"]):
                 words = np.frombuffer(raw, np.uint64)
-                low, _ = p.size_class(len(words))
-                yield pd.DataFrame({"item": raw, "key": np.unique(walk_keys(words, np.zeros(1, np.int64), low, p)[0])})
+                cuts = np.array(p.cuts(len(words)))
+                lows = np.array([p.size_class(n)[0] for n in np.diff(cuts).tolist()])
+                made = [walk_keys(words, cuts[:-1][lows == low], low, p).ravel() for low in np.unique(lows).tolist()]
+                yield pd.DataFrame({"name": name, "key": np.unique(np.concatenate(made))})
 
     marks = bit_map(texts_of_items.mapInPandas(item_grams, "g long"), "g", p.map_bits)
-    of_items = cut_lineage(texts_of_items.mapInPandas(item_keys, "item binary, key long"))
+    of_items = cut_lineage(texts_of_items.mapInPandas(item_keys, "name long, key long"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    regions = texts.mapInPandas(_regions(p, classes, marks), "doc_id long, start long, words binary, asked binary")
+    regions = texts.mapInPandas(_regions(p, sizes, classes, marks), "doc_id long, start long, words binary, asked binary")
     regions = cut_lineage(regions.withColumn("region", F.monotonically_increasing_id()))
     windows = regions.select("region", "words", "asked").mapInPandas(_window_keys(p, classes), "region long, key long")
-    met = cut_lineage(windows.join(of_items.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).select("region", "item").distinct())
+    met = cut_lineage(windows.join(of_items.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).select("region", "name").distinct())
 
     @F.pandas_udf("edits int, first int, last int")
     def verified(item: pd.Series, words: pd.Series) -> pd.DataFrame:
@@ -257,7 +293,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: CgkParams
         return pd.DataFrame(out, columns=["edits", "first", "last"]).astype("int32")
 
     held = regions.withColumnRenamed("region", "_region")
-    near = met.join(held, F.col("region") == F.col("_region")).select("doc_id", "start", "item", verified("item", "words").alias("v"))
+    named = texts_of_items.withColumnRenamed("name", "_name")
+    near = met.join(named, F.col("name") == F.col("_name")).join(held, F.col("region") == F.col("_region")).select("doc_id", "start", "item", verified("item", "words").alias("v"))
     allowed = F.floor(F.lit(1 - p.similarity) * F.octet_length("item") / 8 + 1e-9)
     near = near.where(F.col("v.edits") <= allowed).select("doc_id", F.col("item").alias("_item"), F.struct(F.col("v.edits").alias("edits"), (F.col("start") + F.col("v.first")).alias("start_word"), (F.col("v.last") - F.col("v.first")).cast("long").alias("n_words")).alias("at"))
     best = near.groupBy("doc_id", "_item").agg(F.min("at").alias("at"))

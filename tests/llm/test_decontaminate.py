@@ -108,3 +108,29 @@ def test_classes_cover_all_lengths():
     for n in range(1, 300):
         low, high = p.size_class(n)
         assert low <= n <= high and p.size_class(low) == p.size_class(high) == (low, high)
+
+
+def test_recall_of_long_items_for_each_kind_of_edit(spark, make_docs):
+    rng, p, trials = random.Random(12), CgkParams(), 20
+    words = [f"word{i}" for i in range(3000)]
+    cells = [(n, kind) for n in (60, 100, 200, 400) for kind in ("deleted", "inserted", "replaced")]
+    items, docs = [], []
+    for i in range(len(cells) * trials):
+        n, kind = cells[i // trials]
+        item = [rng.choice(words) for _ in range(n)]
+        places = set(rng.sample(range(n), p.edits(n)))
+        near = [x for at, w in enumerate(item) for x in ([w] if at not in places else {"deleted": [], "inserted": [rng.choice(words), w], "replaced": [rng.choice(words)]}[kind])]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join([rng.choice(words) for _ in range(rng.randrange(1, 80))] + near + [rng.choice(words) for _ in range(40)])))
+    found = find_contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    met = [r["doc_id"] for r in found if r["doc_id"] == r["item_id"]]
+    share = {c: sum(i // trials == at for i in met) / trials for at, c in enumerate(cells)}
+    assert min(share.values()) >= 0.95, share
+
+
+def test_some_piece_of_an_item_is_within_its_share_of_edits():
+    p = CgkParams()
+    for n in range(1, 500):
+        sizes = np.diff(p.cuts(n)).tolist()
+        assert sum(sizes) == n and max(sizes) <= max(p.piece, 1) and max(sizes) - min(sizes) <= 1
+        assert sum(p.edits(s) + 1 for s in sizes) > p.edits(n)
