@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,6 +78,8 @@ class Page:
         self._in_link = False
         #: Open elements: tag, container, whether set apart. Only containers and elements that are set apart are kept.
         self._open: list[tuple[str, int, bool]] = [("", 0, False)]
+        #: How many elements of a tag are open, so that an end tag without one is told at once.
+        self._opened: Counter[str] = Counter()
         if source:
             self._read(source)
 
@@ -127,8 +130,12 @@ class Page:
         if tag in _BLOCKS:
             self._flush()
             top = self._open[-1][0]
-            if top == "p" or top == tag and tag in ("li", "td", "th", "dt", "dd", "option"):
-                self._open.pop()
+            if top == "p" or top == tag and tag in ("li", "td", "th", "dt", "dd"):
+                self._pop()
+        elif tag in ("option", "optgroup"):
+            while self._open[-1][0] == "option" or self._open[-1][0] == tag:
+                self._flush()
+                self._pop()
         elif tag in ("br", "img", "wbr"):
             self._pieces.append(" " if tag != "wbr" else "")
         elif tag == "a":
@@ -141,21 +148,29 @@ class Page:
         if tag in _CONTAINERS and not apart_here:
             path = hashlib.blake2b(f"{self.containers[container][0]}>{tag}.{label}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
             self.containers.append((int.from_bytes(path, "big", signed=True), container))
-            self._open.append((tag, len(self.containers) - 1, False))
+            self._push(tag, len(self.containers) - 1, False)
         elif apart_here and not apart or tag in _CONTAINERS or tag in _APART:
             self._flush()
-            self._open.append((tag, container, apart_here))
+            self._push(tag, container, apart_here)
+
+    def _push(self, tag: str, container: int, apart: bool) -> None:
+        self._open.append((tag, container, apart))
+        self._opened[tag] += 1
+
+    def _pop(self) -> str:
+        tag = self._open.pop()[0]
+        self._opened[tag] -= 1
+        return tag
 
     def _end(self, tag: str) -> None:
         if tag == "a":
             self._in_link = False
         if tag in _BLOCKS:
             self._flush()
-        for at in range(len(self._open) - 1, max(0, len(self._open) - 64), -1):
-            if self._open[at][0] == tag:
-                self._flush()
-                del self._open[at:]
-                break
+        if self._opened[tag]:
+            self._flush()
+            while self._pop() != tag:
+                pass
 
     def best(self) -> tuple[int, float] | None:
         """The path of the container with the best score, and the score: running text outside links, of which a

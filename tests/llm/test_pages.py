@@ -54,6 +54,13 @@ def test_odd_pages(spark):
     assert extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_end_tags_find_their_element_behind_many_unclosed_ones():
+    options = "<optgroup label=x>" + "<option>Country" * 300
+    for inner in (options, options * 2, "<div>" * 300, "<button>" * 300):
+        assert Page(f"<body><header><form><select>{inner}</select></form></header><article><p>The story.</p></article>").text(None) == "The story."
+    assert Page("<div>" * 50_000 + "</section>" * 50_000 + "<p>end").text(None) == "end"
+
+
 def test_many_unclosed_quotes_take_no_square_time():
     assert Page("<a href=\"x " * 20_000).text(None) == ""
     Page("<" * 50_000 + "<p " * 50_000)
