@@ -38,6 +38,11 @@ _APART_NAMES = {
     "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "comment", "comments", "reply", "replies", "disqus", "share", "sharing", "social",
     "related", "breadcrumb", "breadcrumbs", "pagination", "pager", "newsletter", "subscribe", "popup", "modal", "overlay", "login", "widget", "toolbar", "hidden",
 }
+#: First and last parts of names that tell how a page is laid out and not what an element is (`has-sidebar`, `header-fixed`).
+_STATE_FIRST = {"has", "no", "not", "with", "without"}
+_STATE_LAST = {"fixed", "sticky", "enabled", "disabled", "open", "closed", "on", "off"}
+#: Names that wrappers of an article bear too; an element with another whole name has to hold more to be one.
+_LAYOUT_NAMES = {"nav", "navbar", "navigation", "menu", "footer", "header", "masthead", "sidebar", "banner", "widget", "toolbar", "overlay", "modal", "popup"}
 _APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 #: Named by the page itself as its content: names in their class don't set them apart.
 _TRUSTED = {"html", "body", "article", "main"}
@@ -45,9 +50,18 @@ _TRUSTED = {"html", "body", "article", "main"}
 _PASSED_ON = 0.8
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """The generalised class of a tag, digits as N, and whether its names or role set it apart."""
-    names: list[str] = []
+def _named(token: str) -> int:
+    """Whether a class or id sets its element apart: 0 no, 1 unless the element wraps the article, 2 hardly ever."""
+    parts = re.findall(r"[a-z]+", token)
+    if _APART_NAMES.isdisjoint(parts) or len(parts) > 1 and (parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST):
+        return 0
+    return 2 if len(parts) == 1 and parts[0] not in _LAYOUT_NAMES else 1
+
+
+def _attributes(raw: str) -> tuple[str, int, bool]:
+    """The generalised class of a tag, digits as N, whether its names set it apart (as `_named`), and whether its role or
+    being hidden does."""
+    named = 0
     apart = False
     classes: list[str] = []
     for m in _ATTRIBUTE.finditer(raw):
@@ -55,29 +69,38 @@ def _attributes(raw: str) -> tuple[str, bool]:
         if key == "class":
             classes += value.split()
         if key in ("class", "id"):
-            names += re.findall(r"[a-z]+", value)
+            named = max([named, *map(_named, value.split())])
         elif key == "role":
             apart |= value in _APART_ROLES
         elif key == "hidden" or value == "true":
             apart = True
-    return ".".join(sorted({re.sub(r"[0-9]+", "N", c) for c in classes})), apart or not _APART_NAMES.isdisjoint(names)
+    return ".".join(sorted({re.sub(r"[0-9]+", "N", c) for c in classes})), named, apart
 
 
 class Page:
     """The text blocks of a page and its containers.
 
     `blocks`: (text, characters inside links, container) of text outside elements that are set apart, in page order.
-    `containers`: (path, container around it). A path is a hash of the tags and generalised classes from the root.
+    `containers`: (path, container around it). A path is a hash of the tags and generalised classes from the root; containers
+    that are set apart have none.
+
+    What a name sets apart is read like the rest and left out at the end, unless the element turns out to wrap the article.
     """
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, int, int]] = []
-        self.containers: list[tuple[int, int]] = [(0, -1)]
+        self.containers: list[tuple[int | None, int]] = [(0, -1)]
+        #: Elements that a name sets apart: the one around it, and what `_named` said. Number 0 is the page.
+        self._marks: list[tuple[int, int]] = [(-1, 0)]
+        #: The innermost such element of each block, of each container, and of each article and main.
+        self._block_marks: list[int] = []
+        self._container_marks: list[int] = [0]
+        self._articles: list[tuple[str, int]] = []
         self._pieces: list[str] = []
         self._linked = 0
         self._in_link = False
-        #: Open elements: tag, container, whether set apart. Only containers and elements that are set apart are kept.
-        self._open: list[tuple[str, int, bool]] = [("", 0, False)]
+        #: Open elements: tag, container, whether set apart, mark. Only containers and elements that are set apart are kept.
+        self._open: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
         #: How many elements of a tag are open, so that an end tag without one is told at once.
         self._opened: Counter[str] = Counter()
         if source:
@@ -108,6 +131,32 @@ class Page:
                     at = close.end() if close else len(source)
                     self._end(tag)
         self._flush()
+        if len(self._marks) > 1:
+            self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Leaves out what names set apart. Elements with a whole name that no wrapper bears stay only if they hold a main, or
+        all articles and most running text; of what is left, the others stay if they hold a main, all articles or most
+        running text."""
+        out = [False] * len(self._marks)
+        for least in (2, 1):
+            running, articles, mains = ([0] * len(out) for _ in range(3))
+            for (text, linked, _), m in zip(self.blocks, self._block_marks):
+                if not out[m]:
+                    running[m] += max(0, len(text) - 2 * linked)
+            for tag, m in self._articles:
+                if not out[m]:
+                    (mains if tag == "main" else articles)[m] += 1
+            for counts in (running, articles, mains):
+                for m in range(len(out) - 1, 0, -1):
+                    counts[self._marks[m][0]] += counts[m]
+            for m in range(1, len(out)):
+                around, named = self._marks[m]
+                most, every = 2 * running[m] > running[0], articles[m] and articles[m] == articles[0]
+                wraps = mains[m] or (every and most if least == 2 else every or most)
+                out[m] |= out[around] or named == least and not wraps
+        self.blocks = [b for b, m in zip(self.blocks, self._block_marks) if not out[m]]
+        self.containers = [(None if out[m] else path, around) for (path, around), m in zip(self.containers, self._container_marks)]
 
     def _text(self, text: str) -> None:
         if self._open[-1][2]:
@@ -123,6 +172,7 @@ class Page:
             text = " ".join("".join(self._pieces).split())
             if text:
                 self.blocks.append((text, self._linked, self._open[-1][1]))
+                self._block_marks.append(self._open[-1][3])
             self._pieces = []
         self._linked = 0
 
@@ -142,19 +192,28 @@ class Page:
             self._in_link = True
         if tag in _VOID:
             return
-        _, container, apart = self._open[-1]
-        label, named = _attributes(raw) if raw else ("", False)
-        apart_here = apart or tag in _APART or named and tag not in _TRUSTED
+        _, container, apart, mark = self._open[-1]
+        label, named, kept_out = _attributes(raw) if raw else ("", 0, False)
+        trusted = tag in _TRUSTED
+        apart_here = apart or tag in _APART or kept_out and not trusted
+        named = 0 if trusted or apart_here else named
+        if named:
+            self._flush()
+            self._marks.append((mark, named))
+            mark = len(self._marks) - 1
+        if tag in ("article", "main") and not apart_here:
+            self._articles.append((tag, mark))
         if tag in _CONTAINERS and not apart_here:
             path = hashlib.blake2b(f"{self.containers[container][0]}>{tag}.{label}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
             self.containers.append((int.from_bytes(path, "big", signed=True), container))
-            self._push(tag, len(self.containers) - 1, False)
-        elif apart_here and not apart or tag in _CONTAINERS or tag in _APART:
+            self._container_marks.append(mark)
+            self._push(tag, len(self.containers) - 1, False, mark)
+        elif named or apart_here and not apart or tag in _CONTAINERS or tag in _APART:
             self._flush()
-            self._push(tag, container, apart_here)
+            self._push(tag, container, apart_here, mark)
 
-    def _push(self, tag: str, container: int, apart: bool) -> None:
-        self._open.append((tag, container, apart))
+    def _push(self, tag: str, container: int, apart: bool, mark: int) -> None:
+        self._open.append((tag, container, apart, mark))
         self._opened[tag] += 1
 
     def _pop(self) -> str:

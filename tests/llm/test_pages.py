@@ -61,6 +61,18 @@ def test_end_tags_find_their_element_behind_many_unclosed_ones():
     assert Page("<div>" * 50_000 + "</section>" * 50_000 + "<p>end").text(None) == "end"
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "page header-fixed", "elementor-widget elementor-widget-theme-post-content", "layout sidebar-left", "widget"])
+def test_layout_words_on_wrappers_leave_the_article(name):
+    story, side = "<p>The story of this page runs on.</p>", "<div class='comments'><article><p>I say so, and so does everybody else here, again and again.</p></article></div><div class='sidebar'><p>More</p></div>"
+    assert Page(f"<div class='{name}'><article>{story}</article></div>{side}").text(None) == "The story of this page runs on."
+    assert Page(f"<body><div id='{name}'>{story * 3}</div>{side}").text(None) == "\n".join(["The story of this page runs on."] * 3)
+
+
+def test_named_elements_beside_the_article_stay_out():
+    for name in ("sidebar", "ad-slot", "related-posts", "sticky-header", "comment-list", "main nav", "cookie-banner"):
+        assert Page(f"<div><p>The story of this page runs on.</p><div class='{name}'><p>Something else.</p></div></div>").text(None) == "The story of this page runs on."
+
+
 def test_many_unclosed_quotes_take_no_square_time():
     assert Page("<a href=\"x " * 20_000).text(None) == ""
     Page("<" * 50_000 + "<p " * 50_000)
