@@ -95,6 +95,7 @@ class Page:
         #: The innermost such element of each block, of each container, and of each article and main.
         self._block_marks: list[int] = []
         self._container_marks: list[int] = [0]
+        self._container_tags: list[str] = [""]
         self._articles: list[tuple[str, int]] = []
         self._pieces: list[str] = []
         self._linked = 0
@@ -207,6 +208,7 @@ class Page:
             path = hashlib.blake2b(f"{self.containers[container][0]}>{tag}.{label}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
             self.containers.append((int.from_bytes(path, "big", signed=True), container))
             self._container_marks.append(mark)
+            self._container_tags.append(tag)
             self._push(tag, len(self.containers) - 1, False, mark)
         elif named or apart_here and not apart or tag in _CONTAINERS or tag in _APART:
             self._flush()
@@ -242,17 +244,37 @@ class Page:
         best = max(range(1, len(scores)), key=lambda c: (scores[c], c), default=None)
         return None if best is None or scores[best] <= 0 else (self.containers[best][0], scores[best])
 
+    def _whole(self, found: list[bool]) -> list[bool]:
+        """Containers widened to the article they belong to: the innermost article around one, else the innermost main, else
+        the outermost container of those around it that hold running text of their own, which a page's body or cell is not."""
+        own = [False] * len(found)
+        for text, linked, container in self.blocks:
+            own[container] |= len(text) > 2 * linked
+        tags, around = self._container_tags, [a for _, a in self.containers]
+        # For each container the nearest article, main, and the top of its chain of containers with text of their own.
+        article, main, top = [0] * len(found), [0] * len(found), [0] * len(found)
+        for c in range(1, len(found)):
+            up = around[c]
+            article[c] = c if tags[c] == "article" else article[up]
+            main[c] = c if tags[c] == "main" else main[up]
+            top[c] = top[up] if own[up] and up and tags[up] not in ("body", "td", "center") else c
+        out = [False] * len(found)
+        for c in range(1, len(found)):
+            if found[c]:
+                out[article[c] or main[c] or top[c]] = True
+        return out
+
     def text(self, path: int | None) -> str:
-        """The blocks inside elements on `path`, joined by line feeds; without such an element, inside the page's own best
-        container; without that, all blocks."""
+        """The blocks inside elements on `path`, widened to the article they belong to, joined by line feeds; without such an
+        element, inside the page's own best container; without that, all blocks."""
         if path is None or all(p != path for p, _ in self.containers[1:]):
             own = self.best()
             path = own[0] if own else None
         if path is None:
             return "\n".join(b[0] for b in self.blocks)
-        inside = [False]
-        for p, around in self.containers[1:]:
-            inside.append(p == path or inside[around])
+        inside = self._whole([c > 0 and p == path for c, (p, _) in enumerate(self.containers)])
+        for c, (_, around) in enumerate(self.containers[1:], 1):
+            inside[c] |= inside[around]
         return "\n".join(b[0] for b in self.blocks if inside[b[2]])
 
 

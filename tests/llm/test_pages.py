@@ -61,6 +61,15 @@ def test_end_tags_find_their_element_behind_many_unclosed_ones():
     assert Page("<div>" * 50_000 + "</section>" * 50_000 + "<p>end").text(None) == "end"
 
 
+@pytest.mark.parametrize("around", ["article", "main", "div class=post"])
+def test_a_body_beside_its_title_and_lead(spark, around):
+    body = "".join(f"<p>Paragraph {i} of a body that runs on and on for quite a while.</p>" for i in range(30))
+    html = f"<body><div class=top><p>Site</p></div><{around}><h1>Title</h1><p class=lead>Lead</p><div class=entry-content>{body}</div><section><p>Sources</p></section><div class=related><p>Other</p></div></{around.split()[0]}><div class=list><p>More of the site</p></div></body>"
+    want = ["Title", "Lead", *[f"Paragraph {i} of a body that runs on and on for quite a while." for i in range(30)], "Sources"]
+    got = extract_main_text(spark.createDataFrame([(i, "http://h.example/", html) for i in range(3)], PAGE)).collect()
+    assert [r["text"] for r in got] == ["\n".join(want)] * 3
+
+
 @pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "page header-fixed", "elementor-widget elementor-widget-theme-post-content", "layout sidebar-left", "widget"])
 def test_layout_words_on_wrappers_leave_the_article(name):
     story, side = "<p>The story of this page runs on.</p>", "<div class='comments'><article><p>I say so, and so does everybody else here, again and again.</p></article></div><div class='sidebar'><p>More</p></div>"
