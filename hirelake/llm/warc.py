@@ -22,8 +22,6 @@ from ..session import cut_lineage
 
 _END = "\r\n\r\n"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: A head longer than this is no head.
-_HEAD_BYTES = 1 << 16
 #: Archives are written without a clock, so that equal pages give equal archives.
 _DATE = "2000-01-01T00:00:00Z"
 
@@ -61,9 +59,15 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = 100, records_pe
 
 
 def record_candidates(data: bytes) -> Iterator[tuple[int, int, dict[str, str], int]]:
-    """Every place that reads like a record and fits the archive: offset, successor's offset, head fields, block's start."""
+    """Every place that reads like a record and fits the archive: offset, successor's offset, head fields, block's start.
+
+    A record starts the file or follows the blank line that ends another, and a head ends with the first blank line; so no
+    two heads overlap, and heads of any length are read in linear time.
+    """
     for m in _MAGIC.finditer(data):
-        stop = data.find(b"\r\n\r\n", m.end() - 2, m.end() + _HEAD_BYTES)
+        if m.start() and data[max(0, m.start() - 4):m.start()] != b"\r\n\r\n":
+            continue
+        stop = data.find(b"\r\n\r\n", m.end() - 2)
         if stop < 0:
             continue
         fields = {}

@@ -125,6 +125,17 @@ def test_round_trip(spark, tmp_path, per_archive):
     assert len({r["archive"] for r in got}) >= (len(rows) if per_archive == 1 else 1)
 
 
+def test_heads_of_any_length(spark, tmp_path):
+    urls = ["http://a.example/", "data:," + "x" * 100_000, "http://b.example/", "http://c.example/WARC/1.1", "data:," + "é" * 200_000, "http://d.example/"]
+    path = str(tmp_path / "warc")
+    write_warc(spark.createDataFrame([(i, u, f"<p>page {i}</p>") for i, u in enumerate(urls)], PAGE).coalesce(1), path)
+    assert sorted((r["page_id"], r["url"]) for r in read_warc(spark, path).collect()) == list(enumerate(urls))
+
+
+def test_many_magics_without_an_end_take_no_square_time():
+    assert list(record_candidates(b"WARC/1.1\r\n" * 300_000)) == []
+
+
 def test_empty_table(spark, tmp_path):
     write_warc(spark.createDataFrame([], PAGE), str(tmp_path / "warc"))
     assert read_warc(spark, str(tmp_path / "warc")).count() == 0
