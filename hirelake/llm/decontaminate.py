@@ -302,6 +302,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: CgkParams
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, params: CgkParams = CgkParams()) -> DataFrame:
-    """The rows of `docs` whose id holds no benchmark item; all columns stay as they are, null ids are tested as one id."""
-    found = cut_lineage(find_contamination(docs, benchmark, params).select(F.col("doc_id").alias("_found7")).distinct())
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_found7")), "left_anti")
+    """The rows of `docs` whose own text holds no benchmark item; all columns stay as they are.
+
+    Rows are judged by their texts (as 64-bit hashes), so null and repeated ids neither save nor condemn another row.
+    """
+    key = F.xxhash64("text")
+    found = find_contamination(docs.select(key.alias("doc_id"), "text"), benchmark, params)
+    found = cut_lineage(found.select(F.col("doc_id").alias("_found7")).distinct())
+    return docs.join(found, key == F.col("_found7"), "left_anti")

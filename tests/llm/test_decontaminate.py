@@ -134,3 +134,11 @@ def test_some_piece_of_an_item_is_within_its_share_of_edits():
         sizes = np.diff(p.cuts(n)).tolist()
         assert sum(sizes) == n and max(sizes) <= max(p.piece, 1) and max(sizes) - min(sizes) <= 1
         assert sum(p.edits(s) + 1 for s in sizes) > p.edits(n)
+
+
+def test_only_rows_that_hold_an_item_go(spark, make_docs):
+    item = "a benchmark item of some ten words or even more"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = [(None, "nothing to be found in here"), (None, None), (7, "another clean text of the same id"), (8, ""), (9, "clean")]
+    docs = make_docs([*clean, (None, f"so {item} it is"), (7, item), (7, item), (10, f"{item} once again")])
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in remove_contaminated(docs, bench).collect()))) == sorted(map(str, clean))
