@@ -3,10 +3,11 @@
 Equal vectors are one entry that carries its smallest ids. Entries are turned to unit length and rotated by seeded random
 signs and Hadamard transforms, so that any few dimensions tell about the whole; they lie in lists around k-means centres of
 a bounded sample, each list cut into pieces of a bounded size, each piece stored in blocks of columns. A query first reads
-its nearest list, which gives it a score to beat, then its further lists: after each block of columns the distance so far,
-scaled up to all dimensions, is tested against what the score to beat allows, and candidates that fail are abandoned.
-Survivors are scored exactly on the original vectors. How many lists a query reads is set so that a bounded set of the
-queries, answered by brute force over all entries, finds the share of neighbours asked for.
+its nearest list, which gives it a score to beat, then its further lists in widening rounds that each raise that score:
+after each block of columns the distance so far, scaled up to all dimensions, is tested against what the score to beat
+allows, and candidates that fail are abandoned. Survivors are scored exactly on the original vectors. How many lists a
+query reads is set so that a bounded set of the queries, answered by brute force over all entries, finds the share of
+neighbours asked for.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ _PAIRS_AT_ONCE = 1 << 16
 class ScanParams:
     """`sample_rows` bounds the rows that centres are fitted on, `trial_queries` the queries answered by brute force;
     `recall` is the share of neighbours whose lists must be read. A list has about `list_rows` entries while there are no
-    more than `max_lists` lists of one vector length. `slack` is the test's number of standard deviations."""
+    more than `max_lists` lists of one vector length. A query's lists are read in rounds that each end at `widening` times
+    as many lists; `slack` is the test's number of standard deviations."""
 
     sample_rows: int = 20_000
     trial_queries: int = 128
     recall: float = 0.96
     list_rows: int = 256
     max_lists: int = 2048
+    widening: int = 4
     piece_rows: int = 2048
     block_queries: int = 256
     columns: int = 16
@@ -274,7 +277,7 @@ def lists_to_read(entries: DataFrame, asking: int, centres: dict[int, np.ndarray
 
 def _probe(asks: DataFrame, pieces: DataFrame, k: int, params: ScanParams) -> DataFrame:
     """What queries (`entry`, `dim`, `v`, `floor`, `lists`) find in the pieces of their lists."""
-    waiting = cut_lineage(asks)
+    waiting = cut_lineage(asks.where(F.size("lists") > 0))
     each = waiting.select("entry", "dim", F.explode("lists").alias("list"))
     sizes = each.groupBy("dim", "list").agg(F.ceil(F.count("*") / params.block_queries).cast("int").alias("parts"))
     blocks = waiting.withColumn("list", F.explode("lists")).join(sizes, ["dim", "list"]).withColumn("block", F.pmod(F.xxhash64("entry"), F.col("parts")))
@@ -309,23 +312,27 @@ def approximate_neighbours(vectors: DataFrame, is_query, k: int = 20, vector: st
     centres = fit_lists(entries, counts["n"], params)
     shape = f"entry long, dim int, v array<{'float' if single else 'double'}>, asks boolean, lists array<int>"
     listed = entries.select("entry", "dim", "v", "asks").mapInPandas(_assign(centres, 1), shape)
-    listed = cut_lineage(listed.select("entry", "dim", "v", "asks", "lists", F.col("lists")[0].alias("list")))
+    listed = cut_lineage(listed.select("entry", "dim", "v", "asks", F.col("lists")[0].alias("list")))
     reads = lists_to_read(listed, counts["q"], centres, k + 1, params)
 
     sizes = listed.groupBy("dim", "list").agg(F.ceil(F.count("*") / params.piece_rows).cast("int").alias("parts"))
     cut = listed.join(sizes, ["dim", "list"]).withColumn("piece", F.pmod(F.xxhash64("entry"), F.col("parts")))
     pieces = cut_lineage(cut.select("dim", "list", "piece", "entry", "v").groupBy("dim", "list", "piece").applyInPandas(_pack_piece(params), "dim int, list int, body binary"))
-    asking = listed.where("asks").select("entry", "dim", "v", "asks", "lists")
-    near = _probe(asking.withColumn("floor", F.lit(float("-inf"))), pieces, k + 1, params)
-    if reads > 1:
-        place = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-        reached = near.withColumn("r", F.row_number().over(place)).where(F.col("r") == k + 1).select(F.col("q").alias("entry"), F.col("score").alias("floor"))
-        wider = asking.drop("lists").mapInPandas(_assign(centres, reads), shape).withColumn("lists", F.slice("lists", 2, reads))
-        wider = wider.join(reached, "entry", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        near = near.unionAll(_probe(wider, pieces, k + 1, params))
-
-    best = Window.partitionBy("q").orderBy(F.desc("score"))
-    near = near.withColumn("r", F.rank().over(best)).where(F.col("r") <= k + 1).drop("r")
+    asking = cut_lineage(listed.where("asks").select("entry", "dim", "v", "asks").mapInPandas(_assign(centres, reads), shape))
+    near, done, upto = None, 0, 1
+    while done < reads:
+        asks = asking.withColumn("lists", F.slice("lists", done + 1, upto - done))
+        if near is None:
+            asks = asks.withColumn("floor", F.lit(float("-inf")))
+        else:
+            reached = near.where(F.col("place") == k + 1).select(F.col("q").alias("entry"), F.col("score").alias("floor"))
+            asks = asks.join(reached, "entry", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        found = _probe(asks, pieces, k + 1, params)
+        found = found if near is None else found.unionAll(near.select("q", "c", "score"))
+        ranked = found.withColumn("rank", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("rank") <= k + 1)
+        near = cut_lineage(ranked.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).drop("rank"))
+        done, upto = upto, min(reads, upto * params.widening)
+    near = near.drop("place")
     ids = near.join(entries.select(F.col("entry").alias("c"), F.explode("members").alias("m")), "c").select("q", "score", "m.id", "m.row")
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id", "row"))).where(F.col("r") <= k + 1).drop("r")
     answers = ids.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "row"))).alias("found"))
