@@ -4,8 +4,9 @@ The counts come from suffix trees over words, cut off at three words and built p
 counts of single words. Those counts, in the order of (lang, word), are cut into groups of at most `group_rows` suffixes, so
 that each group's tree fits into a task; a word that begins more suffixes than that is split into its two-word prefixes
 (counted by a scan of their own), and a pair that is still too frequent is split over several groups by its third word. A
-second scan deals every suffix, counted within its task first, to the group of its prefix. Each group sorts its suffixes,
-adds up equal ones (the leaves) and reads the counts of the inner nodes from the totals of the leaves below them.
+second scan deals every suffix, counted and packed into one small tree a group within its task first, to the group of its
+prefix. Each group sorts its suffixes, adds up equal ones (the leaves) and reads the counts of the inner nodes from the
+totals of the leaves below them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc  # noqa: F401 - makes pa.ipc known
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ _ROWS_OUT = 100_000
 
 _WORDS = "lang string, w1 string, n long"
 _PAIRS = "lang string, w1 string, w2 string, n long"
-_SUFFIXES = "part int, lang string, w1 string, w2 string, w3 string, n long"
+_PARTS = "part int, tree binary"
 _NODES = "lang string, w1 string, w2 string, w3 string, n long"
 
 
@@ -43,7 +45,7 @@ class CollocationParams:
     covered_pct: int = 50
     top: int = 2000
     group_rows: int = 500_000
-    task_rows: int = 2_000_000
+    task_rows: int = 1_000_000
 
 
 def pieces_of(text: str) -> Iterator[list[bytes]]:
@@ -177,9 +179,13 @@ def _deal_suffixes(groups: _Groups):
         for row in np.flatnonzero(of > 1).tolist():
             part[row] += _spread(read.words[third[at[row]]]) % int(of[row])
         langs, words = read.columns()
-        one, two, three = (pa.array(x[at]) for x in (first, second, third))
-        columns = [pa.array(part, pa.int32()), langs.take(one), words.take(one), words.take(two), words.take(three), pa.array(found, pa.int64())]
-        yield from _batches(["part", "lang", "w1", "w2", "w3", "n"], columns)
+        order = np.argsort(part, kind="stable")  # within a part the suffixes stay sorted by their words' numbers
+        part, at, found = part[order], at[order], found[order]
+        starts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            rows = at[start:stop]
+            tree = pack_tree(langs, words, first[rows], second[rows], third[rows], found[start:stop])
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[start])], pa.int32()), pa.array([tree], pa.binary())], ["part", "tree"])
 
     return count
 
@@ -192,6 +198,33 @@ def _spread(word: bytes | None) -> int:
     return out
 
 
+def _steps(*levels: np.ndarray) -> np.ndarray:
+    """Where any of the sorted columns changes, the first row included."""
+    return np.append(0, 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in levels], axis=0)))
+
+
+def pack_tree(langs: pa.Array, words: pa.Array, first: np.ndarray, second: np.ndarray, third: np.ndarray, found: np.ndarray) -> bytes:
+    """What one task knows of a group's tree, compressed: each first word once, each second word once a pair, each leaf."""
+    ones, twos = _steps(first), _steps(first, second)
+    lengths = [np.diff(np.append(np.searchsorted(twos, ones), len(twos))), np.diff(np.append(twos, len(first)))]
+    columns = [langs.take(pa.array(first[ones])), words.take(pa.array(first[ones])), pa.array(lengths[0], pa.int32()),
+               words.take(pa.array(second[twos])), pa.array(lengths[1], pa.int32()), words.take(pa.array(third)), pa.array(found, pa.int64())]
+    one_row = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], [f"c{i}" for i in range(7)])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, one_row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(one_row)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_tree(packed: bytes) -> pa.Table:
+    """The suffixes of a packed tree: `lang`, `w1`, `w2`, `w3`, `n`."""
+    row = pa.ipc.open_stream(packed).read_next_batch()
+    lang, one, pairs, two, leaves, three, found = (row.column(i).flatten() for i in range(7))
+    pair_of = np.repeat(np.arange(len(leaves)), leaves.to_numpy())
+    first_of = pa.array(np.repeat(np.arange(len(pairs)), pairs.to_numpy())[pair_of])
+    return pa.table([lang.take(first_of), one.take(first_of), two.take(pa.array(pair_of)), three, found], names=["lang", "w1", "w2", "w3", "n"])
+
+
 def build_subtree(suffixes: pa.Table, least: int, whole_pairs: bool) -> pa.Table:
     """The nodes of two words (the third null) and three that occur at least `least` times among a group's suffixes.
 
@@ -204,7 +237,7 @@ def build_subtree(suffixes: pa.Table, least: int, whole_pairs: bool) -> pa.Table
         coded.append(pc.fill_null(codes, -1).to_numpy(zero_copy_only=False).astype(np.int64))
     order = np.lexsort(coded[::-1])
     coded, found = [c[order] for c in coded], suffixes["n"].to_numpy()[order]
-    changes = [np.append(0, 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in coded[:depth]], axis=0))) for depth in (4, 3)]
+    changes = [_steps(*coded), _steps(*coded[:3])]
     leaves = np.add.reduceat(found, changes[0])
     keep = (coded[3][changes[0]] >= 0) & (leaves >= least)
     rows, totals = [changes[0][keep]], [leaves[keep]]
@@ -254,10 +287,11 @@ def phrase_counts(docs: DataFrame, params: CollocationParams = CollocationParams
     first_split, least = len(word_starts) + len(pair_starts), params.least
 
     def subtree(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return build_subtree(group, least, key[0].as_py() < first_split)
+        suffixes = pa.concat_tables([unpack_tree(tree) for tree in group["tree"].to_pylist()])
+        return build_subtree(suffixes, least, key[0].as_py() < first_split)
 
-    suffixes = texts.mapInArrow(_scan(_deal_suffixes(_Groups(word_starts, heavy, pair_starts, split)), params.task_rows), _SUFFIXES)
-    nodes = suffixes.groupBy("part").applyInArrow(subtree, _NODES)
+    dealt = texts.mapInArrow(_scan(_deal_suffixes(_Groups(word_starts, heavy, pair_starts, split)), params.task_rows), _PARTS)
+    nodes = dealt.groupBy("part").applyInArrow(subtree, _NODES)
     return words, cut_lineage(nodes if split_pairs is None else nodes.unionAll(split_pairs))
 
 
