@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
 from ..operators import filters as flt
-from ..operators.annotate import annotate_country, annotate_experience, annotate_stances, classify_domain
+from ..operators.annotate import annotate_country, annotate_experience, classify_domain
+from ..operators.stances import annotate_stances
 from .bindings import NOW
 from .diff_queries import N
 from .filter_queries import CONTRACT

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import annotate as ann
+from ..operators.stances import annotate_stances
 from .diff_queries import N
 from .filter_queries import CONTRACT, FULL_OR_NONE, INTERN, PART
 from .registry import query
@@ -141,7 +142,30 @@ def _stamp_report(b):
 @query("annotate_stances", """
     SELECT id, CASE WHEN contains(description, 'do not offer visa sponsorship') THEN 'refuses_sponsorship' WHEN contains(description, 'Relocation support is available') THEN 'offers_relocation' ELSE '' END AS stances FROM postings""")
 def _stances(b):
-    return ann.annotate_stances(b.postings).select("id", F.array_join("stances", ",").alias("stances"))
+    return annotate_stances(b.postings).select("id", F.array_join("stances", ",").alias("stances"))
+
+
+# One statement a row, among wordings that mean the same, the opposite, or something else.
+_STATEMENTS = (
+    ("Visa sponsorship is available for this role", "offers_sponsorship"), ("Is visa sponsorship available? No", "refuses_sponsorship"),
+    ("You must already be authorized to work in the U.S.", "refuses_sponsorship"), ("Applicants must be U.S. citizens", "refuses_sponsorship"),
+    ("Some positions require U.S. citizenship", ""), ("You report to the executive sponsor of the project", ""),
+    ("We will sponsor your security clearance", ""), ("We offer H-1B transfer sponsorship", "may_offer_sponsorship"),
+    ("Visa sponsorship is considered on a case-by-case basis", "may_offer_sponsorship"), ("You must be willing to relocate", ""),
+    ("Relocation: Yes", "offers_relocation"), ("We are not a big company, but we offer visa sponsorship", "offers_sponsorship"),
+    ("All are considered regardless of gender, age, origin or citizenship", ""), ("Lead the relocation of the data center", ""),
+    ("We offer visa sponsorship to full-time employees only", "CASE WHEN o_orderstatus = 'F' THEN 'refuses_sponsorship' ELSE 'offers_sponsorship' END"),
+    ("We offer visa sponsorship for senior roles", "CASE WHEN o_orderpriority = '1-URGENT' THEN 'offers_sponsorship' ELSE 'refuses_sponsorship' END"),
+)
+_SAID = "CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN '{text}'" for i, (text, _) in enumerate(_STATEMENTS)) + " END"
+_MEANT = "CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN " + (want if want.startswith("CASE") else f"'{want}'") for i, (_, want) in enumerate(_STATEMENTS)) + " END"
+
+
+@query("stances_of_statements", f"SELECT o_orderkey, {_MEANT} AS stances FROM orders")
+def _stances_of_statements(b):
+    rows = b.sql(f"""SELECT o_orderkey, 'We build tools. ' || {_SAID} || '. Join us.' AS description,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN 'Senior Engineer' ELSE 'Engineer' END AS title, CASE WHEN o_orderstatus = 'F' THEN 'Part-time' ELSE 'Full time' END AS employment_type FROM {{orders}}""")
+    return annotate_stances(rows).select("o_orderkey", F.array_join("stances", ",").alias("stances"))
 
 
 @query("filter_work_authorization", "SELECT id FROM postings WHERE contains(description, 'Relocation support is available')")
@@ -149,7 +173,7 @@ def _authorization(b):
     from ..operators.filters import apply_filter
     from .bindings import NOW
 
-    return apply_filter(ann.annotate_stances(b.postings), {"work_authorization": "offers_relocation", "include_non_tech": True}, NOW).select("id")
+    return apply_filter(annotate_stances(b.postings), {"work_authorization": "offers_relocation", "include_non_tech": True}, NOW).select("id")
 
 
 @query("mention_sentences", """

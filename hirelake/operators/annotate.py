@@ -553,43 +553,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: squash(s)), lambda s: s != "")
 
 
-def annotate_stances(df: DataFrame) -> DataFrame:
-    """`stances`: the statements on sponsorship and relocation, read from topic sentences.
-
-    An offer to full-time staff or to senior roles alone counts only for a posting inside that
-    scope; an offer held back by a hedge is a may-offer; a refusal outweighs an offer.
-    """
-    p = R.STANCE_PATTERNS
-    title = F.coalesce("title", F.lit(""))
-    full_time = employment_flags(F.col("employment_type"), F.col("title"))["is_full_time"] & ~employment_rule("internship", F.col("employment_type"), F.col("title"))
-    senior = title.rlike(r"(?i)\b(senior|staff|principal|director|head)\b")
-    topical = F.filter(sentences(F.col("description")), lambda s: s.rlike(p["topic"]))
-
-    def read(s: Column) -> Column:
-        refusal = s.rlike(p["refusal"])
-        scoped_out = (s.rlike(p["full_time_only"]) & ~full_time) | (s.rlike(p["senior_only"]) & ~senior)
-        sponsor = s.rlike(p["sponsor"]) & s.rlike(p["visa"])
-        moving = s.rlike(p["relocation"])
-        offer = s.rlike(p["offer"]) & ~refusal & ~scoped_out
-        return F.array_compact(F.array(
-            F.when(sponsor & refusal, "refuses_sponsorship"),
-            F.when(sponsor & offer & s.rlike(p["hedge"]), "may_offer_sponsorship"),
-            F.when(sponsor & offer & ~s.rlike(p["hedge"]), "offers_sponsorship"),
-            F.when(moving & offer, "offers_relocation"),
-            F.when(moving & refusal, "_refuses_relocation"),
-        ))
-
-    found = F.array_distinct(F.flatten(F.transform(topical, read)))
-    out = df.withColumn("_s", F.coalesce(found, F.array().cast("array<string>")))
-    refused, moved = F.array_contains("_s", "refuses_sponsorship"), F.array_contains("_s", "_refuses_relocation")
-    hedged = F.array_contains("_s", "may_offer_sponsorship")
-    keep = lambda s: (
-        (s != "_refuses_relocation") & ~((s == "offers_relocation") & moved)
-        & ~(s.isin("offers_sponsorship", "may_offer_sponsorship") & refused) & ~((s == "offers_sponsorship") & hedged)
-    )
-    return out.withColumn("stances", F.array_sort(F.filter("_s", keep))).drop("_s")
-
-
 def mention_sentences(df: DataFrame, width: int = R.MENTION_CHARS) -> DataFrame:
     """One row per topic sentence, cut to `width` characters around its first topic word."""
     rows = df.select("id", F.posexplode(sentences(F.col("description"))).alias("at", "sentence"))

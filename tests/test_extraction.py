@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.operators import annotate as ann
+from hirelake.operators.stances import annotate_stances
 from hirelake.operators import clean, filters
 from hirelake.sources import web
 
@@ -127,7 +128,7 @@ STANCES = [
 
 def test_stances(spark):
     df = rows(spark, [(i, d, t, e) for i, (d, t, e, _) in enumerate(STANCES)], "id int, description string, title string, employment_type string")
-    assert {r["id"]: r["stances"] for r in ann.annotate_stances(df).collect()} == {i: w for i, (*_, w) in enumerate(STANCES)}
+    assert {r["id"]: r["stances"] for r in annotate_stances(df).collect()} == {i: w for i, (*_, w) in enumerate(STANCES)}
 
 
 TYPES = [("FT", None, {"is_full_time"}), ("software", None, {"is_full_time"}), ("parttime_permanent", None, {"is_part_time"}), ("International", None, {"is_full_time"}),
