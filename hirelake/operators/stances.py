@@ -1,9 +1,10 @@
 """Statements on sponsorship and relocation, read clause by clause.
 
-Each sentence that names a topic becomes a tape: its words in order, each with the classes it belongs to. Every class is then
-a list of places on the tape. A negation, a hedge, a condition or an object reaches so many words before and after itself but
-never beyond its clause, so each reading of a topic word is a test whether some place of a class lies within an interval
-around it with no end of a clause between. All of it is column expressions: a row is read in one pass, without a join.
+Each sentence that names a topic becomes a tape: its words in order, each with the classes it belongs to. A class is then a
+list of places on the tape. A place is the word's number plus a large step for every clause that has ended before it, so a
+negation, a hedge, a condition or an object that reaches so many words before and after itself, but never beyond its clause,
+is a test whether some place of a class lies within an interval. Everything is SQL expressions over one row: a text is read
+in one pass, without a join. The readings are put together as SQL text, which Spark parses once.
 """
 
 from __future__ import annotations
@@ -11,15 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
 from ..rules import statements as R
 
 _TOPIC = r"(?i)sponsor|reloca|citizen|authori[sz]ed to|right to work|eligible to work|work(?:ing)? (?:permit|authori[sz]ation)|\bvisas?\b|\bh-?1-?b\b"
-_FIELDS = "SVZAKMNHhORYPIJUnXTDFpBWGCEL"
+_ALL = "SVZAKMNHhORYPIJUnXTDFpBWGC"
+#: Classes that are also looked for in the whole sentence, by the words' numbers.
+_FREE = "NOBHL"
+_CLAUSE_STEP = 1_000_000
 
 
-def _literal_map(table: dict) -> Column:
-    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+def _map(table: dict) -> str:
+    return "map(" + ", ".join(f"'{k}', {v!r}" for k, v in table.items()) + ")"
 
 
 def tape_words(sentence: Column) -> Column:
@@ -33,126 +36,108 @@ def tape_words(sentence: Column) -> Column:
     return F.filter(F.split(out, " "), lambda w: w != "")
 
 
-def _places(words: Column) -> Column:
-    """Per class of words the places on the tape where one stands, and places with a level's rank or a country's code."""
-    classes = _literal_map(R.CLASSES)
-    of_each = F.transform(words, lambda w: F.coalesce(F.try_element_at(classes, w), F.lit("")))
+def _field(name: str, free: bool = False) -> str:
+    """Field names are told apart without regard to case."""
+    return ("free_" if free else "") + ("low_" if name.islower() else "up_") + name
 
-    def lists(tape: Column) -> Column:
-        where = lambda name: F.filter(F.transform(tape, lambda c, i: F.when(c.contains(name), i)), lambda i: i.isNotNull())
-        # Field names of a struct are told apart without regard to case.
-        return F.struct(*[where(name).alias(_field(name)) for name in _FIELDS])
 
-    named = lambda table: F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.try_element_at(_literal_map(table), w).alias("is"))), lambda s: s["is"].isNotNull())
-    return F.struct(let(of_each, lists).alias("c"), named(R.LEVELS).alias("levels"), named(R.COUNTRIES).alias("countries"), F.size(words).alias("n"))
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _field(name: str) -> str:
-    return ("low_" if name.islower() else "up_") + name
+def _places() -> str:
+    """Of `words` (one tape) the places of each class, and those of levels and countries with what they name."""
+    tags = f"transform(words, w -> coalesce(try_element_at({_map(R.CLASSES)}, w), ''))"
+    ends = "filter(transform(tags, (c, i) -> CASE WHEN contains(c, 'E') THEN i END), i -> i IS NOT NULL)"
+    place = f"(i + {_CLAUSE_STEP} * size(filter(ends, e -> e < i)))"
+    of = lambda name, value: f"filter(transform(tags, (c, i) -> CASE WHEN contains(c, '{name}') THEN {value} END), x -> x IS NOT NULL)"
+    topics = ", ".join(f"'at_{n}', filter(transform(tags, (c, i) -> CASE WHEN contains(c, '{n}') THEN named_struct('i', i, 'x', {place}) END), x -> x IS NOT NULL)" for n in "SAZM")
+    fields = ", ".join([f"'{_field(n)}', {of(n, place)}" for n in _ALL] + [f"'{_field(n, True)}', {of(n, 'i')}" for n in _FREE])
+    named = ", ".join(f"'{field}', filter(transform(words, (w, i) -> named_struct('x', {place}, 'says', try_element_at({_map(table)}, w))), s -> s.says IS NOT NULL)"
+                      for field, table in (("levels", R.LEVELS), ("countries", R.COUNTRIES)))
+    return _let(tags, "tags", _let(ends, "ends", f"named_struct({topics}, {fields}, {named})"))
 
 
-class _Tape:
-    """Interval tests on one sentence's places."""
+def _near(names: str, reach: tuple[int, int]) -> str:
+    """A word of some class within so many words before and after the mention, in its clause."""
+    return "(" + " OR ".join(f"exists(t.{_field(n)}, p -> p BETWEEN m.x - {reach[0]} AND m.x + {reach[1]} AND p <> m.x)" for n in names) + ")"
 
-    def __init__(self, places: Column):
-        self.places = places
 
-    def of(self, name: str) -> Column:
-        return self.places["c"][_field(name)]
+def _anywhere(names: str) -> str:
+    return "(" + " OR ".join(f"size(t.{_field(n)}) > 0" for n in names) + ")"
 
-    def joined(self, a: Column, b: Column) -> Column:
-        """No clause ends between two places."""
-        return ~F.exists(self.of("E"), lambda e: (e > F.least(a, b)) & (e < F.greatest(a, b)))
 
-    def near(self, names: str, at: Column, reach: tuple[int, int], across: bool = False) -> Column:
-        """Some word of a class within so many words before and after a place, in its clause unless `across`."""
-        back, ahead = reach
-        tests = [F.exists(self.of(n), lambda p: (p >= at - back) & (p <= at + ahead) & (p != at) & (F.lit(True) if across else self.joined(p, at))) for n in names]
-        return _any(tests)
+#: The mention is a label's last word, or all but the last.
+_LABEL = f"exists(t.{_field('L', True)}, e -> e BETWEEN m.i + 1 AND m.i + 2)"
 
-    def anywhere(self, names: str) -> Column:
-        return _any([F.size(self.of(n)) > 0 for n in names])
 
-    def answered(self, at: Column, names: str) -> Column:
-        """The place is a label's last word or stands right before it ends, and the answer begins with a word of the class."""
-        ends = lambda body: F.exists(self.of("L"), lambda e: (e > at) & (e <= at + 2) & body(e))
-        return ends(lambda e: _any([F.exists(self.of(n), lambda p: (p > e) & (p <= e + R.REACH["answer"])) for n in names]))
+def _answered(names: str) -> str:
+    """The answer to the label that the mention ends begins with a word of some class."""
+    inside = " OR ".join(f"exists(t.{_field(n, True)}, p -> p BETWEEN e + 1 AND e + {R.REACH['answer']})" for n in names)
+    return f"exists(t.{_field('L', True)}, e -> e BETWEEN m.i + 1 AND m.i + 2 AND ({inside}))"
 
-    def is_label(self, at: Column) -> Column:
-        return F.exists(self.of("L"), lambda e: (e > at) & (e <= at + 2))
 
-
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
-
-
-def _scope(tape: _Tape, at: Column, job: Column) -> Column:
+def _scope() -> str:
     """`in`, `out`, `refused` or `unknown`: whether an offer covers the job that it is read for."""
     limits = (12, 12)
-    part = tape.near("F", at, limits) & ~job["full_time"]
-    beside = lambda field: F.filter(tape.places[field], lambda s: (s["at"] >= at - limits[0]) & (s["at"] <= at + limits[1]) & tape.joined(s["at"], at))
-    levels, named = beside("levels"), F.transform(beside("countries"), lambda s: s["is"])
-    known = F.coalesce(job["countries"], F.array().cast("array<string>"))
-    outside = part | ((F.size(named) > 0) & (F.size(known) > 0) & ~F.arrays_overlap(named, known))
-    unread = (F.size(named) > 0) & (F.size(known) == 0)
-    below = (F.size(levels) > 0) & (job["rank"] < F.array_min(F.transform(levels, lambda s: s["is"])))
-    return F.when(below | (outside & tape.near("U", at, limits)), "refused").when(outside, "out").when(unread, "unknown").otherwise("in")
+    beside = lambda field: f"transform(filter(t.{field}, s -> s.x BETWEEN m.x - {limits[0]} AND m.x + {limits[1]}), s -> s.says)"
+    read = f"""CASE WHEN size(levels) > 0 AND _job.rank < array_min(levels) THEN 'refused'
+        WHEN {_near('F', limits)} AND NOT _job.full_time OR size(named) > 0 AND size(_job.countries) > 0 AND NOT arrays_overlap(named, _job.countries)
+            THEN CASE WHEN {_near('U', limits)} THEN 'refused' ELSE 'out' END
+        WHEN size(named) > 0 AND size(_job.countries) = 0 THEN 'unknown' ELSE 'in' END"""
+    return _let(beside("levels"), "levels", _let(beside("countries"), "named", read))
 
 
-def _sponsor_verdict(tape: _Tape, at: Column, job: Column) -> Column:
+def _sponsor_verdict() -> str:
     """What one mention of sponsorship says: refuse, offer, may:<reason>, hedge, or nothing (null)."""
     reach = R.REACH
-    visa = tape.near("V", at, reach["object"])
-    other = tape.near("X", at, (3, 3)) & ~visa
-    cleared = tape.near("K", at, reach["near"]) & ~tape.near("V", at, reach["near"])
-    label = tape.is_label(at)
-    later = tape.near("J", at, reach["object"])
-    hedge = tape.near("H", at, reach["hedge"], across=True)
-    # A label says nothing by itself; its answer does.
-    negated = F.when(label, tape.answered(at, "N")).otherwise(tape.near("N", at, reach["negation"]))
-    offering = F.when(label, tape.answered(at, "O")).otherwise(tape.near("O", at, reach["offer"]) | F.exists(tape.of("O"), lambda p: p == at))
-    said = visa | tape.near("p", at, reach["object"]) | (label & tape.answered(at, "O"))
-    required = tape.near("R", at, reach["near"]) & ~tape.near("U", at, reach["near"]) & ~label
-    transfer = tape.near("T", at, reach["near"]) & ~tape.near("D", at, reach["near"])
-    scope = _scope(tape, at, job)
-    weak = F.when(hedge | tape.near("h", at, reach["object"]), "may:hedged").when(transfer, "may:transfer_only")
-    offer = F.when(scope == "refused", "refuse").when(scope == "out", None).when(scope == "unknown", "may:scope_unread").otherwise(F.coalesce(weak, F.lit("offer")))
-    return (
-        F.when(other | cleared, None)
-        .when(hedge & later, None)
-        .when(hedge & (negated | offering | (said & tape.near("H", at, reach["object"]))), F.when(scope == "refused", "refuse").when(scope != "out", "may:hedged"))
-        .when(negated & (visa | tape.anywhere("VAp") | label | tape.near("O", at, reach["offer"])), "refuse")
-        .when(offering & said & ~required, offer)
-        .when(hedge & visa, "hedge")
-    )
-
-
-def _permit_verdict(tape: _Tape, at: Column) -> Column:
+    visa = _near("V", reach["object"])
+    back, ahead = reach["hedge"]
+    facts = {
+        "visa": visa, "label": _LABEL, "scope": _scope(),
+        "aside": f"{_near('X', (3, 3))} AND NOT {visa} OR {_near('K', reach['near'])} AND NOT {_near('V', reach['near'])}",
+        "hedged": f"exists(t.{_field('H', True)}, p -> p BETWEEN m.i - {back} AND m.i + {ahead})",
+        # A label says nothing by itself; its answer does.
+        "negated": f"CASE WHEN {_LABEL} THEN {_answered('N')} ELSE {_near('N', reach['negation'])} END",
+        "offering": f"CASE WHEN {_LABEL} THEN {_answered('O')} ELSE {_near('O', reach['offer'])} OR array_contains(t.{_field('O')}, m.x) END",
+        "said": f"{visa} OR {_near('p', reach['object'])} OR {_LABEL} AND {_answered('O')}",
+        "asked": f"{_near('R', reach['near'])} AND NOT {_near('U', reach['near'])} AND NOT {_LABEL}",
+        "weak": f"CASE WHEN {_near('h', reach['object'])} THEN 'may:hedged' WHEN {_near('T', reach['near'])} AND NOT {_near('D', reach['near'])} THEN 'may:transfer_only' END",
+    }
+    read = f"""CASE WHEN f.aside OR f.hedged AND {_near('J', reach['object'])} THEN NULL
+        WHEN f.hedged AND (f.negated OR f.offering OR f.said AND {_near('H', reach['object'])}) THEN CASE f.scope WHEN 'refused' THEN 'refuse' WHEN 'out' THEN NULL ELSE 'may:hedged' END
+        WHEN f.negated AND (f.visa OR f.label OR {_anywhere('VAp')} OR {_near('O', reach['offer'])}) THEN 'refuse'
+        WHEN f.offering AND f.said AND NOT f.asked
+            THEN CASE f.scope WHEN 'refused' THEN 'refuse' WHEN 'out' THEN NULL WHEN 'unknown' THEN 'may:scope_unread' ELSE coalesce(f.weak, CASE WHEN f.hedged THEN 'may:hedged' ELSE 'offer' END) END
+        WHEN f.hedged AND f.visa THEN 'hedge' END"""
+    return _let("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in facts.items()) + ")", "f", read)
+
+
+def _permit_verdict() -> str:
     """A permit to work that one must hold already, or without help, refuses those who need one."""
-    reach = R.REACH
-    alone = tape.near("N", at, (3, 10)) & tape.near("S", at, (2, 12))
-    held = tape.near("R", at, reach["required"]) & tape.near("Y", at, reach["required"])
-    return F.when((alone | held) & ~tape.anywhere("P") & ~tape.near("n", at, reach["required"]), "refuse")
+    needed = R.REACH["required"]
+    return f"""CASE WHEN ({_near('N', (3, 10))} AND {_near('S', (2, 12))} OR {_near('R', needed)} AND {_near('Y', needed)})
+        AND NOT {_anywhere('P')} AND NOT {_near('n', needed)} THEN 'refuse' END"""
 
 
-def _citizen_verdict(tape: _Tape, at: Column) -> Column:
+def _citizen_verdict() -> str:
     """Citizenship that the job requires refuses everyone else; as a protected trait or for some jobs it does not."""
-    reach = R.REACH
-    spared = tape.anywhere("PI") | tape.near("nN", at, reach["required"]) | tape.near("h", at, reach["near"]) | tape.near("SO", at, reach["near"])
-    return F.when(tape.near("R", at, reach["required"]) & ~spared, "refuse")
+    needed, close = R.REACH["required"], R.REACH["near"]
+    return f"CASE WHEN {_near('R', needed)} AND NOT ({_anywhere('PI')} OR {_near('nN', needed)} OR {_near('h', close)} OR {_near('SO', close)}) THEN 'refuse' END"
 
 
-def _move_verdict(tape: _Tape, at: Column) -> Column:
+def _move_verdict() -> str:
     """What one mention of moving says: move, nomove or nothing."""
-    label = tape.is_label(at)
-    helped = F.when(label, tape.answered(at, "OB")).otherwise(tape.near("B", at, (5, 5)))
-    refused = F.when(label, tape.answered(at, "N")).otherwise((tape.near("N", at, (6, 5)) | tape.near("C", at, (6, 8))) & helped)
-    asked = tape.near("W", at, (4, 0)) & ~tape.near("B", at, (0, 5))
-    thing = tape.near("G", at, (2, 4))
-    return F.when(refused, "nomove").when(thing | asked, None).when(helped, "move")
+    helped = f"CASE WHEN {_LABEL} THEN {_answered('OB')} ELSE {_near('B', (5, 5))} END"
+    refused = f"CASE WHEN {_LABEL} THEN {_answered('N')} ELSE ({_near('N', (6, 5))} OR {_near('C', (6, 8))}) AND {_near('B', (5, 5))} END"
+    return f"CASE WHEN {refused} THEN 'nomove' WHEN {_near('G', (2, 4))} OR {_near('W', (4, 0))} AND NOT {_near('B', (0, 5))} THEN NULL WHEN {helped} THEN 'move' END"
+
+
+def _said() -> str:
+    """All that the tapes in `_places` say."""
+    readings = {"S": _sponsor_verdict(), "A": _permit_verdict(), "Z": _citizen_verdict(), "M": _move_verdict()}
+    of_tape = ", ".join(f"transform(t.at_{name}, m -> {verdict})" for name, verdict in readings.items())
+    return f"coalesce(array_distinct(flatten(transform(_places, t -> array_compact(concat({of_tape}))))), array())"
 
 
 def annotate_stances(df: DataFrame) -> DataFrame:
@@ -167,32 +152,22 @@ def annotate_stances(df: DataFrame) -> DataFrame:
     """
     from .annotate import employment_flags, employment_rule, sentences
 
-    title = F.coalesce("title", F.lit(""))
+    title, none = F.coalesce("title", F.lit("")), F.expr("CAST(array() AS array<string>)")
     full_time = F.coalesce(employment_flags(F.col("employment_type"), F.col("title"))["is_full_time"], F.lit(True)) & ~F.coalesce(employment_rule("internship", F.col("employment_type"), F.col("title")), F.lit(False))
-    ranks = F.filter(F.transform(tape_words(title), lambda w: F.try_element_at(_literal_map(R.LEVELS), w)), lambda r: r.isNotNull())
-    countries = F.col("countries") if "countries" in df.columns else F.lit(None).cast("array<string>")
-    job = F.struct(full_time.alias("full_time"), F.coalesce(F.array_max(ranks), F.lit(R.PLAIN_RANK)).alias("rank"), countries.alias("countries"))
+    rank = F.expr(f"coalesce(array_max(transform(_title, w -> try_element_at({_map(R.LEVELS)}, w))), {R.PLAIN_RANK})")
     # An abbreviation's points end no sentence, and a question's short answer belongs to it.
     text = F.regexp_replace(F.regexp_replace(F.col("description"), r"(?i)\bu\.\s?s\.(?:\s?a\.)?(?=\W)", "US"), r"(?i)\?\s+(?=(?:yes|no|not|none)\b)", " : ")
     topical = F.filter(sentences(text), lambda s: s.rlike(_TOPIC))
     # Each step is a column of its own, so that none is computed twice.
-    out = df.withColumns({"_job": job, "_tapes": F.transform(F.when(F.col("description").rlike(_TOPIC), topical), tape_words)})
-    out = out.withColumn("_places", F.transform("_tapes", _places))
-
-    def read(places: Column) -> Column:
-        tape = _Tape(places)
-        mentions = lambda name, verdict: F.transform(tape.of(name), verdict)
-        return F.array_compact(F.concat(
-            mentions("S", lambda at: _sponsor_verdict(tape, at, F.col("_job"))), mentions("A", lambda at: _permit_verdict(tape, at)),
-            mentions("Z", lambda at: _citizen_verdict(tape, at)), mentions("M", lambda at: _move_verdict(tape, at)),
-        ))
-
-    out = out.withColumn("_said", F.coalesce(F.array_distinct(F.flatten(F.transform("_places", read))), F.array().cast("array<string>")))
+    out = df.withColumns({"_title": tape_words(title), "_tapes": F.transform(F.when(F.col("description").rlike(_TOPIC), topical), tape_words)})
+    countries = F.coalesce(F.col("countries"), none) if "countries" in df.columns else none
+    out = out.withColumns({"_job": F.struct(full_time.alias("full_time"), rank.alias("rank"), countries.alias("countries")), "_places": F.expr(f"transform(_tapes, words -> {_places()})")})
+    out = out.withColumn("_said", F.expr(_said()))
     says = lambda verdict: F.array_contains("_said", verdict)
     held_back = says("may:hedged") | says("hedge")
     reasons = F.array_compact(F.array(*[F.when(says(f"may:{r}") | ((F.lit(r) == "hedged") & says("offer") & held_back), r) for r in R.MAY_OFFER_REASONS]))
     may = says("offer") & held_back | says("may:hedged") | says("may:transfer_only") | says("may:scope_unread")
     sponsorship = F.when(says("refuse"), "refuses_sponsorship").when(says("offer") & ~held_back, "offers_sponsorship").when(may, "may_offer_sponsorship")
     stances = F.array_sort(F.array_compact(F.array(sponsorship, F.when(says("move") & ~says("nomove"), "offers_relocation"))))
-    out = out.withColumns({"stances": stances, "may_offer_because": F.when(sponsorship == "may_offer_sponsorship", reasons).otherwise(F.array().cast("array<string>"))})
-    return out.drop("_job", "_tapes", "_places", "_said")
+    out = out.withColumns({"stances": stances, "may_offer_because": F.when(sponsorship == "may_offer_sponsorship", reasons).otherwise(none)})
+    return out.drop("_title", "_job", "_tapes", "_places", "_said")
