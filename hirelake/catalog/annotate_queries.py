@@ -165,7 +165,7 @@ _MEANT = "CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN " + (want if want.st
 def _stances_of_statements(b):
     rows = b.sql(f"""SELECT o_orderkey, 'We build tools. ' || {_SAID} || '. Join us.' AS description,
         CASE WHEN o_orderpriority = '1-URGENT' THEN 'Senior Engineer' ELSE 'Engineer' END AS title, CASE WHEN o_orderstatus = 'F' THEN 'Part-time' ELSE 'Full time' END AS employment_type FROM {{orders}}""")
-    return annotate_stances(rows).select("o_orderkey", F.array_join("stances", ",").alias("stances"))
+    return annotate_stances(rows.repartition("o_orderkey")).select("o_orderkey", F.array_join("stances", ",").alias("stances"))
 
 
 @query("filter_work_authorization", "SELECT id FROM postings WHERE contains(description, 'Relocation support is available')")
@@ -219,3 +219,25 @@ def _convert_report(b):
     return paid.groupBy("salary_currency").agg(F.count(F.lit(1)).alias("rows"), F.sum(usd).alias("usd"))
 
 
+
+
+# One figure asked for among figures of other things: a text and the floor it asks for, `{y}` the figure.
+_YEARS_SAID = (
+    ("Founded 40 years ago. You bring {y} years of experience", "y"), ("You must be 18 years old. A minimum of {y} yrs building software", "y"), ("This is a {y} year contract", "NULL"),
+    ("Celebrating {y} years of excellence", "NULL"), ("A 4-year degree and {y}+ years of experience", "y"), ("Up to {y} years of experience", "0"), ("Shares vest over {y} years", "NULL"),
+    ("In the last {y} years we grew", "NULL"), ("Ideally {y} years leading teams", "NULL"), ("{y} to 15 years of experience in sales", "y"),
+)
+_Y = "CAST(1 + o_custkey % 12 AS INT)"
+
+
+def _cases(texts) -> str:
+    return "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+
+
+@query("experience_of_statements", f"""
+    SELECT o_orderkey, CAST({_cases([_Y if want == 'y' else want for _, want in _YEARS_SAID])} AS INT) AS min_years,
+           CAST(CASE o_orderkey % 10 WHEN 5 THEN {_Y} WHEN 9 THEN 15 END AS INT) AS max_years FROM orders""")
+def _experience_of_statements(b):
+    said = _cases(["'" + text.replace("{y}", f"' || CAST({_Y} AS STRING) || '") + "'" for text, _ in _YEARS_SAID])
+    rows = b.sql(f"SELECT o_orderkey, 'We build tools. ' || {said} || '. Join us.' AS description, 'Clerk' AS title, CAST(NULL AS STRING) AS experience FROM {{orders}}")
+    return ann.annotate_experience(rows.repartition("o_orderkey")).select("o_orderkey", "min_years", "max_years")
