@@ -2,9 +2,9 @@
 
 The counts come from suffix trees over words, cut off at three words and built piecewise. Texts are scanned once for the
 counts of single words. Those counts, in the order of (lang, word), are cut into groups of at most `group_rows` suffixes, so
-that each group's tree fits into a task; a word that begins more suffixes than that is split into its two-word prefixes
-(counted by a scan of their own), and a pair that is still too frequent is split over several groups by its third word. A
-second scan deals every suffix, counted and packed into one small tree a group within its task first, to the group of its
+that each group's tree fits into a task; a word that begins more suffixes than that is split into two-word prefixes, dealt
+over several groups, and a pair that is still too frequent (a scan of its own counts pairs of such words) into three-word
+ones. The last scan deals every suffix, counted and packed into one small tree a group within its task first, to the group of its
 prefix. Each group sorts its suffixes, adds up equal ones (the leaves) and reads the counts of the inner nodes from the
 totals of the leaves below them.
 """
@@ -129,12 +129,12 @@ def _count_words(read: _Read) -> Iterator[pa.RecordBatch]:
 
 
 def _count_pairs(heavy: frozenset[tuple[str, bytes]]):
-    """Counts two-word prefixes that begin with one of the words named."""
+    """Counts the pairs of two of the words named."""
 
     def count(read: _Read) -> Iterator[pa.RecordBatch]:
         wanted = np.array([key in heavy for key in zip(read.langs, read.words)])
         first, second, _ = read.suffixes()
-        picked = wanted[first] & (second > 0)
+        picked = wanted[first] & wanted[second]
         first, second = first[picked], second[picked]
         at, _, found = _equal(first, second, len(read.words))
         langs, words = read.columns()
@@ -146,13 +146,12 @@ def _count_pairs(heavy: frozenset[tuple[str, bytes]]):
 
 @dataclass(frozen=True)
 class _Groups:
-    """Which group a suffix belongs to: the first prefix of each group of words, the same for the pairs that begin with a
-    word of `heavy`, and for pairs that no group can hold their first group and the number of their groups."""
+    """Which group a suffix belongs to: the first word of each group of words; for words that no group can hold their first
+    group and how many they have, told apart by the second word; for pairs that no group can hold the same, by the third."""
 
-    words: list[tuple[str, bytes]]
-    heavy: frozenset[tuple[str, bytes]]
-    pairs: list[tuple[str, bytes, bytes]]
-    split: dict[tuple[str, bytes, bytes], tuple[int, int]]
+    starts: list[tuple[str, bytes]]
+    words: dict[tuple[str, bytes], tuple[int, int]]
+    pairs: dict[tuple[str, bytes, bytes], tuple[int, int]]
 
 
 def _deal_suffixes(groups: _Groups):
@@ -165,16 +164,18 @@ def _deal_suffixes(groups: _Groups):
         size = len(read.words)
         pair_at, pair, _ = _equal(first, second, size)
         at, _, found = _equal(pair, third, size)
-        of_word = np.full(size, -1, np.int64)
+        of_word, heavy = np.full(size, -1, np.int64), {}
         for number in np.unique(first).tolist():
             key = (read.langs[number], read.words[number])
-            if key not in groups.heavy:
-                of_word[number] = bisect_right(groups.words, key) - 1
+            if key in groups.words:
+                heavy[number] = groups.words[key]
+            else:
+                of_word[number] = bisect_right(groups.starts, key) - 1
         of_pair, parts = of_word[first[pair_at]], np.ones(len(pair_at), np.int64)
         for p in np.flatnonzero(of_pair < 0).tolist():
             one, two = int(first[pair_at[p]]), int(second[pair_at[p]])
-            key = (read.langs[one], read.words[one], read.words[two])
-            of_pair[p], parts[p] = groups.split.get(key) or (len(groups.words) + bisect_right(groups.pairs, key) - 1, 1)
+            split = groups.pairs.get((read.langs[one], read.words[one], read.words[two]))
+            of_pair[p], parts[p] = split or (heavy[one][0] + _spread(read.words[two]) % heavy[one][1], 1)
         part, of = of_pair[pair[at]], parts[pair[at]]
         for row in np.flatnonzero(of > 1).tolist():
             part[row] += _spread(read.words[third[at[row]]]) % int(of[row])
@@ -251,19 +252,18 @@ def build_subtree(suffixes: pa.Table, least: int, whole_pairs: bool) -> pa.Table
     return pa.table([picked["lang"], picked["w1"], picked["w2"], third, pa.array(np.concatenate(totals), pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
 
 
-def _cut(counts: DataFrame, keys: list[str], room: int) -> tuple[list[tuple], list[tuple[tuple, int]]]:
-    """The first prefix of each group of consecutive prefixes (at most 2 x `room` suffixes each), and the prefixes that have
-    more than `room` by themselves with their counts. Either has at most one entry for `room` suffixes of the table."""
+def _cut(words: DataFrame, room: int) -> tuple[list[tuple], list[tuple[tuple, int]]]:
+    """The first word of each group of consecutive words (at most 2 x `room` suffixes each), and the words that begin more
+    than `room` by themselves with their counts. Either has at most one entry for `room` suffixes of the table."""
     weight = F.when(F.col("n") <= room, F.col("n")).otherwise(0)
-    spread = cut_lineage(counts.select(*keys, "n").repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()))
+    spread = cut_lineage(words.select("lang", "w1", "n").repartitionByRange("lang", "w1").withColumn("_pid", F.spark_partition_id()))
     sizes = spread.groupBy("_pid").agg(F.sum(weight).alias("_n"))
     earlier = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_earlier"))
-    running = F.sum(weight).over(Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(weight).over(Window.partitionBy("_pid").orderBy("lang", "w1").rowsBetween(Window.unboundedPreceding, 0))
     placed = spread.join(earlier, "_pid").withColumn("_g", F.floor((F.col("_earlier") + running - weight) / F.lit(room)))
-    starts = placed.where(F.col("n") <= room).groupBy("_g").agg(F.min(F.struct(*keys)).alias("k")).collect()
-    heavy = counts.where(F.col("n") > room).select(*keys, "n").collect()
-    as_key = lambda row: (row[0], *(x.encode() for x in row[1:]))
-    return sorted(as_key(r["k"]) for r in starts), [(as_key(r[:-1]), r["n"]) for r in heavy]
+    starts = placed.where(F.col("n") <= room).groupBy("_g").agg(F.min(F.struct("lang", "w1")).alias("k")).collect()
+    heavy = words.where(F.col("n") > room).select("lang", "w1", "n").collect()
+    return sorted((r["k"][0], r["k"][1].encode()) for r in starts), sorted(((r["lang"], r["w1"].encode()), r["n"]) for r in heavy)
 
 
 def phrase_counts(docs: DataFrame, params: CollocationParams = CollocationParams()) -> tuple[DataFrame, DataFrame]:
@@ -272,25 +272,25 @@ def phrase_counts(docs: DataFrame, params: CollocationParams = CollocationParams
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text")).where(F.col("text").isNotNull())
     words = cut_lineage(texts.mapInArrow(_scan(_count_words, params.task_rows), _WORDS).groupBy("lang", "w1").agg(F.sum("n").alias("n")))
     room = max(1, params.group_rows // 2)
-    word_starts, heavy_words = _cut(words, ["lang", "w1"], room)
-    heavy = frozenset(key for key, _ in heavy_words)
-    pair_starts, split, split_pairs = [], {}, None
-    if heavy:
-        pairs = texts.mapInArrow(_scan(_count_pairs(heavy), params.task_rows), _PAIRS)
-        pairs = cut_lineage(pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n")))
-        pair_starts, heavy_pairs = _cut(pairs, ["lang", "w1", "w2"], room)
-        at = len(word_starts) + len(pair_starts)
-        for key, n in sorted(heavy_pairs):
-            split[key] = (at, -(-n // room))
-            at += split[key][1]
-        split_pairs = pairs.where(F.col("n") > max(room, params.least - 1)).select("lang", "w1", "w2", F.lit(None).cast("string").alias("w3"), "n")
-    first_split, least = len(word_starts) + len(pair_starts), params.least
+    starts, heavy = _cut(words, room)
+    at, of_word, of_pair, split_pairs = len(starts), {}, {}, None
+    for key, n in heavy:
+        of_word[key] = (at, -(-n // room))
+        at += of_word[key][1]
+    first_split, least = at, params.least
+    if heavy:  # a pair is too frequent for a group only if both its words are
+        pairs = texts.mapInArrow(_scan(_count_pairs(frozenset(of_word)), params.task_rows), _PAIRS)
+        pairs = cut_lineage(pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") > room))
+        for r in pairs.orderBy("lang", "w1", "w2").collect():
+            of_pair[(r["lang"], r["w1"].encode(), r["w2"].encode())] = (at, -(-r["n"] // room))
+            at += -(-r["n"] // room)
+        split_pairs = pairs.where(F.col("n") >= least).select("lang", "w1", "w2", F.lit(None).cast("string").alias("w3"), "n")
 
     def subtree(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         suffixes = pa.concat_tables([unpack_tree(tree) for tree in group["tree"].to_pylist()])
         return build_subtree(suffixes, least, key[0].as_py() < first_split)
 
-    dealt = texts.mapInArrow(_scan(_deal_suffixes(_Groups(word_starts, heavy, pair_starts, split)), params.task_rows), _PARTS)
+    dealt = texts.mapInArrow(_scan(_deal_suffixes(_Groups(starts, of_word, of_pair)), params.task_rows), _PARTS)
     nodes = dealt.groupBy("part").applyInArrow(subtree, _NODES)
     return words, cut_lineage(nodes if split_pairs is None else nodes.unionAll(split_pairs))
 
