@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import jobs
+from ..streaming.matching import match_subscriptions
+from .bindings import NOW
 from .registry import query
 
 
@@ -82,6 +84,17 @@ def _alerts(b):
     return b.spark.read.parquet(f"{out}/sent").select("subscription", "id", "place")
 
 
+@query("match_subscriptions", """
+    SELECT 's-' || CAST(n_nationkey AS STRING) AS subscription, id FROM postings JOIN nation ON ats = lower(n_name)
+    WHERE (min_years IS NULL OR min_years <= n_nationkey % 6) AND (n_nationkey % 3 <> 0 OR contains(lower(title), 'engineer'))""")
+def _match_subscriptions(b):
+    """A stored search a nation, as data."""
+    key = F.col("n_nationkey")
+    search = F.struct(F.lower("n_name").alias("ats"), (key % 6).cast("int").alias("max_years"), F.when(key % 3 == 0, "engineer").alias("title_words"), F.lit(True).alias("include_non_tech"))
+    searches = b.nation.select(F.concat(F.lit("s-"), key.cast("string")).alias("subscription"), F.lit("").alias("watermark"), F.to_json(search).alias("filter"))
+    return match_subscriptions(b.postings, searches, NOW).select("subscription", "id")
+
+
 @query("late_rows", """
     SELECT coalesce(date_diff('day', CAST(ts AS DATE) - CAST(floor(value) AS INT), CAST(ts AS DATE)) > 14, FALSE) AS found_late, count(*) AS n FROM events GROUP BY 1""")
 def _late(b):

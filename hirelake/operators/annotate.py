@@ -6,6 +6,7 @@ value and joined back. The gazetteer is rule data of fixed size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -104,26 +105,29 @@ def _join_back(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
 def annotate_region(df: DataFrame, places: Mapping[str, Mapping] = INDIA_PLACES, states: Sequence[str] = INDIA_STATES,
                     column: str = "location") -> DataFrame:
     """`places`: the region's cities and states a location names; a guarded city is not read
-    beside its guard words. Evaluated once per distinct location."""
+    beside its guard words. Evaluated once per distinct location, as a join of its word runs with
+    the region's terms, whatever their number."""
+    rows = [(term, "name", name, rule["state"]) for name, rule in places.items() for term in rule["aliases"]]
+    rows += [(term, "guard", name, None) for name, rule in places.items() for term in rule.get("unless", ())]
+    rows += [(state, "state", state, None) for state in states]
+    longest = max(len(_plain_words(term)) for term, *_ in rows)
+    terms = df.sparkSession.createDataFrame([(" ".join(_plain_words(term)), *rest) for term, *rest in rows], "term string, kind string, name string, state string")
     distinct = df.select(F.col(column).alias("_place")).where(F.col("_place").isNotNull()).distinct()
-    text = F.lower("_place")
-
-    def named(words: Iterable[str]) -> Column:
-        body = "|".join(rx_escape(w) for w in words)
-        return text.rlike(rf"(^|[^a-z0-9])({body})([^a-z0-9]|$)")
-
-    found = []
-    for name, rule in places.items():
-        hit = named(rule["aliases"])
-        if rule.get("unless"):
-            hit = hit & ~named(rule["unless"])
-        found.append(F.when(hit, F.lit(name)))
-        found.append(F.when(hit, F.lit(rule["state"])))
-    found += [F.when(named((s,)), F.lit(s)) for s in states]
-    read = distinct.select("_place", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("places"))
+    words = F.filter(F.split(F.lower("_place"), "[^a-z0-9]+"), lambda w: w != "")
+    runs = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(w, lambda _, i: F.array_join(F.slice(w, i + 1, n), " "))))
+    hits = distinct.select("_place", F.explode(F.array_distinct(let(words, runs))).alias("term")).join(terms, "term")
+    of = lambda kind, value: F.collect_set(F.when(F.col("kind") == kind, value))
+    found = hits.groupBy("_place").agg(of("name", F.struct("name", "state")).alias("cities"), of("guard", F.col("name")).alias("guarded"), of("state", F.col("name")).alias("states"))
+    open_cities = F.filter("cities", lambda c: ~F.array_contains("guarded", c["name"]))
+    named = F.concat(F.transform(open_cities, lambda c: c["name"]), F.transform(open_cities, lambda c: c["state"]), F.col("states"))
+    read = found.select("_place", F.array_sort(F.array_distinct(named)).alias("places"))
     return _join_back(df, column, read).withColumn("places", F.coalesce("places", F.array().cast("array<string>")))
 
 
+def _plain_words(term: str) -> list[str]:
+    return re.findall("[a-z0-9]+", term.lower())
+
+
 # --- employment type, band, remote -----------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from ..operators.filters import capabilities, compile_filter
 from ..plans.ticks import is_found_late
 from ..rules.boards import PAROLE_DAYS, QUARANTINE_AT
 from ..session import cut_lineage
+from .matching import match_subscriptions
 
 
 def stream_dedupe(postings: DataFrame, event_time: str, within: str = "7 days") -> DataFrame:
@@ -113,7 +114,8 @@ def deliver_alerts(batch: DataFrame, subscriptions: DataFrame, delivered: str, b
 
     `batch`: id, score, first_seen and what the criteria read. `subscriptions`: subscription, watermark
     (rows first seen after it are wanted) and topic. A subscription takes the rows its compiled search
-    filter keeps (`filters`, by subscription), or those of its topic.
+    filter keeps, or those of its topic. The filters are JSON in a column `filter` of the subscriptions, of which there may
+    be any number (`match_subscriptions`), or a few given as `filters`, by subscription.
 
     What a subscription was sent is known by id, so a row that arrives late or out of order is still
     sent, once. Rows past the cap wait beside the delivered ones and compete in the next batch. Both
@@ -138,6 +140,8 @@ _ALERT = ("subscription", "id", "score", "first_seen")
 
 
 def _matches(batch: DataFrame, subscriptions: DataFrame, filters: Mapping[str, Mapping] | None, now: str | None) -> DataFrame:
+    if "filter" in subscriptions.columns:
+        return match_subscriptions(batch, subscriptions, now)
     if filters is None:
         return batch.join(subscriptions, "topic")
     caps = capabilities(batch)
