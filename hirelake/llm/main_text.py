@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,8 +36,10 @@ _APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"
 _APART_NAMES = {
     "nav", "navbar", "navigation", "menu", "footer", "header", "masthead", "sidebar", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored",
     "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "comment", "comments", "reply", "replies", "disqus", "share", "sharing", "social",
-    "related", "breadcrumb", "breadcrumbs", "pagination", "pager", "newsletter", "subscribe", "popup", "modal", "overlay", "login", "widget", "toolbar", "hidden",
+    "related", "tags", "breadcrumb", "breadcrumbs", "pagination", "pager", "newsletter", "subscribe", "popup", "modal", "overlay", "login", "widget", "toolbar", "hidden",
 }
+#: Words that no part of an article bears, however much text the element holds.
+_NEVER_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "cookie", "cookies", "consent", "gdpr", "comment", "comments", "reply", "replies", "disqus"}
 #: First and last parts of names that tell how a page is laid out and not what an element is (`has-sidebar`, `header-fixed`).
 _STATE_FIRST = {"has", "no", "not", "with", "without"}
 _STATE_LAST = {"fixed", "sticky", "enabled", "disabled", "open", "closed", "on", "off"}
@@ -51,10 +53,14 @@ _PASSED_ON = 0.8
 
 
 def _named(token: str) -> int:
-    """Whether a class or id sets its element apart: 0 no, 1 unless the element wraps the article, 2 hardly ever."""
+    """Whether a class or id sets its element apart: 0 no, 1 unless the element wraps the article, 2 hardly ever, 3 unless
+    the page's main element lies within."""
     parts = re.findall(r"[a-z]+", token)
-    if _APART_NAMES.isdisjoint(parts) or len(parts) > 1 and (parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST):
+    said = [i for i, part in enumerate(parts) if part in _APART_NAMES]
+    if not said or len(parts) > 1 and (parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST) or all(i and parts[i - 1] in _STATE_FIRST for i in said):
         return 0
+    if not _NEVER_NAMES.isdisjoint(parts):
+        return 3
     return 2 if len(parts) == 1 and parts[0] not in _LAYOUT_NAMES else 1
 
 
@@ -127,7 +133,7 @@ class Page:
             else:
                 raw = m[3] if m[2] else m[6]
                 self._start(tag, raw)
-                if tag in _RAW and not raw.endswith("/"):
+                if tag in _RAW:  # a closing slash means nothing here
                     close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
                     at = close.end() if close else len(source)
                     self._end(tag)
@@ -136,11 +142,11 @@ class Page:
             self._leave_out()
 
     def _leave_out(self) -> None:
-        """Leaves out what names set apart. Elements with a whole name that no wrapper bears stay only if they hold a main, or
+        """Leaves out what names set apart. Comments, adverts and consents stay only around a main element. Elements with a whole name that no wrapper bears stay only if they hold a main, or
         all articles and most running text; of what is left, the others stay if they hold a main, all articles or most
         running text."""
         out = [False] * len(self._marks)
-        for least in (2, 1):
+        for least in (3, 2, 1):
             running, articles, mains = ([0] * len(out) for _ in range(3))
             for (text, linked, _), m in zip(self.blocks, self._block_marks):
                 if not out[m]:
@@ -154,7 +160,7 @@ class Page:
             for m in range(1, len(out)):
                 around, named = self._marks[m]
                 most, every = 2 * running[m] > running[0], articles[m] and articles[m] == articles[0]
-                wraps = mains[m] or (every and most if least == 2 else every or most)
+                wraps = mains[m] or (False if least == 3 else every and most if least == 2 else every or most)
                 out[m] |= out[around] or named == least and not wraps
         self.blocks = [b for b, m in zip(self.blocks, self._block_marks) if not out[m]]
         self.containers = [(None if out[m] else path, around) for (path, around), m in zip(self.containers, self._container_marks)]

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 
 import pytest
 
@@ -161,3 +162,42 @@ def test_candidates_hold_every_head_and_pointer_jumping_keeps_the_chain(spark):
     assert got == {(1, i) for i in range(100)} | {(2, 0)}
     data = (FAKE * 2).encode()
     assert [c[0] for c in record_candidates(data)] == [m for m in range(len(data)) if data[m:m + 7] == b"WARC/1."]
+
+
+ARTICLE = "<h1>Title</h1><p>" + "The article says a few things about rivers. " * 6 + "</p><p>" + "It ends with some more about them. " * 5 + "</p>"
+SAID = "A reader disagrees with all of it and says so at length. " * 60
+
+
+SECTIONS = ("comments-area", "comments", "comment-list", "post-comments", "replies", "disqus-thread", "cookie-banner", "consent-box", "advert-block", "ad-slot")
+
+
+def test_longer_sections_of_others_never_win(spark):
+    rows = []
+    for n, name in enumerate(SECTIONS):
+        other = f"<div class='{name}'><p>{SAID}</p><article class='item'><p>{SAID}</p></article></div>"
+        for m, body in enumerate((f"<div class='entry'>{ARTICLE}</div>{other}", f"<main>{ARTICLE}{other}</main>", f"<article>{ARTICLE}</article>{other}")):
+            rows += [(len(rows) + i, f"http://h{n}-{m}.example/{i}", f"<html><body><div class='page'>{body}</div></body></html>") for i in range(2)]
+    got = extract_main_text(spark.createDataFrame(rows, PAGE)).collect()
+    bad = [rows[r["page_id"]][2][:60] for r in got if "reader disagrees" in r["text"] or "article says" not in r["text"] or "ends with" not in r["text"]]
+    assert len(got) == len(rows) and not bad, bad
+
+
+def test_scripts_end_at_their_end_tag_whatever_their_slash(spark):
+    for script in ("<script src=http://x/>var a = 1;</script>", "<script src='a.js'/>var a = 1;</script>", "<style/>p {}</style>"):
+        page = f"<html><body><div>{script}{ARTICLE}</div></body></html>"
+        got = extract_main_text(spark.createDataFrame([(1, "http://h.example/a", page)], PAGE)).first()
+        assert "var a" not in got["text"] and "p {}" not in got["text"] and "article says" in got["text"]
+
+
+def test_a_stray_sign_before_a_long_word_takes_linear_time():
+    started = time.time()
+    for tail in ("a" * 1_000_000, "a" * 500_000 + "<b" * 200_000, "a='" * 200_000):
+        Page("<p>text</p><" + tail)
+    assert time.time() - started < 20
+
+
+def test_names_that_only_mention_others_keep_the_article(spark):
+    for name in ("post-with-comments", "has-ads", "no-comments", "comments-closed"):
+        page = f"<html><body><div class='{name}'>{ARTICLE}</div></body></html>"
+        got = extract_main_text(spark.createDataFrame([(1, "http://h.example/a", page)], PAGE)).first()
+        assert "article says" in got["text"], name
