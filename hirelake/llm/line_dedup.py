@@ -7,14 +7,16 @@ verified on the words, and a line that has an earlier partner goes.
 
 Variants are only emitted where a line can have a partner. One edit lies within one of a few stretches of the line, and leaves
 the words before and behind that stretch as they are; so a word's variant is needed only if another line is equal around the
-stretch that holds it. The keys of these surroundings that several lines share are kept as a bit map of fixed size; its false
-alarms cost time and never a line.
+stretch that holds it. Texts are read once: that scan writes each line's key, the keys of its surroundings and, once a line as
+far as a task remembers, its words. Surroundings that several lines share are found by grouping and joined back, so what is
+emitted follows from the lines that share one, at any size of the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,11 +37,10 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class LineParams:
     """Lines of fewer than `near_words` words must be equal, longer ones may differ by one word inserted, left out or
-    replaced. A line is cut into `stretches`; `map_bits` is the size of the bit map of shared surroundings."""
+    replaced. A line is cut into `stretches`."""
 
     near_words: int = 8
     stretches: int = 4
-    map_bits: int = 1 << 26
 
 
 def line_words(line: str) -> list[str]:
@@ -51,11 +52,6 @@ def line_id(joined: str) -> bytes:
     return xxhash.xxh3_128_digest(joined)
 
 
-def short_id(line: bytes) -> int:
-    """The first half of a line's hash as a signed long."""
-    return int.from_bytes(line[:8], "big", signed=True)
-
-
 def surroundings(words: list[str], joined: str, p: LineParams) -> list[tuple[int, int, int]]:
     """(key, start, stop): for each stretch of the line (`joined`: its words, one blank apart) a signed hash of what is around it.
 
@@ -66,17 +62,14 @@ def surroundings(words: list[str], joined: str, p: LineParams) -> list[tuple[int
     if n < p.near_words:
         return []
     out = []
+    letters = [0, *accumulate(map(len, words))]  # word i begins at letters[i] + i
     full = n // parts
     for step in (full,) if n % parts else (full, full - 1):
         rest = n - parts * step
-        start, left = 0, 0  # the stretch's first word, and where it begins in the line
         for j in range(parts):
-            following = start + step
-            begins = left + sum(map(len, words[start:following])) + step  # of the next stretch counted from the front
-            right = begins + sum(map(len, words[following:following + rest])) + rest
-            key = _hash64(f"{joined[:left]}\x1f{joined[right:]}", step * parts + j)
-            out.append((key - (1 << 64) if key >> 63 else key, start, following + rest))
-            start, left = following, begins
+            start, stop = j * step, (j + 1) * step + rest
+            key = _hash64(f"{joined[:letters[start] + start]}\x1f{joined[letters[stop] + stop:]}", step * parts + j)
+            out.append((key - (1 << 64) if key >> 63 else key, start, stop))
     return out
 
 
@@ -133,7 +126,7 @@ def _scan(p: LineParams):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for b in slices(batches):
-            ds, rows, ats, lines, around = [], [], [], [], []
+            ds, rows, ats, lines, around, told = [], [], [], [], [], []
             if len(seen) > _KNOWN_LINES:
                 seen.clear()
             for d, row, at, words, joined in _lines(b):
@@ -142,18 +135,21 @@ def _scan(p: LineParams):
                 rows.append(row)
                 ats.append(at)
                 lines.append(line)
-                # A task tells the surroundings of equal lines once, as far as it remembers them.
-                around.append(None if line in seen else [s[0] for s in surroundings(words, joined, p)] or None)
-                seen.add(line)
-            names = np.frombuffer(b"".join(lines), ">i8")[::2].astype(np.int64)  # as short_id
-            yield pd.DataFrame({"d": np.array(ds, np.int64), "row": np.array(rows, np.int64), "at": np.array(ats, np.int32), "line": lines, "id": names, "around": around})
+                # A task tells the words of equal lines and what is around their stretches once, as far as it remembers them.
+                new = len(words) >= p.near_words and line not in seen
+                around.append([s[0] for s in surroundings(words, joined, p)] if new else None)
+                told.append(joined if new else None)
+                if new:
+                    seen.add(line)
+            names = np.frombuffer(b"".join(lines), ">i8")[::2].astype(np.int64)  # the first half of the hash
+            yield pd.DataFrame({"d": np.array(ds, np.int64), "row": np.array(rows, np.int64), "at": np.array(ats, np.int32), "line": lines, "id": names,
+                                "around": around, "words": told})
 
     return scan
 
 
-def _emit(p: LineParams, shared: bytes):
-    """Variant rows of lines that another line may be equal to around a stretch, once a line as far as a task remembers."""
-    mask = p.map_bits - 1
+def _emit(p: LineParams):
+    """Variant rows of lines (`id`, `words`), within the numbered stretches (`open`) whose surroundings another line shares."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
@@ -161,17 +157,13 @@ def _emit(p: LineParams, shared: bytes):
             if len(done) > _KNOWN_LINES:
                 done.clear()
             keys, roles, ids, texts = [], [], [], []
-            for _, _, _, words, joined in _lines(b):
-                if len(words) < p.near_words:
-                    continue
-                name = short_id(line_id(joined))
+            for name, joined, numbers in zip(b["id"].tolist(), b["words"], b["open"]):
                 if name in done:
                     continue
                 done.add(name)
-                open_ = [(start, stop) for k, start, stop in surroundings(words, joined, p) if shared[(k & mask) >> 3] >> (k & 7) & 1]
-                if not open_:
-                    continue
-                places = np.unique(np.concatenate([np.arange(*o) for o in open_]))
+                words = joined.split(" ")
+                cut = surroundings(words, joined, p)
+                places = np.unique(np.concatenate([np.arange(0), *(np.arange(*cut[j][1:]) for j in numbers if j < len(cut))]))
                 without, placed, whole = variant_keys(words)
                 keys += [placed[places], without[places], np.array([whole])]
                 n = len(places)
@@ -193,16 +185,30 @@ def bit_map(keys: DataFrame, key: str, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def scanned_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
+    """Every line that holds a word, written as a table: its text (`d`, `row`), place, hash and the first half of it; where a
+    task meets a line first also `around` (keys of its surroundings) and `words`."""
+    return cut_lineage(_texts(docs).mapInPandas(_scan(p), "d long, row long, at int, line binary, id long, around array<long>, words string"))
+
+
+def shared_variants(lines: DataFrame, p: LineParams = LineParams()) -> DataFrame:
+    """`k`, `role`, `id`, `words`: variants of the scanned lines that another line is equal to around a stretch."""
+    # A surrounding is shared if its least and its greatest line differ; a line has at most twice `stretches` of them.
+    around = lines.select("id", F.posexplode("around").alias("j", "h"))
+    owners = around.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    shared = cut_lineage(owners.where("a <> b").select(F.col("h").alias("_h")))
+    open_ = around.join(shared, F.col("h") == F.col("_h"), "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("j").alias("open"))
+    told = lines.where("words is not null").select("id", "words").join(cut_lineage(open_), F.col("id") == F.col("_id"))
+    return cut_lineage(told.select("id", "words", "open").mapInPandas(_emit(p), "k long, role byte, id long, words string"))
+
+
 def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """`d`, `row`, `drop`: per text the numbers of the lines that have an equal or near line at an earlier place."""
     p = params
-    texts = _texts(docs)
-    lines = cut_lineage(texts.mapInPandas(_scan(p), "d long, row long, at int, line binary, id long, around array<long>"))
+    lines = scanned_lines(docs, p)
     place = F.struct("d", "at")
     firsts = cut_lineage(lines.groupBy("line", "id").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    around = lines.select("id", F.explode("around").alias("h")).groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = bit_map(around.where("a <> b").select("h"), "h", p.map_bits)
-    emitted = cut_lineage(texts.mapInPandas(_emit(p, shared.tobytes()), "k long, role byte, id long, words string"))
+    emitted = shared_variants(lines, p)
     meeting = emitted.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(F.col("k").alias("_k"))
     met = emitted.select("k", "role", "id").join(cut_lineage(meeting), F.col("k") == F.col("_k"), "left_semi").distinct()
     places = firsts.select(F.col("id").alias("_id"), "first")

@@ -6,7 +6,7 @@ import re
 import pytest
 import xxhash
 
-from hirelake.llm.line_dedup import LineParams, dedup_lines, surroundings, variant_keys, within_one_edit
+from hirelake.llm.line_dedup import LineParams, dedup_lines, scanned_lines, shared_variants, surroundings, variant_keys, within_one_edit
 from hirelake.llm.simhash import ball_masks, components, fingerprint_of, keep_one_each, near_duplicate_components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -124,7 +124,7 @@ def line_rows(seed):
 def test_lines_match_brute_force(make_docs, seed):
     rows = line_rows(seed) + [(100, None), (101, ""), (102, "\n \n\n"), (None, "alpha beta"), (103, "alpha beta\nalpha beta"), (104, "word " * 20_000), (3, "other text\nof id three"), (3, "other text\nof id three")]
     docs = make_docs(rows)
-    got = dedup_lines(docs, LineParams(map_bits=1 << 12))
+    got = dedup_lines(docs)
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == plain_dedup(rows)
     assert dedup_lines(docs.limit(0)).count() == 0
@@ -154,3 +154,14 @@ def test_a_common_line_in_most_documents(make_docs):
     rows = [(i, f"the common first line of all texts is this one\nown {i}") for i in range(300)] + [(300 + i, f"the common first line of all {i} is this one") for i in range(300)]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(make_docs(rows, extra=False)).collect()}
     assert got[0] == rows[0][1] and all(got[i] == f"own {i}" for i in range(1, 300)) and all(got[i] == "" for i in range(300, 600))
+
+
+def test_only_lines_that_share_a_surrounding_emit_variants(make_docs):
+    rng = random.Random(11)
+    alone = [(i, " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(40))) for i in range(400)]
+    near = [(1000 + i, " ".join([*alone[i][1].split()[:20], "other", *alone[i][1].split()[21:]])) for i in range(5)]
+    emitted = shared_variants(scanned_lines(make_docs(alone)))
+    assert emitted.count() == 0
+    rows = shared_variants(scanned_lines(make_docs(alone + near))).collect()
+    # Ten lines, each with one stretch of ten words left out in two roles, and itself.
+    assert len({r["id"] for r in rows}) == 10 and len(set(rows)) <= 10 * (2 * 20 + 1)
