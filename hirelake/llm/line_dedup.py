@@ -9,7 +9,8 @@ Variants are only emitted where a line can have a partner. One edit lies within
 the words before and behind that stretch as they are; so a word's variant is needed only if another line is equal around the
 stretch that holds it. Texts are read once: that scan writes each line's key, the keys of its surroundings and, once a line as
 far as a task remembers, its words. Surroundings that several lines share are found by grouping and joined back, so what is
-emitted follows from the lines that share one, at any size of the input.
+emitted follows from the lines that share one, at any size of the input. A bit map of fixed size passes over most other lines
+before that join; its false alarms cost time only, and fall to the join.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +39,11 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class LineParams:
     """Lines of fewer than `near_words` words must be equal, longer ones may differ by one word inserted, left out or
-    replaced. A line is cut into `stretches`."""
+    replaced. A line is cut into `stretches`; `map_bits` is the size of the bit map of shared surroundings."""
 
     near_words: int = 8
     stretches: int = 4
+    map_bits: int = 1 << 26
 
 
 def line_words(line: str) -> list[str]:
@@ -148,6 +151,20 @@ def _scan(p: LineParams):
     return scan
 
 
+def _marked(bits: np.ndarray, p: LineParams):
+    """Of lines with their surroundings those that have one whose bit is set."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            around = b.column("around")
+            keys = around.flatten().to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(p.map_bits - 1)
+            hit = bits[keys >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)
+            line = np.repeat(np.arange(len(b)), around.value_lengths().to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(np.bincount(line[hit == 1], minlength=len(b)) > 0))
+
+    return marked
+
+
 def _emit(p: LineParams):
     """Variant rows of lines (`id`, `words`), within the numbered stretches (`open`) whose surroundings another line shares."""
 
@@ -193,12 +210,14 @@ def scanned_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
 
 def shared_variants(lines: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """`k`, `role`, `id`, `words`: variants of the scanned lines that another line is equal to around a stretch."""
-    # A surrounding is shared if its least and its greatest line differ; a line has at most twice `stretches` of them.
-    around = lines.select("id", F.posexplode("around").alias("j", "h"))
-    owners = around.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = cut_lineage(owners.where("a <> b").select(F.col("h").alias("_h")))
+    told = lines.where("words is not null").select("id", "around", "words")
+    # A surrounding is shared if its least and its greatest line differ.
+    owners = told.select("id", F.explode("around").alias("_h")).groupBy("_h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    shared = cut_lineage(owners.where("a <> b").select("_h"))
+    told = cut_lineage(told.mapInArrow(_marked(bit_map(shared, "_h", p.map_bits), p), told.schema))
+    around = told.select("id", F.posexplode("around").alias("j", "h"))  # at most twice `stretches` a line
     open_ = around.join(shared, F.col("h") == F.col("_h"), "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("j").alias("open"))
-    told = lines.where("words is not null").select("id", "words").join(cut_lineage(open_), F.col("id") == F.col("_id"))
+    told = told.select("id", "words").join(cut_lineage(open_), F.col("id") == F.col("_id"))
     return cut_lineage(told.select("id", "words", "open").mapInPandas(_emit(p), "k long, role byte, id long, words string"))
 
 

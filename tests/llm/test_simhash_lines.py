@@ -124,7 +124,7 @@ def line_rows(seed):
 def test_lines_match_brute_force(make_docs, seed):
     rows = line_rows(seed) + [(100, None), (101, ""), (102, "\n \n\n"), (None, "alpha beta"), (103, "alpha beta\nalpha beta"), (104, "word " * 20_000), (3, "other text\nof id three"), (3, "other text\nof id three")]
     docs = make_docs(rows)
-    got = dedup_lines(docs)
+    got = dedup_lines(docs, LineParams(map_bits=1 << 6))  # far too small: every bit is set
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == plain_dedup(rows)
     assert dedup_lines(docs.limit(0)).count() == 0
@@ -162,6 +162,8 @@ def test_only_lines_that_share_a_surrounding_emit_variants(make_docs):
     near = [(1000 + i, " ".join([*alone[i][1].split()[:20], "other", *alone[i][1].split()[21:]])) for i in range(5)]
     emitted = shared_variants(scanned_lines(make_docs(alone)))
     assert emitted.count() == 0
-    rows = shared_variants(scanned_lines(make_docs(alone + near))).collect()
+    lines = scanned_lines(make_docs(alone + near))
+    rows = shared_variants(lines).collect()
+    assert set(shared_variants(lines, LineParams(map_bits=64)).collect()) == set(rows)
     # Ten lines, each with itself and the 22 words of its three open stretches left out in two roles.
     assert len({r["id"] for r in rows}) == 10 and len(set(rows)) == 10 * (2 * 22 + 1)
