@@ -53,12 +53,13 @@ def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """`df` written as a table in the shared folder and read back.
 
     The result survives the loss of executors, is computed once however often it is read, and
-    carries its size, so Spark can decide whether to broadcast it.
+    carries its size, so Spark can decide whether to broadcast it. `compression` names another
+    Parquet codec than the session's.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
