@@ -205,7 +205,7 @@ def bit_map(keys: DataFrame, key: str, bits: int) -> np.ndarray:
 def scanned_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """Every line that holds a word, written as a table: its text (`d`, `row`), place, hash and the first half of it; where a
     task meets a line first also `around` (keys of its surroundings) and `words`."""
-    return cut_lineage(_texts(docs).mapInPandas(_scan(p), "d long, row long, at int, line binary, id long, around array<long>, words string"))
+    return cut_lineage(_texts(docs).mapInPandas(_scan(p), "d long, row long, at int, line binary, id long, around array<long>, words string"), "zstd")
 
 
 def shared_variants(lines: DataFrame, p: LineParams = LineParams()) -> DataFrame:
@@ -214,7 +214,7 @@ def shared_variants(lines: DataFrame, p: LineParams = LineParams()) -> DataFrame
     # A surrounding is shared if its least and its greatest line differ.
     owners = told.select("id", F.explode("around").alias("_h")).groupBy("_h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     shared = cut_lineage(owners.where("a <> b").select("_h"))
-    told = cut_lineage(told.mapInArrow(_marked(bit_map(shared, "_h", p.map_bits), p), told.schema))
+    told = cut_lineage(told.mapInArrow(_marked(bit_map(shared, "_h", p.map_bits), p), told.schema), "zstd")
     around = told.select("id", F.posexplode("around").alias("j", "h"))  # at most twice `stretches` a line
     open_ = around.join(shared, F.col("h") == F.col("_h"), "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("j").alias("open"))
     told = told.select("id", "words").join(cut_lineage(open_), F.col("id") == F.col("_id"))
