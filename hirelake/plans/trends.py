@@ -139,51 +139,56 @@ def net_by_shift(landed: DataFrame) -> DataFrame:
 def net_series(landed: DataFrame) -> DataFrame:
     """`(line, ts, level, netted, withheld, scale)`: what each level would be without the steps after it.
 
-    From its latest tick back, a line is seen through a map `scale * level + base` that begins as the
-    level itself. A step changes the map for all that lies before it:
+    Each step is a map of the levels before it onto the counting after it:
 
-    - a removal of duplicates (it has a ratio) multiplies the scale by the ratio, and raises the base
-      by what the step brought besides;
-    - any other step raises the base by its size, or by the rise over it where the size is unknown;
-    - but where that rise is a guess and would take the lowest earlier level below zero, and both
-      sides hold enough openings, the scale takes the step's proportion instead.
+    - a removal of duplicates (it has a ratio) takes x to `ratio * x` plus what the step brought besides;
+    - any other step takes x to `x + size`, or `x` plus the rise over it where the size is unknown;
+    - where that rise is a guess and both sides hold enough openings, the step has a second map, the
+      proportion of its sides, which stands if the first would take the lowest earlier level below zero.
 
-    A line that the map takes below zero ends there: nothing earlier is shown. Which case holds
-    depends on the map so far, so each line is folded from its end.
+    A level is netted by the maps of all steps after it, composed. Only steps are folded (from a line's
+    end, since a guess looks at the maps behind it); ticks read their composition off the next step. A
+    line that is taken below zero ends there: nothing earlier is shown.
     """
-    tick = F.struct("ts", "level", "before", "lowest_before", "has_step", "size", "known", "ratio")
-    lines = landed.groupBy("line").agg(F.reverse(F.array_sort(F.collect_list(tick))).alias("_back"))
-    shown = F.array().cast("array<struct<ts:string,level:bigint,netted:double,withheld:double,scale:double>>")
-    null = F.lit(None).cast("double")
-
-    def back(seen: Column, t: Column) -> Column:
-        level, before, size, ratio = t["level"].cast("double"), t["before"], t["size"].cast("double"), t["ratio"]
-        here = seen["scale"] * level + seen["base"]
-        ended = seen["ended"] | (here < 0)
-        rise = level - before
-        moved = F.coalesce(size, rise)
-        # A removal: the part the ratio explains, and the rest.
-        is_removal = ratio.isNotNull() & before.isNotNull()
-        explained = -(1 - ratio) * before
-        besides = F.when(t["has_step"], F.coalesce(size, rise - explained)).otherwise(0.0)
-        too_low = F.coalesce(seen["scale"] * (t["lowest_before"] + moved) + seen["base"] < 0, F.lit(False))
-        by_share = t["has_step"] & too_low & size.isNull() & ~t["known"] & (F.least(before, level) >= R.RATIO_FLOOR)
-        case = lambda removal, share, shift, same: F.when(is_removal, removal).when(by_share, share).when(t["has_step"], shift).otherwise(same)
-        scale = case(seen["scale"] * ratio, seen["scale"] * level / before, seen["scale"], seen["scale"])
-        base = case(seen["base"] + seen["scale"] * besides, seen["base"], seen["base"] + seen["scale"] * moved, seen["base"])
-        held = case(F.when(t["has_step"] & size.isNull(), rise).otherwise(besides + explained), rise, moved, null)
-
-        def step(scale: Column, base: Column, ended: Column, netted: Column, withheld: Column) -> Column:
-            row = F.struct(t["ts"].alias("ts"), t["level"].cast("bigint").alias("level"), netted.alias("netted"), withheld.alias("withheld"), seen["scale"].alias("scale"))
-            return F.struct(scale.alias("scale"), base.alias("base"), ended.alias("ended"), F.concat(seen["shown"], F.array(row)).alias("shown"))
-
-        unread = step(seen["scale"] * F.coalesce(ratio, F.lit(1.0)), seen["base"], seen["ended"], null, null)
-        hidden = step(seen["scale"], seen["base"], F.lit(True), null, null)
-        return F.when(level.isNull(), unread).when(ended, hidden).otherwise(step(scale, base, F.lit(False), here, held))
-
-    start = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("base"), F.lit(False).alias("ended"), shown.alias("shown"))
-    # One row per line and tick, read by every figure of an answer, so the fold runs once.
-    return cut_lineage(lines.select("line", F.inline(F.aggregate("_back", start, back)["shown"])))
+    level, before, size, ratio = F.col("level").cast("double"), F.col("before").cast("double"), F.col("size").cast("double"), F.col("ratio")
+    measured, stepped = F.col("level").isNotNull(), F.col("has_step")
+    rise = level - before
+    removal = measured & ratio.isNotNull() & before.isNotNull()
+    besides = F.when(stepped, F.coalesce(size, rise + (1 - ratio) * before)).otherwise(0.0)
+    guess = measured & ~removal & stepped & size.isNull() & ~F.col("known") & (F.least(level, before) >= R.RATIO_FLOOR)
+    plain = measured & ~removal & stepped
+    steps = landed.select(
+        "line", "ts",
+        F.when(removal, ratio).when(plain, 1.0).when(~measured, ratio).alias("times"),
+        F.when(removal, besides).when(plain, F.coalesce(size, rise)).otherwise(0.0).alias("plus"),
+        F.when(guess, level / before).alias("proportion"),
+        F.when(guess, F.col("lowest_before") + rise).alias("lowest"),
+    ).where("times is not null")
+    per_line = steps.groupBy("line").agg(F.reverse(F.array_sort(F.collect_list(F.struct("ts", "times", "plus", "proportion", "lowest")))).alias("_steps"))
+
+    def compose(maps: Column, step: Column) -> Column:
+        behind = F.element_at(maps, -1)
+        below = F.coalesce(behind["times"] * step["lowest"] + behind["plus"] < 0, F.lit(False))
+        times = behind["times"] * F.when(below, step["proportion"]).otherwise(step["times"])
+        plus = behind["plus"] + F.when(below, 0.0).otherwise(behind["times"] * step["plus"])
+        return F.concat(maps, F.array(F.struct(step["ts"].alias("ts"), times.alias("times"), plus.alias("plus"))))
+
+    same = F.array(F.struct(F.lit(None).cast("string").alias("ts"), F.lit(1.0).alias("times"), F.lit(0.0).alias("plus")))
+    maps = per_line.select("line", F.inline(F.aggregate("_steps", same, compose))).where("ts is not null")
+    withheld = F.when(removal, F.when(stepped & size.isNull(), rise).otherwise(besides - (1 - ratio) * before)).when(plain, F.coalesce(size, rise))
+    rows = landed.select("line", "ts", F.col("level").cast("bigint").alias("level"), withheld.alias("_withheld")).join(maps, ["line", "ts"], "left")
+    backwards = Window.partitionBy("line").orderBy(F.desc("ts"))  # one line's ticks
+    behind = backwards.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_times", F.coalesce(F.last("times", ignorenulls=True).over(behind), F.lit(1.0)))
+    rows = rows.withColumn("_plus", F.coalesce(F.last("plus", ignorenulls=True).over(behind), F.lit(0.0)))
+    rows = rows.withColumn("_netted", F.col("_times") * F.col("level") + F.col("_plus"))
+    # The map at which a line ended stays its scale.
+    rows = rows.withColumn("_end", F.first(F.when(F.col("_netted") < 0, F.col("_times")), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)))
+    shown = F.col("_end").isNull() & F.col("level").isNotNull()
+    # One row per line and tick, read by every figure of an answer, so the maps are composed once.
+    return cut_lineage(rows.select(
+        "line", "ts", "level", F.when(shown, F.col("_netted")).alias("netted"), F.when(shown, F.col("_withheld")).alias("withheld"),
+        F.coalesce("_end", "_times").alias("scale")))
 
 
 def hiring_turnover(turnover: DataFrame, left_out: DataFrame | None = None) -> DataFrame:
