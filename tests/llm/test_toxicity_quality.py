@@ -8,7 +8,7 @@ import pytest
 from hirelake.llm.common import bounded_labels
 from hirelake.llm.quality import FEATURES, classify_quality, fit_quadratic, statistics
 from hirelake.llm.queries import op1_toxicity, op5_quality
-from hirelake.llm.toxicity import SubwordParams, fit_bags, score_toxicity, text_bag, train_toxicity, word_features
+from hirelake.llm.toxicity import SubwordParams, fit_bags, score_toxicity, settled_shift, text_bag, train_toxicity, word_features
 
 #: Some 400 toxic documents among 4,000 labelled ones.
 SF = "/root/testdata/sf0.1"
@@ -28,10 +28,22 @@ def test_toxicity_on_rows_held_out(spark):
     pairs, right = accuracy(spark, rows, "toxic")
     assert len(rows) == 10_000 and right >= 0.94
     assert sum(p and not y for p, y in pairs) <= 0.02 * len(pairs)
-    assert sum(p and y for p, y in pairs) >= 0.6 * sum(y for _, y in pairs)
+    assert sum(p and y for p, y in pairs) >= 0.75 * sum(y for _, y in pairs)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_the_threshold_is_settled_on_rows_unseen():
+    rng = random.Random(3)
+    rows = [(int(i % 5 == 0), f"{'vile' if i % 5 == 0 else 'calm'} " + " ".join(rng.choice("abcdefgh") * 3 for _ in range(20))) for i in range(200)]
+    bags = [(y, *text_bag(t, SMALL)) for y, t in rows]
+    assert settled_shift(list(bags), {0: 160, 1: 40}, SMALL) == 0  # told apart already: nothing to move
+    assert settled_shift([b for b in bags if b[0] == 0], {0: 160, 1: 0}, SMALL) == 0
+    assert settled_shift([], {}, SMALL) == 0
+    mixed = [(int(rng.random() < 0.2), *text_bag("the same words", SMALL)) for _ in range(100)]
+    shift = settled_shift(list(mixed), {1: 20, 0: 80}, SMALL)
+    assert shift > 0  # nothing tells them apart: the measure is best where all are taken
+
+
 def test_quality_on_rows_held_out(spark):
     rows = op5_quality(spark, SF).collect()
     _, right = accuracy(spark, rows, "quality")
