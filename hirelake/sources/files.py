@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-#: The file that names a snapshot's current version.
-CURRENT = "current.txt"
+#: What the names of the files begin with that point at a snapshot's versions; a number follows.
+POINTER = "current-"
 
 
 def _path(spark: SparkSession, path: str):
@@ -98,28 +99,71 @@ def append_tick(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts").parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Replace a table whole or not at all.
+class SnapshotConflict(Exception):
+    """Another writer published a version since the one that this writer started from."""
 
-    Each version is a folder of its own under `path`, and one small file names the current one. That
-    file is rewritten after the version is complete, so readers see the old table or the new one,
-    and a failed write leaves the old one as it is. Earlier versions stay until `drop_versions`.
+
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a snapshot's pointer files, in order."""
+    if not exists(spark, path):
+        return []
+    names = [s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path))]
+    return sorted(int(n.removeprefix(POINTER)) for n in names if n.startswith(POINTER) and n.removeprefix(POINTER).isdigit())
+
+
+def _publish(spark: SparkSession, path: str, version: str, number: int) -> bool:
+    """Make `version` the pointer of that number, unless one has it already.
+
+    The pointer is written beside under a name that readers pass over, closed, and renamed without overwriting.
+    """
+    beside = _path(spark, f"{path}/.{version}")
+    out = _fs(spark, path).create(beside, False)
+    out.write(bytearray(version, "ascii"))
+    out.close()
+    jvm = spark._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_fs(spark, path).getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(beside, _path(spark, f"{path}/{POINTER}{number:012d}"), options)
+    except Py4JJavaError as failed:
+        _fs(spark, path).delete(beside, False)
+        if failed.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
+def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = (), expected: str | None = None) -> str:
+    """Replace a table whole or not at all; the name of the new version.
+
+    Each version is a folder of its own under `path`. Small numbered files point at versions, the highest number is the
+    current one, and none is ever rewritten: a writer that dies at any moment leaves the table as it was. With
+    `expected`, the version that the rows were made from, the switch happens only if that is still the current one, and
+    raises `SnapshotConflict` if not, so of two writers that start from one version neither is lost unnoticed. Without it
+    the later writer wins. Needs a file system whose rename is atomic. Earlier versions stay until `drop_versions`.
     """
     spark = df.sparkSession
+    number = max(_pointers(spark, path), default=0)
+    if expected is not None and current_version(spark, path) != expected:
+        raise SnapshotConflict(f"{path} is no longer at {expected}")
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
-    out = _fs(spark, path).create(_path(spark, f"{path}/{CURRENT}"), True)
-    out.write(bytearray(version, "ascii"))
-    out.close()
+    while not _publish(spark, path, version, number + 1):
+        if expected is not None:
+            raise SnapshotConflict(f"{path} is no longer at {expected}")
+        number += 1
     return version
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """The folder name of a snapshot's current version; none where nothing was written whole."""
-    if not exists(spark, f"{path}/{CURRENT}"):
+    numbers = _pointers(spark, path)
+    if not numbers:
         return None
-    return spark.read.text(f"{path}/{CURRENT}").first()["value"]
+    return spark.read.text(f"{path}/{POINTER}{numbers[-1]:012d}").first()["value"]
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -131,8 +175,10 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drop_versions(spark: SparkSession, path: str) -> None:
-    """Remove all versions of a snapshot but the current one."""
-    fs, version = _fs(spark, path), current_version(spark, path)
+    """Remove all versions of a snapshot but the current one, and the pointers to them. No writer may be at work."""
+    fs, numbers, version = _fs(spark, path), _pointers(spark, path), current_version(spark, path)
+    for number in numbers[:-1]:
+        fs.delete(_path(spark, f"{path}/{POINTER}{number:012d}"), False)
     for status in fs.listStatus(_path(spark, path)):
         if status.isDirectory() and status.getPath().getName() != version:
             fs.delete(status.getPath(), True)

@@ -69,3 +69,47 @@ def test_snapshots_switch_whole(spark, tmp_path):
     assert files.read_snapshot(spark, path).count() == 5
     with pytest.raises(FileNotFoundError):
         files.read_snapshot(spark, str(tmp_path / "none"))
+
+
+def test_of_two_writers_from_one_version_the_second_is_told(spark, tmp_path):
+    from hirelake.sources import files
+
+    path = str(tmp_path / "table")
+    base = files.write_snapshot(spark.range(3), path)
+    theirs = files.write_snapshot(spark.range(4), path, expected=base)
+    with pytest.raises(files.SnapshotConflict):
+        files.write_snapshot(spark.range(9), path, expected=base)
+    assert files.current_version(spark, path) == theirs and files.read_snapshot(spark, path).count() == 4
+
+    # The other writer switches while this one still writes its rows: the same number is taken.
+    taken = files._publish
+
+    def late(*args):
+        files._publish = taken
+        files.write_snapshot(spark.range(5), path, expected=theirs)
+        return taken(*args)
+
+    files._publish = late
+    try:
+        with pytest.raises(files.SnapshotConflict):
+            files.write_snapshot(spark.range(9), path, expected=theirs)
+    finally:
+        files._publish = taken
+    assert files.read_snapshot(spark, path).count() == 5
+    files.write_snapshot(spark.range(6), path)
+    assert files.read_snapshot(spark, path).count() == 6
+
+
+def test_a_writer_that_dies_before_its_pointer_is_whole_leaves_the_table(spark, tmp_path):
+    from hirelake.sources import files
+
+    path = str(tmp_path / "table")
+    files.write_snapshot(spark.range(3), path)
+    spark.range(7).write.parquet(f"{path}/v-dead")
+    out = files._fs(spark, path).create(files._path(spark, f"{path}/.v-dead"), False)  # created, never closed: an empty file
+    assert files.read_snapshot(spark, path).count() == 3
+    out.close()
+    files.write_snapshot(spark.range(4), path)
+    assert files.read_snapshot(spark, path).count() == 4
+    files.drop_versions(spark, path)
+    assert files.read_snapshot(spark, path).count() == 4
