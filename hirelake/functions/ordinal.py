@@ -48,38 +48,50 @@ def _all(columns: Sequence[Column]) -> Column:
 
 
 def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), splits: int = 64,
-                      nearest: bool = False) -> DataFrame:
+                      nearest: bool = False, most: int = 200_000) -> DataFrame:
     """Exact percentiles per group, one row a group and share: inclusive and linear between
     neighbours, or with `nearest` the value at zero-based place `share * n`.
 
-    Values are first counted, so equal ones cost one row. Each group's distinct values are cut into
-    buckets at approximate quantiles; a running count over at most `splits` buckets finds the one
-    or two buckets that hold each rank, and only those are ordered.
+    Values are first counted, so equal ones cost one row. While a part holds over `most` distinct
+    values, every part is cut at `splits` approximate quantiles and only the one or two pieces that
+    hold each rank go on, so no task orders more than `most` values, however many a group has.
     """
     named = [f"_k{i}" for i in range(len(keys))]
     rows = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(value).cast("double").alias("_v"))
     counted = cut_lineage(rows.groupBy(*named, "_v").agg(F.count("*").alias("_n")))
-    cuts = [i / splits for i in range(1, splits)]
-    spread = counted.groupBy(*named).agg(F.sum("_n").alias("_total"), F.percentile_approx("_v", cuts, 1000).alias("_cuts"))
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bucket")
-    tagged = _null_safe_join(counted, spread, named).select(*named, "_v", "_n", "_total", bucket)
-    buckets = tagged.groupBy(*named, "_bucket").agg(F.sum("_n").alias("_bn"), F.max("_total").alias("_total"))
-    up_to = (Window.partitionBy(*named) if named else Window.partitionBy(F.lit(0))).orderBy("_bucket")
-    buckets = buckets.withColumn("_end", F.sum("_bn").over(up_to)).withColumn("_start", F.col("_end") - F.col("_bn"))
-    ranks = buckets.select(*named, "_bucket", "_start", "_end", "_total", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    totals = counted.groupBy(*named).agg(F.sum("_n").alias("_total"), F.count("*").alias("_size"))
+    largest = totals.agg(F.max("_size")).first()[0] or 0
     # Rank positions are zero-based: share * (n - 1) lies between its floor and its ceiling.
-    at = F.least(F.floor(F.col("share") * F.col("_total")), F.col("_total") - 1) if nearest else F.col("share") * (F.col("_total") - 1)
-    ranks = ranks.withColumn("_lo", F.floor(at)).withColumn("_hi", F.ceil(at)).withColumn("_part", at - F.floor(at))
-    inside = lambda rank, start, end: (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(end))
-    needed = ranks.filter(inside("_lo", "_start", "_end") | inside("_hi", "_start", "_end"))
-    wanted = needed.select(*named, "_bucket", "_start").distinct()
-    held = _null_safe_join(tagged.drop("_total"), wanted, [*named, "_bucket"])
-    within = Window.partitionBy(*named, "_bucket").orderBy("_v")
-    held = held.withColumn("_to", F.col("_start") + F.sum("_n").over(within)).withColumn("_from", F.col("_to") - F.col("_n")).drop("_start", "_n")
-    pair = _null_safe_join(held, needed.drop("_start", "_end", "_total"), [*named, "_bucket"])
-    found = pair.groupBy(*named, "share").agg(
-        F.max(F.when(inside("_lo", "_from", "_to"), F.col("_v"))).alias("_vl"), F.max(F.when(inside("_hi", "_from", "_to"), F.col("_v"))).alias("_vh"),
-        F.max("_part").alias("_part"),
+    at = lambda s: F.least(F.floor(s * F.col("_total")), F.col("_total") - 1).cast("double") if nearest else s * (F.col("_total") - 1)
+    rank = lambda s: F.struct(s.alias("share"), F.floor(at(s)).alias("lo"), F.ceil(at(s)).alias("hi"), (at(s) - F.floor(at(s))).alias("part"))
+    ranks = totals.filter("_total > 0").select(*named, F.array(*[rank(F.lit(float(s))) for s in shares]).alias("_ranks"))
+    within = lambda place, start, end: (place >= F.col(start)) & (place < F.col(end))
+    touches = lambda start, end: lambda r: within(r["lo"], start, end) | within(r["hi"], start, end)
+
+    # A part is known by its group and the number of values before it.
+    held, part = counted.withColumn("_start", F.lit(0).cast("long")), [*named, "_start"]
+    while largest > max(most, 1):
+        cuts = F.percentile_approx("_v", [i / splits for i in range(1, splits)], 1000).alias("_cuts")
+        pieces = _null_safe_join(held, held.groupBy(*part).agg(cuts), part)
+        pieces = pieces.select(*part, "_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_piece"))
+        sizes = pieces.groupBy(*part, "_piece").agg(F.sum("_n").alias("_n"), F.count("*").alias("_size"))
+        sizes = sizes.withColumn("_to", F.col("_start") + F.sum("_n").over(Window.partitionBy(*part).orderBy("_piece")))
+        sizes = sizes.withColumn("_from", F.col("_to") - F.col("_n")).drop("_n")
+        sizes = _null_safe_join(sizes, ranks, named).filter(F.exists("_ranks", touches("_from", "_to"))).drop("_ranks", "_to")
+        kept = _null_safe_join(pieces, sizes, [*part, "_piece"]).select(*named, "_v", "_n", F.col("_from").alias("_start"), "_size")
+        held = cut_lineage(kept)
+        smaller = held.agg(F.max("_size")).first()[0]
+        held = held.drop("_size")
+        if smaller >= largest:  # too few values for a cut to part them
+            break
+        largest = smaller
+
+    ordered = Window.partitionBy(*part).orderBy("_v")
+    held = held.withColumn("_to", F.col("_start") + F.sum("_n").over(ordered)).withColumn("_from", F.col("_to") - F.col("_n"))
+    hits = _null_safe_join(held, ranks, named).withColumn("_r", F.explode(F.filter("_ranks", touches("_from", "_to"))))
+    found = hits.groupBy(*named, F.col("_r.share").alias("share")).agg(
+        F.max(F.when(within(F.col("_r.lo"), "_from", "_to"), F.col("_v"))).alias("_vl"), F.max(F.when(within(F.col("_r.hi"), "_from", "_to"), F.col("_v"))).alias("_vh"),
+        F.max("_r.part").alias("_part"),
     )
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, named)], "share", (F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_part")).alias("value"))
 
