@@ -400,45 +400,31 @@ def requisition_groups(df: DataFrame) -> DataFrame:
     head = F.when(unnamed | (F.col("_words") == ""), F.col("_name")).otherwise(F.split("_words", " ").getItem(0))
     rows = rows.withColumn("_head", head)
     traits = ["_stem", "_head", "_name", "_words", "_place", "_countries", "_pay"]
-    profiles = cut_lineage(rows.groupBy(*traits).agg(F.min(F.struct("ord", "id")).alias("first")))
-    leaders = profiles.groupBy("_stem", "_head", "_name").agg(F.min(F.struct("first", "_words", "_place", "_countries", "_pay")).alias("l"))
-    # Blocks with one name settle at once; the rounds run over the others only.
-    contested = leaders.groupBy("_stem", "_head").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_stem", "_head")
-    open_profiles = cut_lineage(profiles.join(contested, ["_stem", "_head"], "left_semi"))
-    current = cut_lineage(leaders.join(contested, ["_stem", "_head"], "left_semi"))
-    joined = None
-    while True:  # each round settles at least the earliest open leader for good
-        joined = _earliest_leader(open_profiles, current)
-        free = joined.filter(F.col("_to").isNull())
-        again = cut_lineage(free.groupBy("_stem", "_head", "_name").agg(F.min(F.struct("first", "_words", "_place", "_countries", "_pay")).alias("l")))
-        moved = again.join(current.select("_stem", "_head", "_name", F.col("l.first").alias("_was")), ["_stem", "_head", "_name"], "full_outer")
-        still = moved.filter(~F.col("l.first").eqNullSafe(F.col("_was"))).limit(1).count() == 0
+    # A profile's number is written with it, so it stays the same in every read.
+    profiles = cut_lineage(rows.groupBy(*traits).agg(F.min(F.struct("ord", "id")).alias("first")).withColumn("_p", F.monotonically_increasing_id()))
+    classes = ["_stem", "_head", "_name"]
+    first_profile = F.min(F.struct("first", "_words", "_place", "_countries", "_pay")).alias("l")
+    # Only names that another name equals in words, or begins, can meet; all other classes keep their first row.
+    open_profiles = cut_lineage(profiles.join(_related_names(profiles), ["_head", "_name"], "left_semi"))
+    current = cut_lineage(open_profiles.groupBy(*classes).agg(first_profile))
+    moving = current.head(1)
+    while moving:  # each round settles at least the earliest open leader for good
+        free = open_profiles.join(_earliest_leader(open_profiles, current), "_p", "left_anti")
+        again = cut_lineage(free.groupBy(*classes).agg(first_profile))
+        moved = again.join(current.select(*classes, F.col("l.first").alias("_was")), classes, "full_outer")
+        moving = moved.filter(~F.col("l.first").eqNullSafe(F.col("_was"))).head(1)
         current = again
-        if still:
-            break
-    joined = _earliest_leader(open_profiles, current)
-    own = leaders.select("_stem", "_head", "_name", F.col("l.first").alias("_own"))
-    mine = current.select("_stem", "_head", "_name", F.col("l.first").alias("_own_open"))
-    led = profiles.join(own, ["_stem", "_head", "_name"])
-    led = led.join(joined.select(*traits, "_to", F.lit(True).alias("_open")), _same(led, joined, traits), "left").select(
-        *[led[c] for c in traits], led["first"], led["_own"], "_to", "_open"
-    )
-    led = led.join(mine, ["_stem", "_head", "_name"], "left")
+    own = profiles.groupBy(*classes).agg(F.min("first").alias("_own"))
+    open_classes = open_profiles.select(*classes).distinct().withColumn("_open", F.lit(True))
+    own = own.join(open_classes, classes, "left").join(current.select(*classes, F.col("l.first").alias("_own_open")), classes, "left")
     # A profile's candidates: another class's earliest matching leader, and its own class's.
-    own_first = F.when(F.col("_open"), F.col("_own_open")).otherwise(F.col("_own"))
-    led = led.withColumn("_leader", F.least("_to", own_first))
-    leader_rows = led.select(*[F.col(c).alias(f"t_{c}") for c in traits], "_leader")
+    own = own.select(*classes, F.when(F.col("_open"), F.col("_own_open")).otherwise(F.col("_own")).alias("_own_first"))
+    led = profiles.join(own, classes).join(_earliest_leader(open_profiles, current), "_p", "left")
+    leader_rows = led.select(*[F.col(c).alias(f"t_{c}") for c in traits], F.least("_to", "_own_first").alias("_leader"))
     out = rows.join(leader_rows, _all_same(rows, leader_rows, traits))
     return out.select("id", F.col("_leader.id").alias("leader"))
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
 def _all_same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     out = F.lit(True)
     for n in names:
@@ -446,17 +432,50 @@ def _all_same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     return out
 
 
+def _beginnings(words: Column) -> Column:
+    """All proper beginnings of some words, by whole words."""
+    parts = F.split(words, " ")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), " "))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _related_names(profiles: DataFrame) -> DataFrame:
+    """`(_head, _name)` of names whose words another name of their block has, or begins with, or that begin with another's."""
+    names = profiles.filter(F.col("_words") != "").select("_head", "_name", "_words").distinct()
+    forms = names.select("_head", "_name", F.explode(F.concat(F.array("_words"), _beginnings(F.col("_words")))).alias("_form"), "_words")
+    forms = forms.select("_head", "_name", "_form", (F.col("_form") == F.col("_words")).alias("_whole"))
+    met = forms.groupBy("_head", "_form").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("_whole").alias("_held")).filter((F.col("_n") > 1) & F.col("_held"))
+    return forms.join(met, ["_head", "_form"], "left_semi").select("_head", "_name").distinct()
+
+
 def _earliest_leader(profiles: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Each profile with `_to`: the earliest earlier leader of another class in its block it matches."""
-    l = leaders.select(F.col("_stem").alias("l_stem"), F.col("_head").alias("l_head"), F.col("_name").alias("l_name"), "l")  # noqa: E741
-    one_place = (F.col("_place") != "") & (F.col("_place") == F.col("l._place")) & (F.col("_countries") == F.col("l._countries"))
-    spelled_alike = (F.col("_words") != "") & (F.col("_words") == F.col("l._words")) & one_place
-    begins = F.col("_words").startswith(F.concat(F.col("l._words"), F.lit(" "))) | F.col("l._words").startswith(F.concat(F.col("_words"), F.lit(" ")))
-    short_long = (F.col("_words") != "") & (F.col("l._words") != "") & begins & (F.col("_pay") == F.col("l._pay")) & (F.col("_countries") != "") & (F.col("_countries") == F.col("l._countries"))
-    earlier = F.col("l.first") < F.col("first")
-    on = (F.col("_stem") == F.col("l_stem")) & (F.col("_head") == F.col("l_head")) & (F.col("_name") != F.col("l_name")) & earlier & (spelled_alike | short_long)
-    traits = ["_stem", "_head", "_name", "_words", "_place", "_countries", "_pay"]
-    return profiles.join(l, on, "left").groupBy(*traits).agg(F.min("first").alias("first"), F.min("l.first").alias("_to"))
+    """`(_p, _to)` of profiles that an earlier leader of another class in their block matches, with the earliest.
+
+    The ways to match are equal keys: the words, place and countries, or the words that one begins with, pay and countries.
+    A key carries its earliest leader, and its earliest of another name, so no pairs of classes are formed.
+    """
+    def keys(name, trait, words):
+        return F.transform(words, lambda w: F.struct(F.lit(name).alias("_way"), w.alias("_form"), trait.alias("_trait")))
+
+    def ways(place, pay, words, longer_of, shorter_of):
+        none = F.array().cast("array<struct<_way:string,_form:string,_trait:string>>")
+        alike = F.when(place != "", keys("alike", place, F.array(words))).otherwise(none)
+        paid = (pay.isNotNull()) & (F.col("_lands") != "")
+        return F.concat(alike, F.when(paid, F.concat(keys("longer", pay, longer_of), keys("shorter", pay, shorter_of))).otherwise(none))
+
+    words, own = F.col("_words"), F.array(F.col("_words"))
+    asks = profiles.filter(words != "").select("_p", "_stem", "_head", "_name", "_words", "first", F.col("_countries").alias("_lands"), "_place", "_pay")
+    asks = asks.select("_p", "_stem", "_head", "_name", "first", "_lands", F.inline(ways(F.col("_place"), F.col("_pay"), words, _beginnings(words), own)))
+    held = leaders.select("_stem", "_head", "_name", F.col("l.first").alias("_to"), F.col("l._words").alias("_words"), F.col("l._place").alias("_place"),
+                          F.col("l._countries").alias("_lands"), F.col("l._pay").alias("_pay")).filter(words != "")
+    held = held.select("_stem", "_head", "_name", "_to", "_lands", F.inline(ways(F.col("_place"), F.col("_pay"), words, own, _beginnings(words))))
+    key = ["_stem", "_head", "_lands", "_way", "_form", "_trait"]
+    best = held.groupBy(*key).agg(F.min(F.struct("_to", "_name")).alias("_b"))
+    second = held.join(best, key).filter(F.col("_name") != F.col("_b._name")).groupBy(*key).agg(F.min("_to").alias("_next"))
+    best = best.join(second, key, "left").select(*key, F.col("_b._to").alias("_to"), F.col("_b._name").alias("_by"), "_next")
+    other = F.when(F.col("_by") == F.col("_name"), F.col("_next")).otherwise(F.col("_to"))
+    met = asks.join(best, key).select("_p", "first", other.alias("_to")).filter(F.col("_to") < F.col("first"))
+    return met.groupBy("_p").agg(F.min("_to").alias("_to"))
 
 
 # --- companies -------------------------------------------------------------------------------
