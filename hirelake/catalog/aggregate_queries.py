@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import group_row_number
 from ..operators import aggregate as agg
 from ..operators import filters as flt
 from ..operators.annotate import annotate_country, annotate_experience, classify_domain
 from ..operators.stances import annotate_stances
+from ..session import cut_lineage
 from .bindings import NOW
 from .diff_queries import N
 from .filter_queries import CONTRACT
@@ -386,7 +388,9 @@ def _requirements_full(b):
     from ..operators.boards import requisition_groups
     from .annotate_queries import vocabulary
 
-    sample = b.sql(SAMPLED).select("id", "ord")
-    rows = annotate_stances(annotate_experience(annotate_country(b.postings.join(sample, "id").drop("min_years"))))
+    # The places of SAMPLED, numbered without one task for all rows; the annotated rows are read twice.
+    category = b.postings.filter("department = 'MACHINERY'")
+    sample = group_row_number(category.select("id", "first_seen"), [], [F.desc_nulls_last("first_seen"), F.asc("id")], "ord").select("id", "ord")
+    rows = cut_lineage(annotate_stances(annotate_experience(annotate_country(b.postings.join(sample, "id").drop("min_years")))))
     led = requisition_groups(rows).withColumnRenamed("leader", "requisition_leader")
     return agg.requirement_summary(rows.join(led, "id"), vocabulary(b.spark), per_company=3)

@@ -15,6 +15,7 @@ from ..functions.ordinal import exact_percentiles, top_per_group
 from ..functions.text import squash
 from ..rules import boards as B
 from ..rules import derivations as R
+from ..session import cut_lineage
 from .annotate import annotate_country, band, skill_mentions, watch_roles
 from .clean import place_key
 from .rank import company_key
@@ -153,12 +154,9 @@ def requirement_summary(sample: DataFrame, vocabulary: DataFrame | None = None,
     `requisition_leader` (its group's first row) and `ord` (its place). `extra` holds quartiles or employers.
     """
     rows = sample.filter(F.col("id") == F.col("requisition_leader")) if "requisition_leader" in sample.columns else sample
-    rows = rows.withColumn("_company", company_key(F.col("company"), F.col("board")))
-    if per_company is not None:
-        order = Window.partitionBy("_company").orderBy("ord")
-        kept = rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_company).drop("_k")
-    else:
-        kept = rows
+    # Every section reads these rows, so they are written once.
+    rows = cut_lineage(rows.withColumn("_company", company_key(F.col("company"), F.col("board"))))
+    kept = rows if per_company is None else cut_lineage(top_per_group(rows, ["_company"], [F.col("ord")], per_company, "_k").drop("_k"))
     years = F.when(F.col("min_years") <= 1, "0-1").when(F.col("min_years") <= 4, "2-4").when(F.col("min_years") <= 7, "5-7").otherwise("8+")
     stated = F.col("experience_source").isin("field", "regex")
     experience = kept.select(
