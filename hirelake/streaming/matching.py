@@ -151,8 +151,9 @@ def row_tokens(columns: frozenset[str], texts: Sequence[str] = ("title", "descri
 
 def _anchors(searches: DataFrame, tokens: DataFrame) -> DataFrame:
     """Each search with its rarest clause (`anchor`) by how many rows have its tokens; one without clauses meets every row."""
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     each = searches.select("subscription", F.posexplode("clauses").alias("at", "clause")).select("subscription", "at", F.explode("clause").alias("token"))
+    # Rows have a token for each id; only those that a search names are counted.
+    counts = tokens.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     cost = each.join(counts, "token", "left").groupBy("subscription", "at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     best = cost.groupBy("subscription").agg(F.min(F.struct("n", "at")).alias("b")).select(F.col("subscription").alias("_s"), F.col("b.at").alias("_at"))
     joined = searches.join(best, F.col("subscription") == F.col("_s"), "left").drop("_s")
@@ -174,7 +175,8 @@ def match_subscriptions(batch: DataFrame, subscriptions: DataFrame, now: str) ->
     tokens = rows.select("_row", F.explode("_tokens").alias("token"))
     anchored = _anchors(searches, tokens)
     met = tokens.join(anchored.select("subscription", F.explode("anchor").alias("token")), "token").select("_row", "subscription").distinct()
-    met = rows.join(met, "_row").join(anchored, "subscription")
+    # The rows' files are far smaller than the rows, so Spark would send all of them through the driver.
+    met = rows.hint("merge").join(met, "_row").join(anchored, "subscription")
     kept = F.forall("clauses", lambda c: F.arrays_overlap(c, F.col("_tokens")))
     scopes = [c for c in ("title", "description") if c in columns]
     if scopes:
