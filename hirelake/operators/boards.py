@@ -139,10 +139,15 @@ def resolve_aliases(probed: DataFrame, live: DataFrame, prefer: Sequence[str] =
     return rows.select("slug", "resolved", F.when(verdict.isin("duplicate", "canonical"), canonical).alias("canonical"), verdict.alias("verdict"))
 
 
-def _set_profile(board_ids: DataFrame, group: str = "group") -> DataFrame:
-    """Size and order-free fingerprints of each board's id set, summed before the shuffle."""
-    ids = board_ids.select(group, "board", "id").distinct()
-    return ids.groupBy(group, "board").agg(
+def _distinct_ids(board_ids: DataFrame) -> DataFrame:
+    """Each board's ids once, written in the order of boards: a board's rows lie together, so that what is summed over
+    them combines before a shuffle, and a large board still spans several files."""
+    return cut_lineage(board_ids.select("group", "board", "id").repartitionByRange("group", "board", "id").distinct())
+
+
+def _set_profile(ids: DataFrame) -> DataFrame:
+    """Size and order-free fingerprints of each board's id set, summed before the shuffle. `ids` are distinct."""
+    return ids.groupBy("group", "board").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("_x"),
         F.sum(F.xxhash64(F.lit(17), F.col("id")).cast("decimal(38,0)")).alias("_s"),
     )
@@ -152,16 +157,33 @@ def equal_set_aliases(board_ids: DataFrame, prefer: Sequence[str] = ()) -> DataF
     """`(group, board, canonical)`: boards of one account with equal, non-empty id sets, aliased to
     the preferred, else the lowest key. Candidates share a fingerprint; each is then checked id by
     id against its canonical."""
-    profile = _set_profile(board_ids)
+    ids = _distinct_ids(board_ids)
+    profile = cut_lineage(_set_profile(ids))
     first = F.min(F.struct((~F.col("board").isin(*prefer)).alias("other") if prefer else F.lit(True).alias("other"), F.col("board")))
     elected = profile.groupBy("group", "size", "_x", "_s").agg(first.alias("_c")).select("group", "size", "_x", "_s", F.col("_c.board").alias("canonical"))
     pairs = profile.join(elected, ["group", "size", "_x", "_s"]).filter(F.col("board") != F.col("canonical")).select("group", "board", "canonical", "size")
-    return _verified(board_ids, pairs).select("group", "board", "canonical")
+    return _equal_verified(ids, pairs).select("group", "board", "canonical")
 
 
-def _verified(board_ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose canonical lists every id of the board."""
-    ids = board_ids.select("group", "board", "id").distinct()
+def _equal_verified(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of one size whose canonical lists every id of the board.
+
+    All boards of a canonical are equal if together they list no more ids than one of them; only where they list more (or
+    an unknown id) is each compared with its canonical.
+    """
+    pairs = cut_lineage(pairs)
+    members = pairs.unionByName(pairs.withColumn("board", F.col("canonical"))).distinct()
+    listed = ids.join(members, ["group", "board"]).groupBy("group", "canonical", "size", "id").agg(F.lit(1).alias("_one"))
+    sets = cut_lineage(listed.groupBy("group", "canonical", "size").agg(F.count("id").alias("_n"), F.count(F.lit(1)).alias("_rows")))
+    equal = (F.col("_n") == F.col("size")) & (F.col("_rows") == F.col("size"))
+    key = ["group", "canonical", "size"]
+    sure = pairs.join(sets.filter(equal).select(*key), key, "left_semi")
+    unlike = sets.filter(~equal).select(*key)
+    return sure.unionByName(_verified(ids, pairs.join(unlike, key, "left_semi")).select(*sure.columns)) if unlike.head(1) else sure
+
+
+def _verified(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose canonical lists every id of the board. `ids` are distinct."""
     mine = pairs.join(ids, ["group", "board"]).select("group", "board", "canonical", "size", "id")
     theirs = ids.withColumnRenamed("board", "canonical")
     shared = mine.join(theirs, ["group", "canonical", "id"]).groupBy("group", "board", "canonical", "size").agg(F.count(F.lit(1)).alias("_shared"))
@@ -179,15 +201,15 @@ def bury_contained(board_ids: DataFrame, keep_public: bool = False) -> DataFrame
     a container must list every id, so it lists that one. No other pair is formed.
     """
     # Read many times below, so it is written once.
-    ids = cut_lineage(board_ids.select("group", "board", "id").distinct())
+    ids = _distinct_ids(board_ids)
     profile = cut_lineage(_set_profile(ids))
     hosts = profile.filter(~is_non_public(F.col("board"))) if keep_public else profile
     reps = hosts.groupBy("group", "size", "_x", "_s").agg(F.min("board").alias("onto"))
     equal = profile.join(reps, ["group", "size", "_x", "_s"]).filter(F.col("board") != F.col("onto")).select("group", "board", "onto", "size")
-    equal = _verified(ids, equal.withColumnRenamed("onto", "canonical")).withColumnRenamed("canonical", "onto")
+    equal = _equal_verified(ids, equal.withColumnRenamed("onto", "canonical")).withColumnRenamed("canonical", "onto")
     twins = equal.select("group", "board")
     distinct_sets = profile.join(twins, ["group", "board"], "left_anti")
-    candidates_ids = ids.join(distinct_sets.select("group", "board", "size"), ["group", "board"])
+    candidates_ids = cut_lineage(ids.join(distinct_sets.select("group", "board", "size"), ["group", "board"]))
     on_boards = candidates_ids.groupBy("group", "id").agg(F.count(F.lit(1)).alias("_n"))
     rarest = candidates_ids.join(on_boards, ["group", "id"]).groupBy("group", "board").agg(F.min(F.struct("_n", "id")).alias("_r"), F.max("size").alias("size"))
     rarest = rarest.select("group", "board", "size", F.col("_r.id").alias("id"))
