@@ -25,6 +25,13 @@ def _map(table: dict) -> str:
     return "map(" + ", ".join(f"'{k}', {v!r}" for k, v in table.items()) + ")"
 
 
+def _by_letter(table: dict) -> str:
+    """What a word stands for, looked up among those of its first letter: Spark searches a map from end to end."""
+    letters = sorted({k[0] for k in table})
+    nested = ", ".join(f"'{a}', {_map({k: v for k, v in table.items() if k[0] == a})}" for a in letters)
+    return f"try_element_at(try_element_at(map({nested}), left(w, 1)), w)"
+
+
 def tape_words(sentence: Column) -> Column:
     """The words of a sentence in lower case, phrases of one meaning as one word, ends of clauses as words of their own."""
     out = F.regexp_replace(F.lower(sentence), r"['’`]", "")
@@ -47,15 +54,17 @@ def _let(value: str, name: str, body: str) -> str:
 
 def _places() -> str:
     """Of `words` (one tape) the places of each class, and those of levels and countries with what they name."""
-    tags = f"transform(words, w -> coalesce(try_element_at({_map(R.CLASSES)}, w), ''))"
+    tags = f"transform(words, w -> coalesce({_by_letter(R.CLASSES)}, ''))"
     ends = "filter(transform(tags, (c, i) -> CASE WHEN contains(c, 'E') THEN i END), i -> i IS NOT NULL)"
     place = f"(i + {_CLAUSE_STEP} * size(filter(ends, e -> e < i)))"
-    of = lambda name, value: f"filter(transform(tags, (c, i) -> CASE WHEN contains(c, '{name}') THEN {value} END), x -> x IS NOT NULL)"
-    topics = ", ".join(f"'at_{n}', filter(transform(tags, (c, i) -> CASE WHEN contains(c, '{n}') THEN named_struct('i', i, 'x', {place}) END), x -> x IS NOT NULL)" for n in "SAZM")
-    fields = ", ".join([f"'{_field(n)}', {of(n, place)}" for n in _ALL] + [f"'{_field(n, True)}', {of(n, 'i')}" for n in _FREE])
+    # The words of some class with their places, which every class then picks from.
+    marked = f"filter(transform(tags, (c, i) -> CASE WHEN c <> '' THEN named_struct('c', c, 'i', i, 'x', {place}) END), k -> k IS NOT NULL)"
+    of = lambda name, value: f"transform(filter(marked, k -> contains(k.c, '{name}')), k -> {value})"
+    topics = ", ".join(f"'at_{n}', {of(n, 'struct(k.i, k.x)')}" for n in "SAZM")
+    fields = ", ".join([f"'{_field(n)}', {of(n, 'k.x')}" for n in _ALL] + [f"'{_field(n, True)}', {of(n, 'k.i')}" for n in _FREE])
     named = ", ".join(f"'{field}', filter(transform(words, (w, i) -> named_struct('x', {place}, 'says', try_element_at({_map(table)}, w))), s -> s.says IS NOT NULL)"
                       for field, table in (("levels", R.LEVELS), ("countries", R.COUNTRIES)))
-    return _let(tags, "tags", _let(ends, "ends", f"named_struct({topics}, {fields}, {named})"))
+    return _let(tags, "tags", _let(ends, "ends", _let(marked, "marked", f"named_struct({topics}, {fields}, {named})")))
 
 
 def _near(names: str, reach: tuple[int, int]) -> str:
