@@ -15,10 +15,10 @@ CARRIED = [c.split(" ")[0] for c in S.POSTING.split(", ")]
 
 
 def _landed(b, name, rows, by="ats"):
-    """The rows written as one JSON Lines folder per source, each file named after its source."""
+    """The rows written as one folder of compressed JSON Lines per source, each file named after its source."""
     path = scratch_path(b.spark, name)
     columns = [c for c in CARRIED if c in rows.columns]
-    rows.select(*columns, F.col(by).alias("_dir")).write.partitionBy("_dir").json(path)
+    rows.select(*columns, F.col(by).alias("_dir")).write.partitionBy("_dir").json(path, compression="gzip")
     return path
 
 
@@ -26,7 +26,7 @@ def _landed(b, name, rows, by="ats"):
 def _read_postings(b):
     """Written as JSON Lines, twice the same rows to a file, and read back."""
     path = _landed(b, "postings", b.postings.unionByName(b.postings).repartition(F.col("id")))
-    return files.read_postings(b.spark, path, "*.json").select("id", "title", "location", "remote", "description")
+    return files.read_postings(b.spark, path, "*.json.gz").select("id", "title", "location", "remote", "description")
 
 
 @query("union_fragments", "SELECT id, title FROM prior UNION SELECT id, title FROM fresh")
