@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import aggregate as agg
 from hirelake.operators import boards as brd
+from hirelake.streaming.matching import match_subscriptions
 
 
 def _profiles(spark, names):
@@ -41,3 +42,32 @@ def test_requirement_summary_reads_its_rows_once(spark):
     got = {(r["section"], r["name"]): r["n"] for r in agg.requirement_summary(rows, per_company=2).collect()}
     assert got[("sample", "counted")] == 10 and got[("company", "firm 0")] == 8 and got[("country", "DE")] == 10
     assert seen.value == 40
+
+
+def test_matched_rows_are_not_sent_through_the_driver(spark, capsys):
+    """Before, the whole batch with its tokens was broadcast."""
+    batch = spark.range(60).select(F.concat(F.lit("a:b:"), "id").alias("id"), F.concat(F.lit("a"), F.col("id") % 3).alias("ats"), F.lit("Data Engineer").alias("title"))
+    searches = spark.createDataFrame([("one", "", '{"ats": "a1", "include_non_tech": true}'), ("all", "", "{}")], "subscription string, watermark string, filter string")
+    got = match_subscriptions(batch, searches, "2024-01-01T00:00:00+00:00")
+    got.explain()
+    assert "SortMergeJoin [_row#" in capsys.readouterr().out
+    assert sorted(r["subscription"] for r in got.collect()) == ["all"] * 60 + ["one"] * 20
+
+
+def _sets(spark, sets):
+    return spark.createDataFrame([("g", b, i) for b, ids in sets.items() for i in ids], "group string, board string, id string")
+
+
+def test_boards_of_one_fingerprint_are_told_apart(spark):
+    """Where all sets are equal they are counted together; else each is compared with its canonical, and unknown ids equal none."""
+    ids = _sets(spark, {"a": "12", "b": "12", "c": "13", "d": ["1", None], "e": ["1", None], "x": "12", "y": "12"})
+    pairs = spark.createDataFrame([("g", b, c, 2) for b, c in (("b", "a"), ("c", "a"), ("e", "d"), ("y", "x"))], "group string, board string, canonical string, size long")
+    assert {(r["board"], r["canonical"]) for r in brd._equal_verified(ids, pairs).collect()} == {("b", "a"), ("y", "x")}
+
+
+def test_equal_sets_are_joined_to_their_ids_once(spark, capsys):
+    """Before, the ids were made distinct three times and joined with themselves."""
+    got = brd.equal_set_aliases(_sets(spark, {"a": "12", "b": "121", "c": "13"}))
+    got.explain()
+    assert "_shared" not in capsys.readouterr().out and [tuple(r) for r in got.collect() if r["board"] == "b"] == [("g", "b", "a")]
+    assert got.count() == 1
