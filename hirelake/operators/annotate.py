@@ -17,6 +17,7 @@ from ..functions.ordinal import top_per_group
 from ..functions.text import let, rx_escape, squash
 from ..rules import derivations as R
 from ..rules.places import COUNTRIES, INDIA_PLACES, INDIA_STATES
+from ..session import cut_lineage
 from .experience import candidates, elected, floors, judged
 from .filters import employment_flags, employment_rule
 
@@ -566,26 +567,27 @@ def skill_mentions(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     term in a comma list), not_after (a preceding word that makes it another thing). The longest
     term at a position wins, and an employer's own product is not a skill.
 
-    Each word of a text, with as many words behind it as the longest term has, meets the terms that
-    begin with it; terms of any length match.
+    Each word of a text meets the terms that begin with it; terms of any length match. Until then a row carries the words as
+    they are, the longest term's number of them and one more; only those that meet a term are lower-cased and compared.
     """
-    vocab = vocabulary.withColumn("_key", F.split(F.lower("term"), " ")).withColumn("_head", F.col("_key")[0]).withColumn("n", F.size("_key"))
+    # Written once, the vocabulary carries its size: Spark sees that it can be broadcast and need not shuffle every word.
+    vocab = cut_lineage(vocabulary.withColumn("_key", F.split(F.lower("term"), " ")).withColumn("_head", F.col("_key")[0]).withColumn("n", F.size("_key")))
     longest = vocab.agg(F.max("n")).first()[0] or 1
-    words = F.filter(F.split(F.regexp_replace(F.col("description"), r"[^\p{L}\p{N}+#.,]+", " "), r" |(?=,)"), lambda w: w != "")
-    clean = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, r"^,+", ","), r"\.+$", ""))
-    base = df.select("id", F.lower(F.coalesce("company", F.lit(""))).alias("_company"), clean.alias("_w")).filter(F.size("_w") > 0)
+    # A word holds no comma but its first character.
+    words = F.regexp_extract_all("description", F.lit(r"[,\p{L}\p{N}+#.][\p{L}\p{N}+#.]*"), F.lit(0))
+    base = df.select("id", F.lower(F.coalesce("company", F.lit(""))).alias("_company"), F.transform(words, lambda w: F.rtrim(w, F.lit("."))).alias("_w"))
+    bare = lambda w: F.when(w.startswith(","), F.substring(w, 2, 2**31 - 1)).otherwise(w)
+    # The words are lower-cased within the generator: of a plain column Spark would infer a filter and read texts a second time for it.
+    rows = base.select("id", "_company", "_w", F.posexplode(F.transform("_w", lambda w: F.lower(bare(w)))).alias("_i", "_first"))
     # A word with its neighbours: the one before, and enough behind for the longest term and the word that follows it.
-    around = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.struct(
-        i.alias("at"), F.slice("_w", i, longest + 1).alias("_run"), F.when(i > 1, F.lower(F.element_at("_w", i - 1))).alias("before")))
-    rows = base.select("id", "_company", F.inline(around))
-    bare = F.transform("_run", lambda w: F.regexp_replace(w, "^,", ""))
-    rows = rows.withColumn("_text", bare).withColumn("_low", F.transform("_text", lambda w: F.lower(w)))
-    hits = rows.join(vocab, F.col("_low")[0] == F.col("_head")).filter(F.slice("_low", 1, F.col("n")) == F.col("_key"))
+    rows = rows.select("id", "_company", "_first", (F.col("_i") + 1).alias("at"), F.slice("_w", F.col("_i") + 1, longest + 1).alias("_run"), F.get("_w", F.col("_i") - 1).alias("before"))
+    said = F.transform(F.slice("_run", 1, F.col("n")), bare)
+    hits = rows.join(vocab, F.col("_first") == F.col("_head")).filter((F.col("n") == 1) | (F.transform(said, lambda w: F.lower(w)) == F.col("_key")))
     after = F.get("_run", F.col("n"))
     in_list = F.col("_run")[0].startswith(",") | F.coalesce(after.startswith(","), F.lit(False))
-    hits = hits.filter(~F.col("exact_case") | (F.array_join(F.slice("_text", 1, F.col("n")), " ") == F.col("term")))
+    hits = hits.filter(~F.col("exact_case") | (F.array_join(said, " ") == F.col("term")))
     hits = hits.filter(~F.col("list_only") | in_list)
-    hits = hits.filter(F.col("not_after").isNull() | F.col("before").isNull() | (F.col("before") != F.lower("not_after")))
+    hits = hits.filter(F.col("not_after").isNull() | F.col("before").isNull() | (F.lower("before") != F.lower("not_after")))
     hits = hits.filter(~F.col("_company").contains(F.lower("skill")))
     # Read from the left, longer hits first, a hit is covered when an earlier one reaches as far.
     spans = hits.groupBy("id", "at", "n").agg(F.collect_set("skill").alias("_skills"))
