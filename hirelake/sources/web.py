@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import squash
+from ..functions.text import let, squash
 from ..operators.clean import host_of, registrable_domain
 from ..rules.feeds import BLOCKED_TOKENS, BOARD_LINKS, FEEDS, TENANT_SPECS
 
@@ -23,8 +23,7 @@ def _text(node: Column, path: str) -> Column:
 
 def _string(node: Column, path: str) -> Column:
     """The value at a path only where it is a string; an object is not read as its JSON."""
-    value = F.try_variant_get(node, path, "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.trim(F.try_variant_get(node, path, "string")))
+    return let(F.try_variant_get(node, path, "variant"), lambda value: F.when(F.schema_of_variant(value) == "STRING", F.trim(F.try_variant_get(value, "$", "string"))))
 
 
 def _nodes(block: Column) -> Column:
@@ -35,10 +34,10 @@ def _nodes(block: Column) -> Column:
 
 def _place(node: Column) -> Column:
     """One job place: its address parts, else its name, else the address as text."""
-    part = lambda key: F.nullif(F.coalesce(_string(node, f"$.address.{key}"), F.lit("")), F.lit(""))
+    part = lambda key: let(_string(node, f"$.address.{key}"), lambda said: F.when(said != "", said))
     country = F.coalesce(_string(node, "$.address.addressCountry.name"), part("addressCountry"))
     parts = F.array_join(F.array_distinct(F.array_compact(F.array(part("addressLocality"), part("addressRegion"), country))), ", ")
-    return F.coalesce(F.nullif(parts, F.lit("")), _string(node, "$.name"), _string(node, "$.address"))
+    return F.coalesce(let(parts, lambda said: F.when(said != "", said)), _string(node, "$.name"), _string(node, "$.address"))
 
 
 def extract_jsonld_postings(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -46,7 +45,8 @@ def extract_jsonld_postings(pages: DataFrame, key: str = "page_id", html: str =
     lists and @graph flattened. Blocks that do not parse hide no other block; `jsonld_problems`
     lists their pages."""
     blocks = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(LD_JSON), F.lit(1))).alias("block", "_text"))
-    parsed = blocks.withColumn("_v", F.try_parse_json(F.trim("_text"))).filter(F.col("_v").isNotNull())
+    # A block that does not parse is a node without a type, which the test of types drops; a filter of its own would parse all blocks twice.
+    parsed = blocks.select(key, "block", F.try_parse_json(F.trim("_text")).alias("_v"))
     nodes = parsed.select(key, "block", F.posexplode(_nodes(F.col("_v"))).alias("node", "_n"))
     kinds = F.coalesce(F.try_variant_get("_n", "$['@type']", "array<string>"), F.array(_text(F.col("_n"), "$['@type']")))
     jobs = nodes.filter(F.array_contains(kinds, "JobPosting"))

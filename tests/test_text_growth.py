@@ -24,3 +24,12 @@ def test_skill_words_are_cut_once_and_meet_the_terms_without_a_shuffle(spark):
     assert plan.count("(description#") == 1
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in found.collect()} == {("a", "java"), ("a", "go"), ("a", "c++"), ("a", "machine learning"), ("a", "visa cards"), (None, "python")}
+
+
+def test_json_blocks_are_parsed_once(spark):
+    block = "<script type='application/ld+json'>{}</script>"
+    good = '{"@type": "JobPosting", "title": "Clerk", "jobLocation": [{"address": {"addressLocality": " ", "addressRegion": "Bern", "addressCountry": {"name": "CH"}}}, {"name": "Basel"}, {"address": 7}]}'
+    pages = spark.createDataFrame([("p", block.format("{oops") + block.format(good) + block.format("null") + block.format("[1, null]"))], "page_id string, html string")
+    found = web.extract_jsonld_postings(pages)
+    assert len(re.findall(r"parse_json\(|parseJson", plan_of(found))) == 1
+    assert [(r["block"], r["node"], r["title"], r["location"]) for r in found.collect()] == [(1, 0, "Clerk", "Bern, CH; Basel")]
