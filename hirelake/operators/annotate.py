@@ -175,9 +175,9 @@ def experience_columns(field: Column, description: Column, title: Column,
     months = hi_months | field.rlike(R.EXPERIENCE_MONTHS)
     f_lo = F.when(months, F.floor(lo / 12).cast("int")).otherwise(lo)
     f_hi = F.when(hi_months, F.ceil(hi / 12).cast("int")).otherwise(hi)
-    from_field = F.when(f_lo <= R.MAX_FIELD_YEARS, F.struct(
-        f_lo.alias("lo"), F.when((f_hi >= f_lo) & (f_hi <= R.MAX_FIELD_YEARS), f_hi).alias("hi"), F.lit("field").alias("source")
-    ))
+    from_field = let(F.struct(f_lo.alias("lo"), f_hi.alias("hi")), lambda f: F.when(f["lo"] <= R.MAX_FIELD_YEARS, F.struct(
+        f["lo"].alias("lo"), F.when((f["hi"] >= f["lo"]) & (f["hi"] <= R.MAX_FIELD_YEARS), f["hi"]).alias("hi"), F.lit("field").alias("source")
+    )))
     # A text that names no years is not scanned.
     found = F.when(description.rlike(R.YEARS_HINT), candidates(description))
     spans = F.coalesce(judged(F.col("_years_found")), F.array().cast("array<struct<lo:int,hi:int,at:int,kind:string>>"))
@@ -195,7 +195,7 @@ def experience_columns(field: Column, description: Column, title: Column,
             for step, years in steps.items():
                 ladder = F.when((F.lower(F.trim(company)) == name) & (mark == step), F.lit(years)).otherwise(ladder)
     estimate = F.coalesce(ladder, word, level)
-    from_word = F.when(estimate.isNotNull(), F.struct(estimate.alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit("seniority").alias("source")))
+    from_word = let(estimate, lambda e: F.when(e.isNotNull(), F.struct(e.alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit("seniority").alias("source"))))
     answer = F.coalesce(from_field, from_text, from_word)
     return {"_years_found": found}, {"_spans": spans}, {"_experience": answer, "stated_floors": floors(F.col("_spans"))}
 

@@ -33,3 +33,12 @@ def test_json_blocks_are_parsed_once(spark):
     found = web.extract_jsonld_postings(pages)
     assert len(re.findall(r"parse_json\(|parseJson", plan_of(found))) == 1
     assert [(r["block"], r["node"], r["title"], r["location"]) for r in found.collect()] == [(1, 0, "Clerk", "Bern, CH; Basel")]
+
+
+def test_a_rule_is_asked_once_of_a_figure(spark):
+    text = "You bring up to 3 years of experience. At least 5 - 7 yrs. Less than 9 years' background. 4-year degree. Minimum of two to ten years"
+    df = spark.createDataFrame([(text,)], "t string").repartition(1)
+    spans = df.select(experience.judged(experience.candidates(F.col("t"))).alias("s"))
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("less than|fewer than") == 1 and plan.count("expertise|track record") == 1 and "translate(" not in plan
+    assert [tuple(s) for s in spans.first()["s"]] == [(0, 3, 0, "ceiling"), (5, 7, 1, "implied"), (0, 9, 2, "soft_ceiling"), (2, 10, 4, "implied")]
