@@ -40,6 +40,20 @@ def phrase(text: str) -> str:
     return out
 
 
+def _first(text: str) -> set[str]:
+    """The characters a phrase can begin with."""
+    out: set[str] = set()
+    for token in text.split():
+        if token.startswith(".."):
+            raise ValueError(f"a phrase begins with a word: {text}")
+        out |= {r"\d" if word == "#" else re.escape(word[0]) for word in token.rstrip("?").split("|")}
+        if not token.endswith("?"):
+            return out
+    return out
+
+
 def pattern(phrases: Iterable[str]) -> str:
-    """Any of the phrases."""
-    return r"(?i)(?<![\w])(?:" + "|".join(phrase(p) for p in phrases) + r")(?![\w])"
+    """Any of the phrases. Characters that none begins with are passed over by one test."""
+    phrases = list(phrases)
+    first = "".join(sorted(set().union(*map(_first, phrases))))
+    return rf"(?i)(?=[{first}])(?<![\w])(?:" + "|".join(phrase(p) for p in phrases) + r")(?![\w])"

@@ -65,10 +65,11 @@ def annotate_country(df: DataFrame, countries: DataFrame | None = None, column:
     longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     places = df.select(F.col(column).alias("_place")).where(F.col("_place").isNotNull()).distinct()
     text = F.lower("_place")
-    words = places.select("_place", F.explode(_word_terms(text, longest)).alias("term"), F.lit(True).alias("as_word"))
-    segments = places.select("_place", F.explode(_segment_terms(text)).alias("term"), F.lit(False).alias("as_word"))
+    as_word = lambda terms, word: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(word).alias("as_word")))
+    # Both readings of a place in one list: the table is read once for them.
+    read = places.select("_place", F.inline(F.concat(as_word(_word_terms(text, longest), True), as_word(_segment_terms(text), False))))
     wordy = F.col("kind").isin("word", "shared_word", "city_word", "name")
-    hits = words.unionByName(segments).join(terms, "term").filter(wordy == F.col("as_word"))
+    hits = read.join(terms, "term").filter(wordy == F.col("as_word"))
 
     def codes(*kinds):
         return F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("code")))
@@ -97,7 +98,9 @@ def annotate_country(df: DataFrame, countries: DataFrame | None = None, column:
 
 def _join_back(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
     """`df` with what `found` (one row a `_place`) says of its column's value. Rows without a value
-    match nothing and are dealt out evenly instead of meeting in one task."""
+    match nothing and are dealt out evenly instead of meeting in one task. What was found is written
+    once, so that its size is known: few values are broadcast and the rows need no shuffle by them."""
+    found = cut_lineage(found)
     spread = F.concat(F.lit("\x1f"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
     keyed = df.withColumn("_key", F.coalesce(F.col(column), spread))
     return keyed.join(found, F.col("_key") == F.col("_place"), "left").drop("_place", "_key")
@@ -153,9 +156,9 @@ def annotate_band(df: DataFrame) -> DataFrame:
 def remote_signal(text: Column) -> Column:
     """"remote", "hybrid", "onsite" or null: a tag first, then the phrases of each verdict in turn."""
     low = F.lower(text)
-    plain = F.regexp_replace(text, R.REMOTE_THINGS, " ")
-    verdicts = [(low.contains(tag), v) for tag, v in R.REMOTE_TAGS.items()] + [(plain.rlike(said), v) for v, said in R.REMOTE_PHRASES]
-    return F.coalesce(*[F.when(hit, F.lit(v)) for hit, v in verdicts])
+    first = lambda verdicts: F.coalesce(*[F.when(hit, F.lit(v)) for hit, v in verdicts])
+    tagged = let(low, lambda t: first([(t.contains(tag), v) for tag, v in R.REMOTE_TAGS.items()]))
+    return F.coalesce(tagged, let(F.regexp_replace(text, R.REMOTE_THINGS, " "), lambda plain: first([(plain.rlike(said), v) for v, said in R.REMOTE_PHRASES])))
 
 
 def annotate_remote(df: DataFrame) -> DataFrame:
@@ -328,7 +331,10 @@ def salary_from_text(description: Column) -> Column:
         return let(F.array_compact(F.transform(found, lakhs if name == "lpa" else money_span)), resolve)
 
     def scan(t: Column) -> Column:
-        return F.coalesce(*[tier(t, name, pattern) for name, pattern in R.SALARY_TEXT])
+        tiers = {name: tier(t, name, pattern) for name, pattern in R.SALARY_TEXT}
+        # In confidence order the marked tiers come last; a text without a currency is not scanned for them.
+        marked = F.when(t.rlike(R.CURRENCY_MARK), F.coalesce(*[tiers.pop(name) for name in R.MARKED_TIERS]))
+        return F.coalesce(*tiers.values(), marked)
 
     found = F.when(text.isNotNull(), let(text, scan))
     return let(found, lambda f: F.when(f["ok"], f["span"]))
