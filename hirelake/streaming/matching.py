@@ -24,6 +24,8 @@ from ..session import cut_lineage
 
 #: Searches up to this many years become tokens; beyond it only the bound is compared.
 _MOST_YEARS = 40
+#: Searches of up to this many tokens and terms together are broadcast; beyond it both sides of a join are shuffled.
+_MOST_SENT = 100_000
 _PREFIX = 3
 _ANY = "any"
 _SHAPE = ("clauses array<array<string>>, terms array<struct<literal:string,pattern:string,title:boolean,description:boolean>>, posted_from string, posted_to string, posted_shaped boolean, "
@@ -149,14 +151,26 @@ def row_tokens(columns: frozenset[str], texts: Sequence[str] = ("title", "descri
     return F.array_distinct(F.concat(*[F.coalesce(p, empty) for p in parts]))
 
 
-def _anchors(searches: DataFrame, tokens: DataFrame) -> DataFrame:
+def _few(searches: DataFrame) -> bool:
+    """Whether all that the searches hold is small enough to be broadcast."""
+    held = F.aggregate("clauses", F.size("terms") + 1, lambda n, c: n + 1 + F.size(c))
+    return (searches.agg(F.sum(held).alias("n")).first()["n"] or 0) <= _MOST_SENT
+
+
+def _meet(many: DataFrame, searched: DataFrame, on: str, few: bool, how: str = "inner") -> DataFrame:
+    """`many` joined with what stems from the searches. Spark judges by the size of files, and tokens are many times as large
+    as theirs: left to itself it sends all tokens of the rows through the driver."""
+    return many.join(F.broadcast(searched), on, how) if few else many.hint("merge").join(searched, on, how)
+
+
+def _anchors(searches: DataFrame, tokens: DataFrame, few: bool) -> DataFrame:
     """Each search with its rarest clause (`anchor`) by how many rows have its tokens; one without clauses meets every row."""
     each = searches.select("subscription", F.posexplode("clauses").alias("at", "clause")).select("subscription", "at", F.explode("clause").alias("token"))
     # Rows have a token for each id; only those that a search names are counted.
-    counts = tokens.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    cost = each.join(counts, "token", "left").groupBy("subscription", "at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    best = cost.groupBy("subscription").agg(F.min(F.struct("n", "at")).alias("b")).select(F.col("subscription").alias("_s"), F.col("b.at").alias("_at"))
-    joined = searches.join(best, F.col("subscription") == F.col("_s"), "left").drop("_s")
+    counts = _meet(tokens, each.select("token").distinct(), "token", few, "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    cost = _meet(each, counts, "token", few, "left").groupBy("subscription", "at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    best = cost.groupBy("subscription").agg(F.min(F.struct("n", "at")).alias("b")).select("subscription", F.col("b.at").alias("_at"))
+    joined = _meet(searches, best, "subscription", few, "left")
     never = F.exists("clauses", lambda c: F.size(c) == 0)
     return joined.where(~never).withColumn("anchor", F.coalesce(F.get("clauses", F.col("_at")), F.array(F.lit(_ANY)))).drop("_at")
 
@@ -173,10 +187,12 @@ def match_subscriptions(batch: DataFrame, subscriptions: DataFrame, now: str) ->
     asked = [c for c in ("title", "description") if c in columns and searches.where(F.exists("terms", lambda t: t[c])).head(1)]
     rows = cut_lineage(batch.withColumns({"_row": F.monotonically_increasing_id(), "_tokens": row_tokens(columns, asked)}))
     tokens = rows.select("_row", F.explode("_tokens").alias("token"))
-    anchored = _anchors(searches, tokens)
-    met = tokens.join(anchored.select("subscription", F.explode("anchor").alias("token")), "token").select("_row", "subscription").distinct()
+    few = _few(searches)
+    # Read twice below, and all tokens are counted for it.
+    anchored = cut_lineage(_anchors(searches, tokens, few))
+    met = _meet(tokens, anchored.select("subscription", F.explode("anchor").alias("token")), "token", few).select("_row", "subscription").distinct()
     # The rows' files are far smaller than the rows, so Spark would send all of them through the driver.
-    met = rows.hint("merge").join(met, "_row").join(anchored, "subscription")
+    met = _meet(rows.hint("merge").join(met, "_row"), anchored, "subscription", few)
     kept = F.forall("clauses", lambda c: F.arrays_overlap(c, F.col("_tokens")))
     scopes = [c for c in ("title", "description") if c in columns]
     if scopes:

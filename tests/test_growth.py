@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import aggregate as agg
 from hirelake.operators import boards as brd
+from hirelake.streaming import matching
 from hirelake.streaming.matching import match_subscriptions
 
 
@@ -54,6 +55,20 @@ def test_matched_rows_are_not_sent_through_the_driver(spark, capsys):
     assert sorted(r["subscription"] for r in got.collect()) == ["all"] * 60 + ["one"] * 20
 
 
+def test_tokens_of_rows_are_not_sent_through_the_driver(spark, capsys, monkeypatch):
+    """Before, Spark took all tokens of the rows for smaller than the searches, as it went by the rows' files, and broadcast them."""
+    batch = spark.range(60).select(F.concat(F.lit("a:b:"), "id").alias("id"), F.concat(F.lit("a"), F.col("id") % 3).alias("ats"), F.lit("Data Engineer").alias("title"))
+    rows = [("one", "", '{"ats": "a1", "title_words": "engineer"}'), ("all", "", "{}"), ("none", "", '{"ids": []}'), (None, "", "{}")]
+    searches = spark.createDataFrame(rows, "subscription string, watermark string, filter string")
+    for most, built in ((100_000, "BuildRight"), (3, "")):
+        monkeypatch.setattr(matching, "_MOST_SENT", most)
+        got = match_subscriptions(batch, searches, "2024-01-01T00:00:00+00:00")
+        got.explain()
+        plan = capsys.readouterr().out
+        assert "BuildLeft" not in plan and ("BroadcastExchange" in plan) == bool(built) and built in plan
+        assert sorted(r["subscription"] for r in got.collect()) == ["all"] * 60 + ["one"] * 20
+
+
 def _sets(spark, sets):
     return spark.createDataFrame([("g", b, i) for b, ids in sets.items() for i in ids], "group string, board string, id string")
 
